@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from .automaton import op8_substring_dedup
 from .exact import op7_exact_dedup
 from .mixing import op10_source_mixing
 from .packing import op5_best_fit_packing
 from .rules import op3_quality_classifier
 from .simhash import op6_simhash_near_dedup
+from .suffixes import op9_suffix_array_dedup
 from .token_store import op2_token_store
 from .topk import op4_exact_top_k
 from .warc import op1_warc_bundles
 
 QUERIES = {f.__name__: f for f in (
     op1_warc_bundles, op2_token_store, op3_quality_classifier, op4_exact_top_k, op5_best_fit_packing, op6_simhash_near_dedup,
-    op7_exact_dedup, op10_source_mixing)}
+    op7_exact_dedup, op8_substring_dedup, op9_suffix_array_dedup, op10_source_mixing)}
 
 ORACLE_SQL = {
     "op1_warc_bundles": """
