@@ -14,11 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, attach, new_folder, stage, text_of
+from .common import SPACE, attach, new_folder, partitions, stage, text_of
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Bits of the bitmap of hits: a fixed 8 MiB whatever the input.
 BITMAP_BITS = 1 << 26
+#: Input rows for a partition of the state, each a store of its own with fixed costs; the session's shuffle partitions are the most.
+STATE_ROWS = 20_000
 
 
 def normalised(text: Column) -> Column:
@@ -35,6 +37,7 @@ def _state(spark, digests: DataFrame, folder: str) -> DataFrame:
         "spark.sql.streaming.stateStore.providerClass": ROCKS,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        "spark.sql.streaming.internal.stateStore.partitions": str(max(1, min(partitions(spark), -(-digests.count() // STATE_ROWS)))),
     }
     before = {k: spark.conf.get(k, None) for k in wanted}
     at = new_folder(spark, "state")
