@@ -21,8 +21,8 @@ from .windows import LAST, covered, without_repeats
 
 WINDOW = 50
 GRAM = 16
-#: Words of a reference shard, at most (a longer single stretch does not exist: it has under 2 * WINDOW words).
-SHARD = 100_000
+#: Words of a reference shard, about: it closes at the end of an anchor, or within one at four times as many.
+SHARD = 20_000
 
 
 class SuffixAutomaton:
@@ -98,30 +98,27 @@ class SuffixAutomaton:
         return out
 
 
-def first_by_automata(data: np.ndarray, sizes: np.ndarray, windows: np.ndarray, ids: np.ndarray, window: int = WINDOW, shard: int = SHARD) -> np.ndarray:
-    """The index of windows.py: stretches of one anchor are neighbours, and only they can share windows."""
-    ends = np.cumsum(sizes)
-    raw = data.tobytes()
-    texts = [raw[e - n:e].split(b" ") for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+def first_by_automata(data: np.ndarray, sizes: np.ndarray, windows: np.ndarray, ids: np.ndarray, anchors: np.ndarray, window: int = WINDOW, shard: int = SHARD) -> np.ndarray:
+    """The index of windows.py. A shard is of whole anchors; an anchor of more words has several, and all its stretches stream through each."""
     out = np.full(int(windows.sum()), LAST, np.int64)
-    edges = np.append(0, np.cumsum(windows))
-    # Shards follow the order of the rows; streaming all rows of the call through each shard finds every match.
-    lo, held, cuts = 0, 0, []
-    for i, words in enumerate(texts):
-        held += len(words)
-        if held >= shard:
-            cuts.append((lo, i + 1))
-            lo, held = i + 1, 0
-    if lo < len(texts):
-        cuts.append((lo, len(texts)))
-    for lo, hi in cuts:
-        automaton = SuffixAutomaton()
-        for i in range(lo, hi):
-            automaton.add(texts[i], int(ids[i]))
-        for i, words in enumerate(texts):
-            if lo <= i < hi or len(cuts) > 1:
-                own = slice(edges[i], edges[i + 1])
-                out[own] = np.minimum(out[own], automaton.matches(words, window))
+    ends, edges = np.cumsum(sizes), np.append(0, np.cumsum(windows))
+    words = windows + window - 1
+    new = np.flatnonzero(np.append(True, anchors[1:] != anchors[:-1]))
+    totals = np.add.reduceat(words, new)
+    number = (np.cumsum(totals) - 1) // shard
+    runs = np.append(new[np.flatnonzero(np.append(True, number[1:] != number[:-1]))], len(sizes)).tolist()
+    for lo, hi in zip(runs[:-1], runs[1:], strict=True):
+        raw, base = data[ends[lo] - sizes[lo]:ends[hi - 1]].tobytes(), ends[lo] - sizes[lo]
+        texts = [raw[e - n:e].split(b" ") for e, n in zip((ends[lo:hi] - base).tolist(), sizes[lo:hi].tolist(), strict=True)]
+        parts = (np.cumsum(words[lo:hi]) - 1) // (4 * shard)
+        cuts = np.append(np.flatnonzero(np.append(True, parts[1:] != parts[:-1])), hi - lo).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            automaton = SuffixAutomaton()
+            for i in range(a, b):
+                automaton.add(texts[i], int(ids[lo + i]))
+            for i, units in enumerate(texts):
+                own = slice(edges[lo + i], edges[lo + i + 1])
+                out[own] = np.minimum(out[own], automaton.matches(units, window))
     return out
 
 

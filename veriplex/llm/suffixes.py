@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import table
-from .windows import covered, without_repeats
+from .windows import covered, gathered, without_repeats
 
 WINDOW = 50
 GRAM = 20
@@ -89,7 +89,7 @@ class Levels:
         return out
 
 
-def first_by_levels(data: np.ndarray, sizes: np.ndarray, windows: np.ndarray, ids: np.ndarray, window: int = WINDOW, batch: int = BATCH) -> np.ndarray:
+def first_by_levels(data: np.ndarray, sizes: np.ndarray, windows: np.ndarray, ids: np.ndarray, anchors: np.ndarray | None = None, window: int = WINDOW, batch: int = BATCH) -> np.ndarray:
     """The index of windows.py."""
     out = np.empty(int(windows.sum()), np.int64)
     at, begin = np.cumsum(sizes) - sizes, np.cumsum(windows) - windows
@@ -98,7 +98,7 @@ def first_by_levels(data: np.ndarray, sizes: np.ndarray, windows: np.ndarray, id
     number = (np.cumsum(sizes[order]) - 1) // batch
     for own in np.split(order, np.flatnonzero(number[1:] != number[:-1]) + 1):
         n, w = sizes[own], windows[own]
-        part = np.concatenate([data[a:a + k] for a, k in zip(at[own].tolist(), n.tolist(), strict=True)])
+        part = gathered(data, at[own], n)
         inner = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
         starts = np.repeat(np.cumsum(n) - n, w) + inner
         out[np.repeat(begin[own], w) + inner] = levels.add(part, starts, np.repeat(ids[own], w))

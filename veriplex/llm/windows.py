@@ -31,8 +31,8 @@ from .common import partitions, stage, text_of
 
 #: Units that are hashed at once, about.
 CHUNK = 1 << 20
-#: Anchors or stretches that a task gathers before it deals them out.
-FLUSH = 1 << 19
+#: Anchors, and bytes of stretches, that a task gathers before it deals them out.
+FLUSH, FLUSH_BYTES = 1 << 19, 1 << 23
 LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -116,12 +116,32 @@ class Texts:
 
 
 def gathered(data: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """data[at:at+size] of each pair, one after another."""
-    total = int(sizes.sum())
-    if not total:
-        return data[:0]
-    skip = np.repeat(at - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-    return data[skip + np.arange(total)]
+    """data[at:at+size] of each pair, one after another; the places are worked out CHUNK at a time."""
+    ends = np.cumsum(sizes)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, data.dtype)
+    for lo, hi in pieces(ends):
+        n, begin = sizes[lo:hi], int(ends[lo] - sizes[lo])
+        own = np.cumsum(n) - n
+        out[begin:int(ends[hi - 1])] = data[np.repeat(at[lo:hi] - own, n) + np.arange(int(n.sum()))]
+    return out
+
+
+def pieces(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs (lo, hi) of rows that hold about CHUNK units, given where each row ends."""
+    if len(ends):
+        cuts = np.unique(np.append(np.searchsorted(ends, np.arange(CHUNK, int(ends[-1]) + CHUNK, CHUNK), side="left") + 1, len(ends)).clip(1, len(ends)))
+        yield from zip(np.append(0, cuts[:-1]).tolist(), cuts.tolist(), strict=True)
+
+
+def contents(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each of the strings that data holds one after another."""
+    ends = np.cumsum(sizes)
+    out = np.empty(len(sizes), np.uint64)
+    for lo, hi in pieces(ends):
+        begin = int(ends[lo] - sizes[lo])
+        own = ends[lo:hi] - begin
+        out[lo:hi] = range_hashes(data[begin:int(ends[hi - 1])].astype(np.uint64) + np.uint64(1), own - sizes[lo:hi], own)
+    return out
 
 
 def _parts(texts: list[bytes]) -> Iterator[slice]:
@@ -306,8 +326,8 @@ def _stretches(words: bool, window: int, gram: int, buckets: int):
             base = texts.ends - texts.sizes
             held.append({"ids": np.array([x[0] for x in docs], np.int64), "keys": np.array([x[1] for x in docs], np.int64), "doc": found["doc"], "hash": found["hash"],
                          "first": found["first"] - base[found["doc"]], "windows": (found["last"] - found["first"] + 1).astype(np.uint8), "sizes": sizes, "bytes": data})
-            n += len(found["doc"])
-            if n >= FLUSH // 4:
+            n += len(data) + 64 * len(found["doc"])
+            if n >= FLUSH_BYTES:
                 yield from flush()
                 held, n = [], 0
 
@@ -317,15 +337,16 @@ def _stretches(words: bool, window: int, gram: int, buckets: int):
     return run
 
 
-#: (bytes of stretches, their lengths, windows of each, smallest document of each) -> smallest document of each window, in a row
-Index = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: (bytes of stretches, their lengths, windows of each, smallest document of each, anchor of each) -> smallest document of
+#: each window, in a row; stretches of one anchor are neighbours, and only they can share windows
+Index = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 def first_documents(got: dict[str, np.ndarray], index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For stretches of a bucket: (number of the distinct stretch of each, where a distinct stretch's windows begin, smallest document of those windows)."""
     ids, sizes = got["ids"][got["doc"]], got["sizes"].astype(np.int64)
     at = np.cumsum(sizes) - sizes
-    content = range_hashes(got["bytes"].astype(np.uint64) + np.uint64(1), at, at + sizes)
+    content = contents(got["bytes"], sizes)
     order = np.lexsort((ids, sizes, content, got["hash"]))
     h, c, z = got["hash"][order], content[order], sizes[order]
     new_anchor = np.concatenate([[True], h[1:] != h[:-1]])
@@ -345,7 +366,7 @@ def first_documents(got: dict[str, np.ndarray], index: Index) -> tuple[np.ndarra
     first = np.repeat(ids[distinct], windows)
     if several.any():
         own = distinct[several]
-        first[np.repeat(several, windows)] = index(gathered(got["bytes"], at[own], sizes[own]), sizes[own], windows[several], ids[own])
+        first[np.repeat(several, windows)] = index(gathered(got["bytes"], at[own], sizes[own]), sizes[own], windows[several], ids[own], anchor[several])
     return number, begin, first
 
 
@@ -356,7 +377,7 @@ def _spans(index: Index, window: int, buckets: int):
             del rows
             number, begin, first = first_documents(got, index)
             windows = got["windows"].astype(np.int64)
-            for part in np.array_split(np.arange(len(number)), max(1, int(windows.sum()) >> 22)):
+            for part in np.array_split(np.arange(len(number)), max(1, int(windows.sum()) >> 20)):
                 n = windows[part]
                 if not n.sum():
                     continue
