@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stage, text_of
+from .common import partitions, release, stage, text_of
 
 #: Units that are hashed at once, about.
 CHUNK = 1 << 20
@@ -424,13 +424,19 @@ def without_repeats(docs: DataFrame, words: bool, window: int, gram: int, index:
     """finish(documents' bytes, spans) of every row of docs; finish gives a row of ``fields``, which start with doc_id."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     buckets = partitions(spark)
     rows = keyed(docs)
     anchors = rows.mapInArrow(_anchors(words, window, gram, buckets), PACKED)
     shared = stage(_dealt_out(anchors, buckets).mapInArrow(_shared(buckets), PACKED), "anchors")
+    del anchors
+    release(spark)
     stretches = _met(rows, shared, buckets).mapInArrow(_stretches(words, window, gram, buckets), PACKED)
     spans = stage(_dealt_out(stretches, buckets).mapInArrow(_spans(index, window, buckets), PACKED), "spans")
 
+    del stretches
+    release(spark)
+
     def last(batches):
         names = [f.split()[0] for f in fields.split(", ")]
 
