@@ -38,3 +38,26 @@ def snapshot(df: DataFrame, prefix: str, key_columns: tuple[str, ...], value: Co
 def table_snapshot(spark: SparkSession, sf_dir: str, name: str, value: Column | None = None) -> DataFrame:
     prefix, keys = TABLES[name]
     return snapshot(load(spark, sf_dir, name), prefix, keys, value, name in REPEATED)
+
+
+def column_bounds(r, prefix: bytes) -> tuple[int | None, int | None]:
+    """Least and largest number that a first key column can have in range, None where it is open: a superset of the range's keys."""
+    r = r.with_after()
+    lo = hi = None
+    if r.lo.key is not None and r.lo.key[:len(prefix)] == prefix:
+        lo = int.from_bytes(r.lo.key[len(prefix):len(prefix) + 8].ljust(8, b"\0"), "big")
+    if r.hi.key is not None and r.hi.key[:len(prefix)] == prefix:
+        hi = int.from_bytes(r.hi.key[len(prefix):len(prefix) + 8].ljust(8, b"\xff"), "big")
+    return lo, hi
+
+
+def scan_table(spark: SparkSession, sf_dir: str, name: str, r, value: Column | None = None) -> DataFrame:
+    """The table's snapshot in range. The bounds also go to the key column as numbers, and so to the Parquet scan and its row groups."""
+    prefix, keys = TABLES[name]
+    lo, hi = column_bounds(r, prefix.encode())
+    df, most = load(spark, sf_dir, name), (1 << 63) - 1
+    if lo is not None:
+        df = df.where(F.col(keys[0]) >= F.lit(min(lo, most)))
+    if hi is not None:
+        df = df.where(F.col(keys[0]) <= F.lit(min(hi, most)))
+    return snapshot(df, prefix, keys, value, name in REPEATED).where(r.condition(F.col("key")))
