@@ -32,7 +32,9 @@ from .common import filesystem, new_folder, partitions, stage, table, text_of
 LENGTH = 2048
 #: Sequences of a record batch.
 BATCH = 256
-MEMO = 400_000
+MEMO = 800_000
+#: Texts that are encoded at a time.
+TEXTS = 128
 INDEX = "doc_id long, part int, file string, at long, n_tokens long"
 
 #: White space other than the usual six characters: definitions of it differ.
@@ -56,28 +58,50 @@ class Encoder:
 
         self.library, self.kind, self.memo = Tokenizer.from_file(path), np.dtype(f"<u{width}"), {}
         self.library.encode_special_tokens = True
+        known = self.library.get_vocab()
+        self.spaced = np.zeros(max(known.values()) + 1, bool)
+        self.spaced[[i for t, i in known.items() if t.startswith("\u0120")]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, text: str) -> bytes:
-        if _UNSAFE.search(text):
-            return self.whole([text])[0]
-        first, *rest = text.split(" ")
+    def learn(self, pieces: list[str]) -> None:
+        """Ids of new pieces, a space before each, in one call to the library: only a piece's first id begins with a space.
+        Pieces that end in white space, or are empty, would run into their neighbours and are encoded alone."""
+        alone = [p for p in pieces if not p or p[-1].isspace()]
+        if alone:
+            self.memo.update(zip(alone, self.whole([" " + p for p in alone]), strict=True))
+            pieces = [p for p in pieces if p and not p[-1].isspace()]
+        if not pieces:
+            return
+        ids = np.array(self.library.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, self.kind)
+        cuts = np.append(np.flatnonzero(self.spaced[ids]), len(ids)) * self.kind.itemsize
+        if len(cuts) != len(pieces) + 1:
+            raise ValueError("the vocabulary joins pieces")
+        raw, cuts = ids.tobytes(), cuts.tolist()
+        self.memo.update(zip(pieces, [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Pieces that are new in any of the texts go to the library together."""
         memo = self.memo
-        head = memo.get(("", first))
-        if head is None:
-            head = memo["", first] = self.whole([first])[0]
-        try:
-            return head + b"".join(map(memo.__getitem__, rest))
-        except KeyError:
-            new = list({p for p in rest if p not in memo})
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                memo["", first] = head
-                new = list(set(rest))
-            memo.update(zip(new, self.whole([" " + p for p in new]), strict=True))
-            return head + b"".join(map(memo.__getitem__, rest))
+        split = [None if _UNSAFE.search(t) else t.split(" ") for t in texts]
+        heads = [("", s[0]) for s in split if s]  # the first piece has no space before it
+        if new := [h for h in set(heads) if h not in memo]:
+            memo.update(zip(new, self.whole([h[1] for h in new]), strict=True))
+        rests = [s[1:] for s in split if s]
+        new = set().union(*rests).difference(memo)
+        if len(memo) + len(new) > MEMO:
+            memo.clear()
+            memo.update(zip(heads, self.whole([h[1] for h in heads]), strict=True))
+            new = set().union(*rests)
+        self.learn(list(new))
+        known = [memo[h] + b"".join(map(memo.__getitem__, r)) for h, r in zip(heads, rests, strict=True)]
+        odd = iter(self.whole([t for t, s in zip(texts, split, strict=True) if s is None]))
+        usual = iter(known)
+        return [next(odd) if s is None else next(usual) for s in split]
+
+    def __call__(self, text: str) -> bytes:
+        return self.many([text])[0]
 
 
 def encoder(path: str, width: int) -> Encoder:
@@ -136,11 +160,13 @@ def _writer(folder: str, path: str, length: int, end_id: int, width: int):
         part = TaskContext.get().partitionId()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                store = store or Store(folder, length, width)
-                ids = encode(text) + end
-                rows.append((doc_id, part, store.name, store.at, len(ids) // width))
-                store.add(ids)
+            for at in range(0, batch.num_rows, TEXTS):
+                own = batch.slice(at, TEXTS)
+                for doc_id, ids in zip(own.column("doc_id").to_pylist(), encode.many(own.column("text").to_pylist()), strict=True):
+                    store = store or Store(folder, length, width)
+                    ids += end
+                    rows.append((doc_id, part, store.name, store.at, len(ids) // width))
+                    store.add(ids)
             if rows:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()], strict=True)], ["doc_id", "part", "file", "at", "n_tokens"])
         if store:
