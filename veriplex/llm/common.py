@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from urllib.parse import urlparse
 
@@ -46,8 +47,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that nothing refers to any more, instead of whenever the driver happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # first Python's handles go, then what they held; files go in the background
+        gc.collect()
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
 
 
 def remove(spark: SparkSession, *paths: str) -> None:

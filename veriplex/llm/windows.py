@@ -178,6 +178,7 @@ PACKED = "bucket int, packed binary"
 _OWN = {"ids": np.int64, "keys": np.int64, "counts": np.int32}
 ANCHORS = _OWN | {"hash": np.uint64}
 STRETCHES = _OWN | {"hash": np.uint64, "first": np.int64, "windows": np.uint8, "sizes": np.int32, "bytes": np.uint8}
+TEXTS = {"ids": np.int64, "keys": np.int64, "sizes": np.int64, "bytes": np.uint8}
 SPANS = _OWN | {"lo": np.int64, "hi": np.int64}
 
 
@@ -265,7 +266,7 @@ def _shared(buckets: int):
 
 
 def _with_texts(batches, kinds: dict[str, Any], handle: Callable[[dict, list], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket, packed ones before documents: calls handle(packed arrays by (id, key), documents) for batches of documents."""
+    """Rows sorted by bucket, packed ones before texts: calls handle(packed arrays by (id, key), documents) for batches of documents."""
     number, known = None, {}
 
     def learn(packed):
@@ -277,23 +278,24 @@ def _with_texts(batches, kinds: dict[str, Any], handle: Callable[[dict, list], I
             known.setdefault((doc_id, key), []).append(tuple(got[k][lo:hi] for k in names))
 
     for batch in batches:
-        docs, size = [], 0
-        for bucket, packed, doc_id, key, text in zip(*[batch.column(c).to_pylist() for c in ("bucket", "packed", "doc_id", "key", "text")], strict=True):
+        for bucket, texts, packed in zip(*[batch.column(c).to_pylist() for c in ("bucket", "texts", "packed")], strict=True):
             if bucket != number:
-                if docs:
-                    yield from handle(known, docs)
-                docs, size, number = [], 0, bucket
+                number = bucket
                 known.clear()
-            if packed is not None:
+            if not texts:
                 learn(packed)
                 continue
-            docs.append((doc_id, key, text))
-            size += len(text)
-            if size >= CHUNK:
+            got = _unpack(packed, TEXTS)
+            ends, raw = np.cumsum(got["sizes"]).tolist(), got["bytes"].tobytes()
+            docs, size = [], 0
+            for doc_id, key, n, end in zip(got["ids"].tolist(), got["keys"].tolist(), got["sizes"].tolist(), ends, strict=True):
+                docs.append((doc_id, key, raw[end - n:end]))
+                size += n
+                if size >= CHUNK:
+                    yield from handle(known, docs)
+                    docs, size = [], 0
+            if docs:
                 yield from handle(known, docs)
-                docs, size = [], 0
-        if docs:
-            yield from handle(known, docs)
 
 
 def _stretches(words: bool, window: int, gram: int, buckets: int):
@@ -403,11 +405,36 @@ def covered(size: int, spans: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.n
     return np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(~inside[1:] & inside[:-1])
 
 
+def _packed_texts(buckets: int):
+    """Documents by bucket, packed and compressed: text is over half of what is shuffled."""
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            by: dict[int, list] = {}
+            for x in held:
+                by.setdefault(x[1] % buckets, []).append(x)
+            packed = [_pack({"ids": np.array([x[0] for x in own], np.int64), "keys": np.array([x[1] for x in own], np.int64), "sizes": np.array([len(x[2]) for x in own], np.int64),
+                             "bytes": np.frombuffer(b"".join([x[2] for x in own]), np.uint8)}) for own in by.values()]
+            yield pa.record_batch([pa.array(list(by), pa.int32()), pa.array(packed, pa.binary())], ["bucket", "packed"])
+
+        for batch in batches:
+            for x in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "key", "text")], strict=True):
+                held.append(x)
+                size += len(x[2])
+                if size >= FLUSH_BYTES:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
+    return run
+
+
 def _met(docs: DataFrame, packed: DataFrame, buckets: int) -> DataFrame:
     """Documents and packed rows of their buckets, in one shuffle: packed rows first."""
-    a = docs.select(F.pmod("key", F.lit(buckets)).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("packed"), "doc_id", "key", "text")
-    b = packed.select("bucket", "packed", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("binary").alias("text"))
-    return b.union(a).repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("packed").isNull())
+    a = docs.mapInArrow(_packed_texts(buckets), PACKED).select("bucket", F.lit(1).alias("texts"), "packed")
+    b = packed.select("bucket", F.lit(0).alias("texts"), "packed")
+    return b.union(a).repartition(buckets, "bucket").sortWithinPartitions("bucket", "texts")
 
 
 def _dealt_out(packed: DataFrame, buckets: int) -> DataFrame:
