@@ -124,7 +124,7 @@ def shard_counts(slots: list[int], shard: int, seed: int) -> np.ndarray:
             got[i] += min(left[i] - got[i], n - got.sum())
         out.append(got)
         left = left - got
-    return np.array(out, np.int64).reshape(-1, len(slots))
+    return np.array(out, np.int64).reshape(len(out), len(slots))
 
 
 def placed(docs: DataFrame) -> DataFrame:
