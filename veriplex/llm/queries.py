@@ -53,8 +53,8 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0)
 FROM w LEFT JOIN c USING (doc_id)""",
     "op9_suffix_array_dedup": r"""
 WITH w AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
-b AS (SELECT doc_id, at, substr(h, 2 * at + 1, 2098) AS h, least(n - at, 1049) AS n FROM (SELECT doc_id, h, n, unnest(range(0, n - 49, 1000)) AS at FROM w WHERE n >= 50)),
-k AS (SELECT doc_id, at + i AS i, substr(h, 2 * i - 1, 100) AS k FROM (SELECT doc_id, at, h, unnest(range(1, n - 48)) AS i FROM b)),
+b AS (SELECT doc_id, o, substr(h, 2 * o + 1, 2098) AS h, least(n - o, 1049) AS n FROM (SELECT doc_id, h, n, unnest(range(0, n - 49, 1000)) AS o FROM w WHERE n >= 50)),
+k AS (SELECT doc_id, o + i AS i, substr(h, 2 * i - 1, 100) AS k FROM (SELECT doc_id, o, h, unnest(range(1, n - 48)) AS i FROM b)),
 f AS (SELECT k, min(doc_id) AS first FROM k GROUP BY k),
 gone AS (SELECT doc_id, i FROM k JOIN f USING (k) WHERE first < doc_id),
 m AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM gone),
