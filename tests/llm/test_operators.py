@@ -345,6 +345,16 @@ def test_op9_against_brute_force(spark, sf):
     assert Counter((g["doc_id"], g["n_bytes"], g["n_removed"], g["n_spans"], g["kept_sha256"]) for g in got) == repeats(documents(), byte_units, 50)
 
 
+def test_windows_of_hot_anchors(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    for hot in (0, 6):
+        got = suffixes.suffix_dedup(df, hot=hot).collect()
+        assert Counter((g.doc_id, g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for g in got) == repeats(documents(), byte_units, 50)
+        want = repeats(documents(), word_units, 50)
+        got = automaton.substring_dedup(df, hot=hot).collect()
+        assert Counter((g.doc_id, g.n_words, g.n_removed, g.kept_sha256) for g in got) == Counter((d, n, x, h) for (d, n, x, _, h), k in want.items() for _ in range(k))
+
+
 def test_indexes_of_stretches():
     draw = random.Random(5)
     for _ in range(80):

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import table
-from .windows import LAST, covered, without_repeats
+from .windows import HOT, LAST, covered, without_repeats
 
 WINDOW = 50
 GRAM = 16
@@ -148,11 +148,11 @@ def _finish_text(text: bytes, spans: list) -> tuple:
     return b" ".join(kept).decode("utf-8", "replace"), ",".join(gone)
 
 
-def substring_dedup(docs: DataFrame, text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, text: bool = False, hot: int = HOT) -> DataFrame:
     """Per row of docs: doc_id with counts and digest of what is kept, or, with text, the kept words and the removed spans of words."""
     if text:
-        return without_repeats(docs, True, WINDOW, GRAM, first_by_automata, _finish_text, "doc_id long, text string, removed string")
-    return without_repeats(docs, True, WINDOW, GRAM, first_by_automata, _finish, FIELDS)
+        return without_repeats(docs, True, WINDOW, GRAM, first_by_automata, _finish_text, "doc_id long, text string, removed string", hot)
+    return without_repeats(docs, True, WINDOW, GRAM, first_by_automata, _finish, FIELDS, hot)
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import table
-from .windows import covered, gathered, without_repeats
+from .windows import HOT, covered, gathered, without_repeats
 
 WINDOW = 50
 GRAM = 20
@@ -128,11 +128,11 @@ def _finish_bytes(text: bytes, spans: list) -> tuple:
     return b"".join([*kept, text[at:]]), ",".join(gone)
 
 
-def suffix_dedup(docs: DataFrame, content: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, content: bool = False, hot: int = HOT) -> DataFrame:
     """Per row of docs: doc_id with counts and digest of what is kept, or, with content, the kept bytes and the removed spans of bytes."""
     if content:
-        return without_repeats(docs, False, WINDOW, GRAM, first_by_levels, _finish_bytes, "doc_id long, content binary, removed string")
-    return without_repeats(docs, False, WINDOW, GRAM, first_by_levels, _finish, FIELDS)
+        return without_repeats(docs, False, WINDOW, GRAM, first_by_levels, _finish_bytes, "doc_id long, content binary, removed string", hot)
+    return without_repeats(docs, False, WINDOW, GRAM, first_by_levels, _finish, FIELDS, hot)
 
 
 def op9_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

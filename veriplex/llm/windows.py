@@ -11,7 +11,9 @@ side, are a stretch.
 4. The spans to remove return to the documents.
 
 Tasks hold one bucket of anchors, or a part of the documents' texts, packed in arrays; buckets are as many as the
-session has shuffle partitions. Nothing is collected by the driver, and no list of candidates is cut.
+session has shuffle partitions. Nothing is collected by the driver, and no list of candidates is cut. An anchor that
+stands over HOT times would bring too much together: its windows go, one by one, as 128-bit digests through an
+aggregate that combines before its shuffle, and a join that spreads hot digests.
 
 A null doc_id counts as larger than any other. Rows of one doc_id never remove each other's windows.
 """
@@ -23,16 +25,19 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, release, stage, text_of
+from .common import attach, partitions, release, stage, text_of
 
 #: Units that are hashed at once, about.
 CHUNK = 1 << 20
 #: Anchors, and bytes of stretches, that a task gathers before it deals them out.
 FLUSH, FLUSH_BYTES = 1 << 19, 1 << 23
+#: Occurrences from which an anchor's windows are no longer brought together with their texts.
+HOT = 20_000
 LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -175,8 +180,11 @@ def _unpack(data: bytes, kinds: dict[str, Any]) -> dict[str, np.ndarray]:
 
 
 PACKED = "bucket int, packed binary"
+MARKED = "bucket int, packed binary, hot boolean"
 _OWN = {"ids": np.int64, "keys": np.int64, "counts": np.int32}
 ANCHORS = _OWN | {"hash": np.uint64}
+SHARED = ANCHORS | {"hot": np.uint8}
+DIGESTS = _OWN | {"one": np.uint64, "two": np.uint64, "first": np.int64}
 STRETCHES = _OWN | {"hash": np.uint64, "first": np.int64, "windows": np.uint8, "sizes": np.int32, "bytes": np.uint8}
 TEXTS = {"ids": np.int64, "keys": np.int64, "sizes": np.int64, "bytes": np.uint8}
 SPANS = _OWN | {"lo": np.int64, "hi": np.int64}
@@ -250,7 +258,7 @@ def _joined(rows: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     return out
 
 
-def _shared(buckets: int):
+def _shared(buckets: int, hot: int):
     def run(batches):
         for rows in _by_bucket(batches, ANCHORS):
             got = _joined(rows)
@@ -261,7 +269,7 @@ def _shared(buckets: int):
             more = np.minimum.reduceat(own, first) < np.maximum.reduceat(own, first)
             kept = order[np.repeat(more, sizes)]
             doc = got["doc"][kept]
-            yield from _dealt(got["keys"][doc] % buckets, got["ids"], got["keys"], doc, hash=got["hash"][kept])
+            yield from _dealt(got["keys"][doc] % buckets, got["ids"], got["keys"], doc, hash=got["hash"][kept], hot=np.repeat(sizes[more] > hot, sizes[more]).astype(np.uint8))
     return run
 
 
@@ -307,7 +315,7 @@ def _stretches(words: bool, window: int, gram: int, buckets: int):
             shift = np.cumsum([0] + [len(x["ids"]) for x in held])
             doc = np.concatenate([x["doc"] + s for x, s in zip(held, shift, strict=False)])
             cat = {k: np.concatenate([x[k] for x in held]) for k in held[0] if k != "doc"}
-            yield from _dealt((cat["hash"] % np.uint64(buckets)).astype(np.int64), cat.pop("ids"), cat.pop("keys"), doc, **cat)
+            yield from marked(_dealt((cat["hash"] % np.uint64(buckets)).astype(np.int64), cat.pop("ids"), cat.pop("keys"), doc, **cat), False)
 
         def handle(known, docs):
             nonlocal n, held
@@ -317,13 +325,17 @@ def _stretches(words: bool, window: int, gram: int, buckets: int):
             texts = Texts([t for _, _, t in docs], words)
             found = texts.stretches(window, gram)
             edges = np.searchsorted(found["doc"], np.arange(len(docs) + 1))
-            keep = np.zeros(len(found["doc"]), bool)
+            keep, often = np.zeros(len(found["doc"]), bool), np.zeros(len(found["doc"]), bool)
             for i, (doc_id, key, _) in enumerate(docs):
-                hashes = np.sort(np.concatenate([x[0] for x in known[doc_id, key]]))
+                hashes, hot = (np.concatenate([x[j] for x in known[doc_id, key]]) for j in (0, 1))
+                order = np.argsort(hashes)
                 own = found["hash"][edges[i]:edges[i + 1]]
-                at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+                at = order[np.minimum(np.searchsorted(hashes, own, sorter=order), len(hashes) - 1)]
                 keep[edges[i]:edges[i + 1]] = hashes[at] == own
-            found = {k: v[keep] for k, v in found.items()}
+                often[edges[i]:edges[i + 1]] = hot[at] > 0
+            if (keep & often).any():
+                yield from marked(_digests(texts, {k: v[keep & often] for k, v in found.items()}, docs, window, buckets), True)
+            found = {k: v[keep & ~often] for k, v in found.items()}
             data, sizes = texts.slices(found["first"], found["last"], window)
             base = texts.ends - texts.sizes
             held.append({"ids": np.array([x[0] for x in docs], np.int64), "keys": np.array([x[1] for x in docs], np.int64), "doc": found["doc"], "hash": found["hash"],
@@ -333,12 +345,54 @@ def _stretches(words: bool, window: int, gram: int, buckets: int):
                 yield from flush()
                 held, n = [], 0
 
-        yield from _with_texts(batches, ANCHORS, handle)
+        yield from _with_texts(batches, SHARED, handle)
         if n:
             yield from flush()
     return run
 
 
+def marked(batches: Iterator[pa.RecordBatch], hot: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch([*batch.columns, pa.array([hot] * batch.num_rows)], ["bucket", "packed", "hot"])
+
+
+def _digests(texts: Texts, found: dict[str, np.ndarray], docs: list, window: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Two digests of every window of the stretches, by bucket of their documents."""
+    n = found["last"] - found["first"] + 1
+    start = np.repeat(found["first"] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    doc = np.repeat(found["doc"], n)
+    ids, keys = np.array([x[0] for x in docs], np.int64), np.array([x[1] for x in docs], np.int64)
+    yield from _dealt(keys[doc] % buckets, ids, keys, doc, one=range_hashes(texts.units, start, start + window), two=range_hashes(mixed(texts.units + np.uint64(77)), start, start + window),
+                      first=start - (texts.ends - texts.sizes)[doc])
+
+
+def _unpacked_digests(batches):
+    for batch in batches:
+        for packed in batch.column("packed").to_pylist():
+            got = _unpack(packed, DIGESTS)
+            doc = np.repeat(np.arange(len(got["ids"])), got["counts"])
+            both = np.stack([got["one"], got["two"]], axis=1)
+            names = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(doc), [None, pa.py_buffer(np.ascontiguousarray(both))]).cast(pa.binary())
+            yield pa.record_batch([names, pa.array(got["ids"][doc]), pa.array(got["keys"][doc]), pa.array(got["first"])], ["digest", "doc_id", "key", "first"])
+
+
+def _packed_spans(window: int, buckets: int):
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                ids, keys, first = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "key", "first"))
+                yield from _dealt(keys % buckets, ids, keys, np.arange(len(ids)), lo=first, hi=first + window)
+    return run
+
+
+def hot_spans(digests: DataFrame, window: int, buckets: int) -> DataFrame:
+    """Spans of the windows of anchors that stand too often, each against the smallest document of its digest."""
+    rows = digests.mapInArrow(_unpacked_digests, "digest binary, doc_id long, key long, first long")
+    least = stage(rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1"), "least")
+    gone = attach(rows, least, "digest", "n", F.struct("key", "first")).where("least < doc_id")
+    return stage(gone.select("doc_id", "key", "first").mapInArrow(_packed_spans(window, buckets), PACKED), "hot-spans")
+
+
 #: (bytes of stretches, their lengths, windows of each, smallest document of each, anchor of each) -> smallest document of
 #: each window, in a row; stretches of one anchor are neighbours, and only they can share windows
 Index = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -374,7 +428,18 @@ def first_documents(got: dict[str, np.ndarray], index: Index) -> tuple[np.ndarra
 
 def _spans(index: Index, window: int, buckets: int):
     def run(batches):
-        for rows in _by_bucket(batches, STRETCHES):
+        passed: list[pa.RecordBatch] = []
+
+        def stretches():
+            for batch in batches:
+                hot = batch.column("hot")
+                if hot.true_count:
+                    passed.append(batch.filter(hot))
+                yield batch.filter(pa.compute.invert(hot))
+
+        for rows in _by_bucket(stretches(), STRETCHES):
+            yield from passed
+            passed.clear()
             got = _joined(rows)
             del rows
             number, begin, first = first_documents(got, index)
@@ -391,7 +456,8 @@ def _spans(index: Index, window: int, buckets: int):
                 lo, hi = place[gone & ~before], place[gone & ~after] + window
                 doc = np.repeat(got["doc"][part], n)[gone & ~before]
                 if len(lo):
-                    yield from _dealt(got["keys"][doc] % buckets, got["ids"], got["keys"], doc, lo=lo, hi=hi)
+                    yield from marked(_dealt(got["keys"][doc] % buckets, got["ids"], got["keys"], doc, lo=lo, hi=hi), False)
+        yield from passed
     return run
 
 
@@ -447,7 +513,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), F.xxhash64(text_of(), doc_id).alias("key"), text_of().cast("binary").alias("text"))
 
 
-def without_repeats(docs: DataFrame, words: bool, window: int, gram: int, index: Index, finish: Callable, fields: str) -> DataFrame:
+def without_repeats(docs: DataFrame, words: bool, window: int, gram: int, index: Index, finish: Callable, fields: str, hot: int = HOT) -> DataFrame:
     """finish(documents' bytes, spans) of every row of docs; finish gives a row of ``fields``, which start with doc_id."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
@@ -455,14 +521,18 @@ def without_repeats(docs: DataFrame, words: bool, window: int, gram: int, index:
     buckets = partitions(spark)
     rows = keyed(docs)
     anchors = rows.mapInArrow(_anchors(words, window, gram, buckets), PACKED)
-    shared = stage(_dealt_out(anchors, buckets).mapInArrow(_shared(buckets), PACKED), "anchors")
+    shared = stage(_dealt_out(anchors, buckets).mapInArrow(_shared(buckets, hot), PACKED), "anchors")
     del anchors
     release(spark)
-    stretches = _met(rows, shared, buckets).mapInArrow(_stretches(words, window, gram, buckets), PACKED)
-    spans = stage(_dealt_out(stretches, buckets).mapInArrow(_spans(index, window, buckets), PACKED), "spans")
+    stretches = _met(rows, shared, buckets).mapInArrow(_stretches(words, window, gram, buckets), MARKED)
+    spans = stage(_dealt_out(stretches, buckets).mapInArrow(_spans(index, window, buckets), MARKED), "spans")
 
     del stretches
     release(spark)
+    often = spans.where("hot").select("packed")
+    spans = spans.where("not hot").select("bucket", "packed")
+    if not often.isEmpty():
+        spans = spans.union(hot_spans(often, window, buckets))
 
     def last(batches):
         names = [f.split()[0] for f in fields.split(", ")]
