@@ -72,8 +72,9 @@ def _pack(turn: dict[int, np.ndarray], most: int):
         r = m @ turn[dim]
         head = r[:, :HEAD]
         rest = np.sqrt((r[:, HEAD:] ** 2).sum(axis=1))
-        return pa.record_batch([pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int32()), *[pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in
-                               (np.array(ids, np.int64), m.astype(np.int32), head, rest, np.sqrt((m * m).sum(axis=1)))]], ["dim", "n", "ids", "v", "head", "rest", "norm"])
+        norms = np.sqrt((m * m).sum(axis=1))
+        return pa.record_batch([pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([norms.max()]), *[pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in
+                               (np.array(ids, np.int64), m.astype(np.int32), head, rest, norms)]], ["dim", "n", "longest", "ids", "v", "head", "rest", "norm"])
 
     def run(batches):
         held: dict[int, tuple[list, list]] = {}
@@ -90,7 +91,7 @@ def _pack(turn: dict[int, np.ndarray], most: int):
     return run
 
 
-BLOCK = "dim int, n int, ids binary, v binary, head binary, rest binary, norm binary"
+BLOCK = "dim int, n int, longest double, ids binary, v binary, head binary, rest binary, norm binary"
 
 
 def _open(row: dict, at: str) -> tuple:
@@ -116,8 +117,9 @@ def _score(k: int):
                 bound = q_head[live] @ head.T + q_rest[live][:, None] * rest[None, :] + SLACK * q_norm[live][:, None] * norm[None, :] + 1e-6
                 for at, qi in enumerate(live.tolist()):
                     own = int(q_ids[qi])
-                    order = np.argsort(-bound[at], kind="stable")
                     kept_s, kept_i = best.get((own, row["dim"]), (np.zeros(0), np.zeros(0, np.int64)))
+                    order = np.flatnonzero(bound[at] >= kept_s[-1]) if len(kept_s) == k else np.arange(len(ids))
+                    order = order[np.argsort(-bound[at][order], kind="stable")]
                     for lo in range(0, len(order), 64):
                         part = order[lo:lo + 64]
                         if len(kept_s) == k:
@@ -151,7 +153,9 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     # The stated queries go, in blocks, to each of the n parts of the candidates.
     asked = asked.select("dim", *[F.col(c).alias(f"q_{c}") for c in asked.columns if c != "dim"], F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"))
-    pairs = blocks.join(asked, ["part", "dim"])
+    # Blocks come longest first, and the join keeps their order, so a task soon has high scores to prune by.
+    ordered = blocks.repartition(n, "part", "dim").sortWithinPartitions("part", "dim", F.col("longest").desc())
+    pairs = ordered.join(asked, ["part", "dim"])
     found = pairs.mapInArrow(_score(k), "query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
