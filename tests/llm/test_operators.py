@@ -263,6 +263,43 @@ def test_op6_links_in_dense_buckets(spark, monkeypatch):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, whole.values()))
 
 
+def shingled(text, n=5):
+    found = text.lower().split()
+    return {tuple(found[i:i + n]) for i in range(max(1, len(found) - n + 1))}
+
+
+def test_op6_similar_documents(spark):
+    draw = random.Random(8)
+    rows, expect = [], []
+    for i in range(80):
+        base = prose(5000 + i, 220).split(" ")
+        rows.append((i, " ".join(base)))
+        copy = list(base)
+        for at in draw.sample(range(len(copy)), 1 + i % 4):
+            copy[at] = f"changed{i}x{at}"
+        rows.append((1000 + i, "  ".join(copy).upper() if i % 2 else " ".join(copy)))
+        a, b = shingled(rows[-2][1]), shingled(rows[-1][1])
+        if len(a & b) / len(a | b) >= 0.8:
+            expect.append(i)
+    rows += [(3000 + i, None if i else "") for i in range(3)] + [(None, "alone without an id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect() if r.doc_id is not None}
+    assert len(expect) > 60 and sum(got[1000 + i] == i for i in expect) >= 0.97 * len(expect)
+    assert all(got[i] == i for i in range(80)) and {got[3000 + i] for i in range(3)} == {3000}
+    left = simhash.simhash_dedup(df.withColumn("component_id", df.text))
+    assert left.columns == ["doc_id", "text", "component_id"] and left.count() <= 80 + 20 + 2
+
+
+def test_op6_reached_spans_classes():
+    draw = random.Random(9)
+    center = draw.getrandbits(64)
+    prints = sorted({center ^ sum(1 << b for b in draw.sample(range(64), draw.randint(1, 9))) for _ in range(120)} | {draw.getrandbits(64) for _ in range(40)})
+    a, b = simhash.reached(np.array(prints, np.uint64), 6)
+    root = simhash._forest(a, b, len(prints))
+    want = classes({i: p for i, p in enumerate(prints)}, 6)
+    assert root.tolist() == [want[i] for i in range(len(prints))] and len(a) == len(prints) - len(set(want.values()))
+
+
 def expected_groups(rows):
     groups = {}
     for i, (doc_id, text, _) in enumerate(rows):
