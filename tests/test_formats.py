@@ -216,3 +216,47 @@ def test_packs():
 
 def test_successor():
     assert successor(b"a\xff") == b"b" and successor(b"\xff") is None and successor(b"") is None
+
+
+def test_apply_equals_rebuild_and_reads_little():
+    from veriplex.operators.apply import apply_cold, apply_edits
+
+    random.seed(11)
+    rows = dict(dataset(4, 300))
+    root, old = build_local(sorted(rows.items()))
+    ids = lambda blocks: {c for c, (kind, _) in blocks.items() if kind == 1}
+    for batch in range(14):
+        keys, edits = sorted(rows), {}
+        for _ in range(random.choice([1, 3, 20])):
+            key, x = random.choice(keys) if keys else b"first", random.random()
+            if x < 0.3:
+                edits[key + bytes([random.randrange(256)])] = bytes(random.randrange(400))
+            elif x < 0.4:
+                edits[key] = b"r" * random.randrange(1100, 6000)
+            elif x < 0.5:
+                edits[key] = rows.get(key, b"")
+            elif x < 0.6:
+                edits[key + b"zz"] = None
+            else:
+                edits[key] = None
+        if batch == 10:
+            edits = dict.fromkeys(keys)
+        new = {k: v for k, v in {**rows, **edits}.items() if v is not None}
+        want, blocks = build_local(sorted(new.items()))
+        got = apply_edits({c: b for c, (_, b) in old.items()}, root, sorted(edits.items()))
+        assert got.root == want and got.replaced == ids(old) - ids(blocks)
+        assert set(blocks) - set(old) <= set(got.blocks) <= set(blocks)
+        rows, root, old = new, want, blocks
+    rows = dict(dataset(6, 2500))
+    root, old = build_local(sorted(rows.items()))
+    asked = set()
+
+    def fetch(need):
+        asked.update(need)
+        return {c: old[c][1] for c in need}
+
+    key = sorted(rows)[1000]
+    got, _ = apply_cold(fetch, root, [(key, b"changed")])
+    assert got.root == build_local(sorted((rows | {key: b"changed"}).items()))[0] and len(asked) < len(old) / 2
+    with pytest.raises(Exception, match="NotSorted"):
+        apply_edits({}, root, [(b"b", b""), (b"a", b"")])
