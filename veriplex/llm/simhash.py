@@ -193,6 +193,11 @@ def classified(rows: DataFrame, found: DataFrame) -> DataFrame:
     return attach(rows, classes.select("fp", "rows", "component_id"), "fp", "rows", F.struct("doc_id", "key"))
 
 
+@functools.cache
+def _factors() -> np.ndarray:
+    return np.random.default_rng(5).integers(0, _FULL, SKETCH, np.uint64, endpoint=True) | np.uint64(1)
+
+
 def sketch(text: str, words: int, bands: int, rows: int) -> tuple[int, list[int], bytes]:
     """(SimHash over the distinct word shingles of text, a key for each band of ``rows`` MinHash values, a byte of each of SKETCH values)."""
     found = text.encode("utf-8", "surrogatepass").lower().split()
@@ -200,7 +205,7 @@ def sketch(text: str, words: int, bands: int, rows: int) -> tuple[int, list[int]
     if not found:
         return 0, [0] * bands, bytes(SKETCH)
     hashes = np.fromiter(map(functools.partial(xxhash.xxh64_intdigest, seed=42), shingles), np.uint64, len(shingles))
-    odd = np.random.default_rng(5).integers(0, _FULL, SKETCH, np.uint64, endpoint=True) | np.uint64(1)
+    odd = _factors()
     counts, least = np.zeros(64, np.int64), np.full(SKETCH, _FULL, np.uint64)
     for at in range(0, len(hashes), 1 << 13):
         part = hashes[at:at + (1 << 13)]
