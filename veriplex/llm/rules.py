@@ -172,7 +172,9 @@ def with_score(docs: DataFrame, model) -> DataFrame:
     used = {j for _, rule in model[1] for j, _, _ in rule}
     names = list(stats)
     out = docs.withColumns({k: v for j, (k, v) in enumerate(stats.items()) if j in used}) if used else docs
-    return out.withColumn("__score", compile_rules(model, [F.col(k) for k in names])).drop(*names)
+    # As the row of a generator: a filter on the score then stays above the statistics, instead of being pushed below them
+    # with all their expressions written out once for every rule.
+    return out.withColumn("__score", F.explode(F.array(compile_rules(model, [F.col(k) for k in names])))).drop(*names)
 
 
 def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:
