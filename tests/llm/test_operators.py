@@ -290,6 +290,59 @@ def test_op6_similar_documents(spark):
     assert left.columns == ["doc_id", "text", "component_id"] and left.count() <= 80 + 20 + 2
 
 
+def altered(words, draw, n, tag):
+    """A copy with n words changed, none within a shingle of another."""
+    out = list(words)
+    for i in draw.sample(range(1, len(words) // 10 - 1), n):
+        out[10 * i] = f"{tag}x{i}"
+    return out
+
+
+def similarity(a, b):
+    a, b = shingled(a), shingled(b)
+    return len(a & b) / len(a | b)
+
+
+def test_op6_similar_on_both_sides_of_the_limit(spark):
+    draw = random.Random(12)
+    rows, far = [], 0
+    for i in range(60):
+        base = prose(7000 + i, 450).split(" ")
+        rows.append((i, " ".join(base)))
+        for j, n in enumerate((6, 9, 11, 13)):  # similarities of 0.87, 0.82, 0.78, 0.75
+            rows.append((1000 * (j + 1) + i, " ".join(altered(base, draw, n, f"c{i}v{j}"))))
+    template = prose("template", 900).split(" ")  # one group, whose members are not similar to each other
+    rows += [(9000 + i, " ".join(altered(template, draw, 15, f"t{i}"))) for i in range(40)]
+    # Two that are not similar, and a third between that is similar to both
+    left = prose("left", 450).split(" ")
+    middle = altered(left, draw, 7, "m")
+    right = list(middle)
+    for i in range(3, 450, 64):
+        right[i + 4] = f"r{i}"
+    rows += [(9500, " ".join(left)), (9501, " ".join(right)), (9502, " ".join(middle))]
+    assert similarity(rows[-3][1], rows[-2][1]) < 0.8 <= min(similarity(rows[-1][1], rows[-2][1]), similarity(rows[-1][1], rows[-3][1]))
+    sets = {i: shingled(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b:
+                common = len(sets[a] & sets[b])
+                far += 0.7 * len(sets[a] | sets[b]) <= common < 0.8 * len(sets[a] | sets[b])
+                if 5 * common >= 4 * len(sets[a] | sets[b]):
+                    x, y = sorted((find(a), find(b)))
+                    root[y] = x
+    want = {i: find(i) for i in sets}
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert far > 200 and got == want
+    assert len(set(want.values())) == 60 * 3 + 40 + 1
+
+
 def test_op6_reached_spans_classes():
     draw = random.Random(9)
     center = draw.getrandbits(64)

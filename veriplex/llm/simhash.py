@@ -15,6 +15,7 @@ fingerprint and counts as the largest id; other columns are ignored; an empty ta
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, components, partitions, stage, text_of
+from .exact import _bit
+from .windows import gathered, mixed
 
 RADIUS = 3
 PIVOTS = 32
@@ -182,15 +185,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFram
     return classified(rows, near_links(rows.select("fp").distinct()))
 
 
-def classified(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows (doc_id, key, fp) with component_id, the smallest doc_id that the links (a, b) between fingerprints reach."""
-    prints = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct")
-    node = components(found).withColumnRenamed("node", "fp")
-    joined = prints.join(node, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+def classified(rows: DataFrame, found: DataFrame, on: str = "fp") -> DataFrame:
+    """rows (doc_id, key, ``on``) with component_id, the smallest doc_id that the links (a, b) between fingerprints (or what else ``on`` is) reach."""
+    prints = stage(rows.groupBy(on).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct")
+    node = components(found).withColumnRenamed("node", on)
+    joined = prints.join(node, on, "left").withColumn("component", F.coalesce("component", on))
     joined = stage(joined, "classes")
     least = joined.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
-    classes = stage(attach(joined.select("fp", "component", F.col("n").alias("rows")), least, "component", "n", F.col("fp")), "classes")
-    return attach(rows, classes.select("fp", "rows", "component_id"), "fp", "rows", F.struct("doc_id", "key"))
+    classes = stage(attach(joined.select(on, "component", F.col("n").alias("rows")), least, "component", "n", F.col(on)), "classes")
+    return attach(rows, classes.select(on, "rows", "component_id"), on, "rows", F.struct("doc_id", "key"))
 
 
 @functools.cache
@@ -198,13 +201,19 @@ def _factors() -> np.ndarray:
     return np.random.default_rng(5).integers(0, _FULL, SKETCH, np.uint64, endpoint=True) | np.uint64(1)
 
 
-def sketch(text: str, words: int, bands: int, rows: int) -> tuple[int, list[int], bytes]:
-    """(SimHash over the distinct word shingles of text, a key for each band of ``rows`` MinHash values, a byte of each of SKETCH values)."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """The distinct hashes of the word shingles of text, in order; none for a text without a word."""
     found = text.encode("utf-8", "surrogatepass").lower().split()
-    shingles = {b" ".join(found)} if len(found) <= words else set(map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False)))
     if not found:
+        return np.zeros(0, np.uint64)
+    shingles = {b" ".join(found)} if len(found) <= words else set(map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False)))
+    return np.unique(np.fromiter(map(functools.partial(xxhash.xxh64_intdigest, seed=42), shingles), np.uint64, len(shingles)))
+
+
+def sketch(hashes: np.ndarray, bands: int, rows: int) -> tuple[int, list[int], bytes]:
+    """(SimHash over the distinct shingles' hashes, a key for each band of ``rows`` MinHash values, a byte of each of SKETCH values)."""
+    if not len(hashes):
         return 0, [0] * bands, bytes(SKETCH)
-    hashes = np.fromiter(map(functools.partial(xxhash.xxh64_intdigest, seed=42), shingles), np.uint64, len(shingles))
     odd = _factors()
     counts, least = np.zeros(64, np.int64), np.full(SKETCH, _FULL, np.uint64)
     for at in range(0, len(hashes), 1 << 13):
@@ -219,15 +228,31 @@ def sketch(text: str, words: int, bands: int, rows: int) -> tuple[int, list[int]
 def _sketches(words: int, bands: int, rows: int):
     def run(batches):
         for batch in batches:
-            got = [sketch(t or "", words, bands, rows) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array(np.array([g[0] for g in got], np.uint64).view(np.int64)),
-                                   pa.array([np.array(g[1], np.uint64).view(np.int64) for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.binary())], ["doc_id", "key", "fp", "bands", "sketch"])
+            got = [sketch(shingle_hashes(t or "", words), bands, rows) for t in batch.column("text").to_pylist()]
+            prints = pa.array(np.array([g[0] for g in got], np.uint64).view(np.int64))
+            yield pa.record_batch([batch.column("doc_id"), batch.column("key"), prints, prints,
+                                   pa.array([np.array(g[1], np.uint64).view(np.int64) for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.binary())], ["doc_id", "key", "node", "fp", "bands", "sketch"])
+    return run
+
+
+def _shingle_sets(words: int):
+    """Texts (node, text) -> (node, fp, sketch, hashes): all that verification takes."""
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_hashes(t, words) for t in batch.column("text").to_pylist()]
+            got = [sketch(h, BANDS, BAND_ROWS) for h in sets]
+            yield pa.record_batch([batch.column("node"), pa.array(np.array([g[0] for g in got], np.uint64).view(np.int64)),
+                                   pa.array([g[2] for g in got], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], ["node", "fp", "sketch", "hashes"])
     return run
 
 
-def reached(prints: np.ndarray, radius: int, sketches: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+#: (number of a print, numbers of others) -> which of the others are linked with it
+Alike = Callable[[int, np.ndarray], np.ndarray]
+
+
+def reached(prints: np.ndarray, radius: int, sketches: np.ndarray | None = None, alike: Alike | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) that span the classes of prints within radius, found by spreading from print to print among those not yet
-    reached; the pivot table discards first. The work falls with every print that is reached, so a dense class costs little."""
+    reached; the pivot table discards first, ``alike`` decides last. The work falls with every print that is reached, so a dense class costs little."""
     table = np.bitwise_count(prints[:, None] ^ _pivots()[None, :8]).astype(np.int8)
     rest, left, right = np.arange(len(prints)), [], []
     while len(rest):
@@ -238,6 +263,8 @@ def reached(prints: np.ndarray, radius: int, sketches: np.ndarray | None = None)
             near[near] = np.bitwise_count(prints[rest[near]] ^ prints[at]) <= radius
             if sketches is not None:
                 near[near] = (sketches[rest[near]] == sketches[at]).sum(axis=1) >= AGREE
+            if alike is not None:
+                near[near] = alike(at, rest[near])
             hit = rest[near]
             rest = rest[~near]
             left.append(np.full(len(hit), at))
@@ -246,70 +273,142 @@ def reached(prints: np.ndarray, radius: int, sketches: np.ndarray | None = None)
     return np.concatenate(left or [np.zeros(0, int)]), np.concatenate(right or [np.zeros(0, int)])
 
 
-def _band_links(radius: int):
-    """Rows (band, fp, sketch) sorted by band -> links (a, b) of each band's prints; the rows of one band are held together, 72 bytes each."""
-    def solve(bands, prints, sketches):
-        starts = np.flatnonzero(np.concatenate([[True], bands[1:] != bands[:-1]]))
-        sizes = np.diff(np.append(starts, len(bands)))
+def similar_sets(data: np.ndarray, sizes: np.ndarray) -> Alike:
+    """Whether sets, sorted hashes that data holds one after another, have SIMILAR of their union in common: counted, in whole numbers."""
+    begin = np.cumsum(sizes) - sizes
+    part, whole = SIMILAR
+
+    def alike(at: int, others: np.ndarray) -> np.ndarray:
+        own, n = data[begin[at]:begin[at] + sizes[at]], int(sizes[at])
+        out = whole * np.minimum(sizes[others], n) >= part * np.maximum(sizes[others], n)
+        todo = np.flatnonzero(out)
+        for some in np.array_split(todo, int(sizes[others[todo]].sum() >> 20) + 1):
+            theirs = sizes[others[some]]
+            values = gathered(data, begin[others[some]], theirs)
+            sums = np.concatenate([[0], np.cumsum(own[np.minimum(np.searchsorted(own, values), n - 1)] == values)]) if n else np.zeros(1, int)
+            ends = np.cumsum(theirs)
+            common = sums[ends] - sums[ends - theirs]
+            out[some] = whole * common >= part * (theirs + n - common)
+        return out
+    return alike
+
+
+def _runs(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal names start, and how long they are."""
+    starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+    return starts, np.diff(np.append(starts, len(names)))
+
+
+def _by_run(batches, solve: Callable, name: str, *numbers: str):
+    """Rows sorted by ``name`` -> solve(names, numbers, batch) of batches that hold the rows of each name whole."""
+    held: list[pa.RecordBatch] = []
+
+    def solved():
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        return solve(*(rows.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in (name, *numbers)), rows)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = batch.column(name).to_numpy(zero_copy_only=False)
+        cut = int(np.flatnonzero(names == names[-1])[0])
+        if cut or held and held[-1].column(name)[-1].as_py() != names[-1]:
+            if cut:
+                held.append(batch.slice(0, cut))
+            yield from solved()
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield from solved()
+
+
+def _sketch_table(rows: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+
+
+def _band_classes(radius: int):
+    """Rows (band, node, fp, sketch) sorted by band -> (class, node) of each band's classes of two and more by prints and sketches;
+    equal classes of different bands have equal names. The rows of one band are held together, 88 bytes each."""
+    def solve(bands, nodes, prints, rows):
+        sketches = _sketch_table(rows)
+        starts, sizes = _runs(bands)
         small = sizes <= 32
-        own = np.repeat(small & (sizes > 1), sizes)
-        pairs = []
-        if own.any():
+        own = np.flatnonzero(np.repeat(small & (sizes > 1), sizes))
+        left, right = [], []
+        if len(own):
             n = sizes[small & (sizes > 1)]
             a, b = links(prints[own], np.cumsum(n) - n, n, radius)
-            alike = (sketches[own][a] == sketches[own][b]).sum(axis=1) >= AGREE
-            pairs.append((prints[own][a[alike]], prints[own][b[alike]]))
+            near = (sketches[own][a] == sketches[own][b]).sum(axis=1) >= AGREE
+            left.append(own[a[near]])
+            right.append(own[b[near]])
         for s, n in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
             a, b = reached(prints[s:s + n], radius, sketches[s:s + n])
-            pairs.append((prints[s:s + n][a], prints[s:s + n][b]))
-        both = np.unique(np.stack([np.concatenate(x) for x in zip(*pairs, strict=True)], axis=1), axis=0) if pairs else np.zeros((0, 2), np.uint64)
-        if len(both):
-            names, index = np.unique(both, return_inverse=True)
-            index = index.reshape(-1, 2)
-            root = _forest(index[:, 0], index[:, 1], len(names))
-            own = np.flatnonzero(root != np.arange(len(names)))
-            yield pa.record_batch([pa.array(names[own].view(np.int64)), pa.array(names[root[own]].view(np.int64))], ["a", "b"])
-
-    def run(batches):
-        held = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bands, prints = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("band", "fp"))
-            sketches = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-            cut = int(np.flatnonzero(bands == bands[-1])[0])
-            if cut or held and held[-1][0][-1] != bands[-1]:
-                held.append((bands[:cut], prints[:cut], sketches[:cut]))
-                yield from solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                held = []
-            held.append((bands[cut:], prints[cut:], sketches[cut:]))
-        if held:
-            yield from solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
-    return run
-
-
-#: Bits in which texts of a similarity of 0.8 over five-word shingles may differ: the mean is 9.7, with a deviation of 2.9.
-SIMILAR_RADIUS = 20
+            left.append(s + a)
+            right.append(s + b)
+        if sum(map(len, left)):
+            root = _forest(np.concatenate(left), np.concatenate(right), len(bands))
+            order = np.argsort(root, kind="stable")
+            starts, sizes = _runs(root[order])
+            names = np.repeat(np.add.reduceat(mixed(nodes[order]), starts), sizes)
+            more = np.repeat(sizes > 1, sizes)
+            yield pa.record_batch([pa.array(names[more].view(np.int64)), pa.array(nodes[order][more].view(np.int64))], ["class", "node"])
+
+    return lambda batches: _by_run(batches, solve, "band", "node", "fp")
+
+
+def _verified(radius: int):
+    """Rows (class, node, fp, sketch, hashes) sorted by class -> links (a, b) that span what is similar in each class by the
+    shingles themselves. The rows of one class are held together, 8 bytes a shingle."""
+    def solve(names, nodes, prints, rows):
+        sketches, raw = _sketch_table(rows), rows.column("hashes").to_pylist()
+        for s, n in zip(*(x.tolist() for x in _runs(names)), strict=True):
+            own = raw[s:s + n]
+            sets = similar_sets(np.frombuffer(b"".join(own), np.uint64), np.array([len(x) // 8 for x in own], np.int64))
+            a, b = reached(prints[s:s + n], radius, sketches[s:s + n], sets)
+            if len(a):
+                yield pa.record_batch([pa.array(nodes[s + a].view(np.int64)), pa.array(nodes[s + b].view(np.int64))], ["a", "b"])
+
+    return lambda batches: _by_run(batches, solve, "class", "node", "fp")
+
+
+def _maybe(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """rows whose key is in wanted, and few others: by a bitmap of fixed size that is broadcast."""
+    bits = wanted.select(_bit(F.col(key)).alias("bit"))
+    maps = bits.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    rows = rows.withColumn("bit", _bit(F.col(key))).withColumn("bucket", F.bitmap_bucket_number("bit")).withColumn("pos", F.bitmap_bit_position("bit"))
+    return rows.join(F.broadcast(maps), "bucket").where(
+        F.expr("(shiftright(cast(conv(hex(substring(map, cast(pos div 8 as int) + 1, 1)), 16, 10) as int), cast(pos % 8 as int)) & 1) = 1")).drop("bit", "bucket", "pos", "map")
+
+
+#: Texts are similar that share at least 4 in 5 of the shingles that either has.
+SIMILAR = (4, 5)
+#: Bits in which candidates may differ: at a similarity of 0.8 over five-word shingles the mean is 9.7, with a deviation of 2.9; 12 and 3.1 for the shortest texts.
+SIMILAR_RADIUS = 26
 #: Ten bands of four MinHash values bring together 99.5 in 100 pairs of similarity 0.8.
 BANDS, BAND_ROWS = 10, 4
-#: MinHash values kept as a byte each, and how many must agree: at a similarity of 0.8, 52 of 64 do, with a deviation of 3.2.
-SKETCH, AGREE = 64, 45
+#: MinHash values kept as a byte each, and how many of candidates must agree: at a similarity of 0.8, 51 of 64 do, with a deviation of 3.2.
+SKETCH, AGREE = 64, 36
 
 
 def similar_documents(docs: DataFrame, words: int = 5, radius: int = SIMILAR_RADIUS) -> DataFrame:
     """Per input row: doc_id, key, fp, component_id, for texts whose shingle sets have a similarity of 0.8 or more.
 
-    At so many bits equal groups of bits bring too much together; bands of MinHash values do it instead. The pivot table
-    and the fingerprints discard, and the sketches' agreement decides. Cases are defined as for near_duplicates().
+    At so many bits equal groups of bits bring too much together; bands of MinHash values do it instead. The pivot table,
+    the fingerprints and the sketches discard; the shingles of what remains are compared. Cases are defined as for near_duplicates().
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("key"), text_of().alias("text"))
-    rows = stage(rows.mapInArrow(_sketches(words, BANDS, BAND_ROWS), "doc_id long, key long, fp long, bands array<long>, sketch binary"), "sketches")
+    kept = stage(rows.mapInArrow(_sketches(words, BANDS, BAND_ROWS), "doc_id long, key long, node long, fp long, bands array<long>, sketch binary"), "sketches")
     # Texts of one fingerprint are one node, with the bands of one of them.
-    nodes = rows.groupBy("fp").agg(F.min(F.struct("bands", "sketch")).alias("s"))
-    pairs = nodes.select("fp", F.explode("s.bands").alias("band"), "s.sketch")
-    found = pairs.repartition(partitions(spark), "band").sortWithinPartitions("band", "fp").mapInArrow(_band_links(radius), "a long, b long")
-    return classified(rows.drop("bands", "sketch"), stage(found.distinct(), "links"))
+    nodes = stage(kept.groupBy("node").agg(F.min(F.struct("bands", "sketch", "fp", "key")).alias("s")).select("node", "s.*"), "nodes")
+    pairs = nodes.select("node", F.explode(F.array_distinct("bands")).alias("band"), "fp", "sketch")
+    classes = pairs.repartition(partitions(spark), "band").sortWithinPartitions("band", "node").mapInArrow(_band_classes(radius), "class long, node long")
+    classes = stage(classes.distinct(), "candidates")
+    wanted = stage(nodes.select("node", "key").join(classes.select("node").distinct(), "node"), "wanted")
+    texts = _maybe(rows.select("key", "text"), wanted, "key").groupBy("key").agg(F.min("text").alias("text")).join(wanted, "key").select("node", "text")
+    sets = stage(texts.mapInArrow(_shingle_sets(words), "node long, fp long, sketch binary, hashes binary"), "sets")
+    found = classes.join(sets, "node").repartition(partitions(spark), "class").sortWithinPartitions("class", "node").select("class", "node", "fp", "sketch", "hashes").mapInArrow(_verified(radius), "a long, b long")
+    return classified(kept.drop("bands", "sketch"), stage(found.distinct(), "links"), "node").drop("node")
 
 
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
