@@ -343,6 +343,35 @@ def test_op6_similar_on_both_sides_of_the_limit(spark):
     assert len(set(want.values())) == 60 * 3 + 40 + 1
 
 
+def test_op6_similar_texts_of_one_fingerprint(spark):
+    def of(text):
+        return simhash.sketch(simhash.shingle_hashes(text, 5), simhash.BANDS, simhash.BAND_ROWS)
+
+    # Two texts of one fingerprint, one word apart, and copies that are similar to one of the two only
+    rows, want = [], {}
+    for i in range(200):
+        one = prose(8000 + i, 600).split(" ")
+        other = altered(one, random.Random(i), 1, f"o{i}")
+        if of(" ".join(one))[0] == of(" ".join(other))[0]:
+            for j, (a, b) in enumerate(((one, other), (other, one))):
+                new = f"n{i}x{j}"
+                at = next(k for k in range(600) if one[k] != other[k])
+                places = [k for k in range(5, 590, 10) if abs(k - at) > 12][:13]
+                copy = [f"{new}x{k}" if k in places else w for k, w in enumerate(a)]
+                while similarity(" ".join(copy), " ".join(b)) >= 0.8:
+                    k = next(k for k in range(len(copy) - 1, 0, -1) if copy[k] == a[k] and k > places[-1])
+                    copy[k] = f"{new}x{k}"
+                assert similarity(" ".join(copy), " ".join(a)) >= 0.8 > similarity(" ".join(copy), " ".join(b))
+                rows.append((10 * i + 2 + j, " ".join(copy)))
+            rows += [(10 * i, " ".join(one)), (10 * i + 1, " ".join(other))]
+            want |= {10 * i + k: 10 * i for k in range(4)}
+            if len(rows) == 12:
+                break
+    assert len(rows) == 12
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_op6_reached_spans_classes():
     draw = random.Random(9)
     center = draw.getrandbits(64)

@@ -228,9 +228,10 @@ def sketch(hashes: np.ndarray, bands: int, rows: int) -> tuple[int, list[int], b
 def _sketches(words: int, bands: int, rows: int):
     def run(batches):
         for batch in batches:
-            got = [sketch(shingle_hashes(t or "", words), bands, rows) for t in batch.column("text").to_pylist()]
-            prints = pa.array(np.array([g[0] for g in got], np.uint64).view(np.int64))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("key"), prints, prints,
+            sets = [shingle_hashes(t or "", words) for t in batch.column("text").to_pylist()]
+            got = [sketch(h, bands, rows) for h in sets]
+            nodes = pa.array(np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64))
+            yield pa.record_batch([batch.column("doc_id"), batch.column("key"), nodes, pa.array(np.array([g[0] for g in got], np.uint64).view(np.int64)),
                                    pa.array([np.array(g[1], np.uint64).view(np.int64) for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.binary())], ["doc_id", "key", "node", "fp", "bands", "sketch"])
     return run
 
@@ -399,7 +400,7 @@ def similar_documents(docs: DataFrame, words: int = 5, radius: int = SIMILAR_RAD
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("key"), text_of().alias("text"))
     kept = stage(rows.mapInArrow(_sketches(words, BANDS, BAND_ROWS), "doc_id long, key long, node long, fp long, bands array<long>, sketch binary"), "sketches")
-    # Texts of one fingerprint are one node, with the bands of one of them.
+    # Texts of the same shingles are one node; others of its fingerprint are nodes of their own.
     nodes = stage(kept.groupBy("node").agg(F.min(F.struct("bands", "sketch", "fp", "key")).alias("s")).select("node", "s.*"), "nodes")
     pairs = nodes.select("node", F.explode(F.array_distinct("bands")).alias("band"), "fp", "sketch")
     classes = pairs.repartition(partitions(spark), "band").sortWithinPartitions("band", "node").mapInArrow(_band_classes(radius), "class long, node long")
