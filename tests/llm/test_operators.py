@@ -498,6 +498,22 @@ def test_stretches_cover_every_window_once():
     assert starts == [base[d] + i for d, t in enumerate(texts) for i in range(len(t) - 49)]
 
 
+@pytest.mark.parametrize("words", [False, True])
+def test_stretches_of_texts_longer_than_a_place(words, monkeypatch):
+    passage, sep = prose("far", 40), b" " if words else b""
+    texts = [prose(i, n).encode() + sep + passage.encode() + sep + prose(i + 50, 300).encode() for i, n in enumerate((3, 900, 1500))] + [b"aa " * 700, b""]
+    window, gram = (30, 5) if words else (50, 20)
+    want = windows.Texts(texts, words).stretches(window, gram)
+    monkeypatch.setattr(windows, "_PLACE", np.uint64((1 << 7) - 1))
+    got = windows.Texts(texts, words).stretches(window, gram)
+    assert all(np.array_equal(got[k], want[k]) for k in ("hash", "doc", "first", "last"))
+    units = windows.Texts(texts, words).units
+    at = np.arange(len(units) - gram + 1)
+    hashes = windows.range_hashes(units, at, at + gram) >> np.uint64(24)
+    for h, a, b in zip(got["hash"], got["first"], got["last"], strict=True):
+        assert all(h >> np.uint64(24) == hashes[s:s + window - gram + 1].min() for s in range(a, b + 1))
+
+
 def test_op10_meets_targets_and_repeats(spark, sf):
     got = run(spark, "op10_source_mixing", sf)
     assert sorted(map(str, got)) == sorted(map(str, run(spark, "op10_source_mixing", sf)))

@@ -41,6 +41,7 @@ HOT = 20_000
 LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: The bits of a packed anchor that hold its place.
 _PLACE = np.uint64((1 << 24) - 1)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -98,17 +99,21 @@ class Texts:
             return {k: np.zeros(0, np.uint64 if k == "hash" else np.int64) for k in ("hash", "doc", "first", "last")}
         at = np.arange(n - gram + 1)
         hashes = range_hashes(self.units, at, at + gram)
-        best = (hashes & ~_PLACE) | (at.astype(np.uint64) & _PLACE)
-        span = window - gram + 1
-        step = 1
-        while step * 2 <= span:
-            best = np.minimum(best[:-step], best[step:])
-            step *= 2
-        if step < span:
-            best = np.minimum(best[:step - span], best[span - step:])
+        span, most = window - gram + 1, int(_PLACE) + 1
+        places = []
+        # A place is packed with its hash, so it counts from the slice's start; slices overlap by window - 1 units.
+        for lo in range(0, n - window + 1, most - window + 1):
+            best = (hashes[lo:lo + most - gram + 1] & ~_PLACE) | at[:min(most, n - lo) - gram + 1].astype(np.uint64)
+            step = 1
+            while step * 2 <= span:
+                best = np.minimum(best[:-step], best[step:])
+                step *= 2
+            if step < span:
+                best = np.minimum(best[:step - span], best[span - step:])
+            places.append((best & _PLACE).astype(np.int64) + lo)
         doc = np.repeat(np.arange(len(self.sizes)), self.sizes)[:n - window + 1]
         starts = np.flatnonzero(np.arange(n - window + 1) + window <= self.ends[doc])
-        place = (best[starts] & _PLACE).astype(np.int64)
+        place = np.concatenate(places)[starts]
         if not len(starts):
             return {k: np.zeros(0, np.uint64 if k == "hash" else np.int64) for k in ("hash", "doc", "first", "last")}
         new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (doc[starts[1:]] != doc[starts[:-1]])]))
