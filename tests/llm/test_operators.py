@@ -129,8 +129,22 @@ def test_op2_ids_and_random_access(spark, sf):
 def test_op2_pieces_equal_whole_texts():
     encode = token_store.Encoder(token_store.vocabulary(), 2)
     draw = random.Random(1)
-    texts = ["".join(draw.choice("ab  \n\t.,'sé1中\r\x0b\x1c\xa0") for _ in range(draw.randint(0, 30))) for _ in range(4000)]
-    assert encode.many(texts) == [encode.whole([t])[0] for t in texts]
+    texts = ["".join(draw.choice("ab  \n\t.,'sé1中²ª’\ue000\r\x0b\x1c\xa0") for _ in range(draw.randint(0, 30))) for _ in range(4000)]
+    ids, ends = encode.many(pa.array(texts))
+    for text, lo, hi in zip(texts, [0, *ends.tolist()], ends.tolist(), strict=False):
+        assert ids[lo:hi].tolist() == [*encode.library.encode(text, add_special_tokens=False).ids, 0]
+    again = encode.many(pa.array(texts[::-1] * 2))[0]
+    assert again.tolist() == [x for t in texts[::-1] for x in encode(t).tolist()] * 2
+
+
+def test_op2_memo_keeps_a_bound(monkeypatch):
+    monkeypatch.setattr(token_store, "MEMO", 5)
+    encode = token_store.Encoder(token_store.vocabulary(), 2)
+    texts = [prose(i, 60) for i in range(40)]
+    for _ in range(2):
+        ids, ends = encode.many(pa.array(texts))
+        assert ids.tolist() == [x for t in texts for x in [*encode.library.encode(t, add_special_tokens=False).ids, 0]]
+    assert len(encode.pieces.slots) <= 5 and len(encode.parts.slots) <= 5
 
 
 def test_op3_learns_and_compiles(spark, sf):

@@ -6,7 +6,8 @@ fixed-size lists, so that any sequence is found by arithmetic and mapped without
 mask false. The index, written by Spark, has the part, file, place in the file and number of ids of every document.
 
 The tokenizer splits only within runs of white space and the words that follow, so equal pieces have equal ids
-wherever they stand; each worker keeps the ids of pieces it has met (MEMO of them) and sends only new ones to the library. Texts
+wherever they stand. Arrow splits a slice of texts and numbers its distinct pieces; each is looked up once, new ones are split
+further and only new parts go to the library's model (a worker remembers MEMO of them), and NumPy gathers the ids. Texts
 with white space of which a space is not the first character are encoded whole.
 
 Defined cases: null text is the empty text and has only the end id; a null doc_id comes before all others; rows of one
@@ -16,30 +17,44 @@ are ignored; an empty table makes no file and no rows.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import uuid
 import zlib
+from collections.abc import Callable
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import filesystem, new_folder, partitions, stage, table, text_of
+from .windows import gathered
 
 LENGTH = 2048
 #: Sequences of a record batch.
 BATCH = 256
-MEMO = 800_000
-#: Texts that are encoded at a time.
-TEXTS = 128
+#: Pieces, and parts of pieces, whose ids a worker remembers.
+MEMO = 100_000
+#: Bytes of the texts that are encoded at a time, about; a longer text is encoded alone.
+SLICE = 4 << 20
+#: Strings that are given to the library at once: what it returns takes far more room than the ids.
+CALL = 1 << 14
 INDEX = "doc_id long, part int, file string, at long, n_tokens long"
 
 #: White space other than the usual six characters: definitions of it differ.
 _ODD = "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)))
-_UNSAFE = re.compile(rf"\s |[{_ODD}]")
+_UNSAFE = rf"[\t\n\v\f\r ] |[{_ODD}]"
+#: Pieces that only the whole library splits: the class of a character after U+024F may depend on the version of Unicode, and white space at the end runs into what follows.
+_ALONE = r"^$|[^\x{00}-\x{24F}]|[\t\n\v\f\r ]$"
+#: The split of byte-level vocabularies that name no other.
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: A character that no plain piece has.
+_BETWEEN = "\ue000"
 _loaded: dict[str, tuple] = {}
 
 
@@ -49,67 +64,134 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, the others from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Memo:
+    """The ids of MEMO strings at most."""
+
+    def __init__(self, kind: np.dtype) -> None:
+        self.slots: dict[str, int] = {}
+        self.pool, self.at, self.sizes = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def ids(self, names: list[str], work: Callable, often: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pool, at, sizes) of distinct names; work gives (ids, sizes) of new ones, and those that are ``often`` are remembered while there is room."""
+        slots = np.fromiter(map(self.slots.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(slots < 0)
+        fresh = [names[i] for i in new.tolist()]
+        ids, sizes = work(fresh) if fresh else (self.pool[:0], self.sizes[:0])
+        at = np.cumsum(sizes) - sizes
+        slots[new] = len(self.at) + np.arange(len(new))
+        out = np.concatenate([self.pool, ids]), np.concatenate([self.at, len(self.pool) + at])[slots], np.concatenate([self.sizes, sizes])[slots]
+        room = MEMO - len(self.slots)
+        kept = (np.arange(len(new)) if often is None else np.flatnonzero(often[new]))[:max(room, 0)]
+        if len(kept):
+            self.slots.update(zip([fresh[i] for i in kept.tolist()], range(len(self.at), len(self.at) + len(kept)), strict=True))
+            self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(sizes[kept]) - sizes[kept]])
+            self.pool = np.concatenate([self.pool, gathered(ids, at[kept], sizes[kept])])
+            self.sizes = np.concatenate([self.sizes, sizes[kept]])
+        return out
+
+
 class Encoder:
-    """ids of texts as little-endian bytes, with a bounded memo of pieces."""
+    """ids of texts, each with the end id, with a bounded memo of pieces and of their parts."""
 
-    def __init__(self, path: str, width: int) -> None:
+    def __init__(self, path: str, width: int, end_id: int = 0) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.library, self.kind, self.memo = Tokenizer.from_file(path), np.dtype(f"<u{width}"), {}
+        self.library, self.kind, self.end = Tokenizer.from_file(path), np.dtype(f"<u{width}"), end_id
         self.library.encode_special_tokens = True
-        known = self.library.get_vocab()
-        self.spaced = np.zeros(max(known.values()) + 1, bool)
-        self.spaced[[i for t, i in known.items() if t.startswith("\u0120")]] = True
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces, a space before each, in one call to the library: only a piece's first id begins with a space.
-        Pieces that end in white space, or are empty, would run into their neighbours and are encoded alone."""
-        alone = [p for p in pieces if not p or p[-1].isspace()]
-        if alone:
-            self.memo.update(zip(alone, self.whole([" " + p for p in alone]), strict=True))
-            pieces = [p for p in pieces if p and not p[-1].isspace()]
+        self.model = Tokenizer(self.library.model)
+        self.letters = _byte_letters()
+        self.pieces, self.parts = Memo(self.kind), Memo(self.kind)
+        with open(path, encoding="utf-8") as f:
+            kind = json.load(f)
+        first = kind.get("pre_tokenizer") or {}
+        # Only where the file asks for the usual split and nothing before it may texts be taken apart at spaces.
+        self.apart = kind.get("normalizer") is None and (first.get("type"), first.get("add_prefix_space"), first.get("use_regex", True)) == ("ByteLevel", False, True)
+
+    def _ids(self, library, texts: list[str], call: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
+        for at in range(0, len(texts), call):
+            lists = [e.ids for e in library.encode_batch_fast(texts[at:at + call], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            ids.append(np.fromiter(chain.from_iterable(lists), self.kind, int(sizes[-1].sum())))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the texts, one after another, how many each has), by the whole library."""
+        return self._ids(self.library, texts, max(1, min(CALL, CALL * len(texts) // max(1, sum(map(len, texts))))))
+
+    def of_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of parts as the split gives them, in the letters of the vocabulary, by the library's model."""
+        between, mapped = (x.encode().decode("latin-1").translate(self.letters) for x in (_BETWEEN, _BETWEEN.join(parts)))
+        return self._ids(self.model, mapped.split(between), CALL)
+
+    def of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of distinct pieces that begin with a space. Parts are split off, and numbered, all together."""
         if not pieces:
-            return
-        ids = np.array(self.library.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, self.kind)
-        cuts = np.append(np.flatnonzero(self.spaced[ids]), len(ids)) * self.kind.itemsize
-        if len(cuts) != len(pieces) + 1:
-            raise ValueError("the vocabulary joins pieces")
-        raw, cuts = ids.tobytes(), cuts.tolist()
-        self.memo.update(zip(pieces, [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. Pieces that are new in any of the texts go to the library together."""
-        memo = self.memo
-        split = [None if _UNSAFE.search(t) else t.split(" ") for t in texts]
-        heads = [("", s[0]) for s in split if s]  # the first piece has no space before it
-        if new := [h for h in set(heads) if h not in memo]:
-            memo.update(zip(new, self.whole([h[1] for h in new]), strict=True))
-        rests = [s[1:] for s in split if s]
-        new = set().union(*rests).difference(memo)
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            memo.update(zip(heads, self.whole([h[1] for h in heads]), strict=True))
-            new = set().union(*rests)
-        self.learn(list(new))
-        known = [memo[h] + b"".join(map(memo.__getitem__, r)) for h, r in zip(heads, rests, strict=True)]
-        odd = iter(self.whole([t for t, s in zip(texts, split, strict=True) if s is None]))
-        usual = iter(known)
-        return [next(odd) if s is None else next(usual) for s in split]
-
-    def __call__(self, text: str) -> bytes:
-        return self.many([text])[0]
-
-
-def encoder(path: str, width: int) -> Encoder:
+            return np.zeros(0, self.kind), np.zeros(0, np.int64)
+        parts = pa.array(_SPLIT.findall("".join(pieces)))
+        begin = np.flatnonzero(pc.starts_with(parts, " ").to_numpy(zero_copy_only=False))
+        if len(begin) != len(pieces):
+            raise ValueError("the split joins pieces")
+        parts = parts.dictionary_encode()
+        codes = parts.indices.to_numpy()
+        pool, at, sizes = self.parts.ids(parts.dictionary.to_pylist(), self.of_parts)
+        ids = gathered(pool, at[codes], sizes[codes])
+        return ids, np.add.reduceat(sizes[codes], begin)
+
+    def of_all(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        alone = pc.match_substring_regex(pa.array(pieces, pa.string()), _ALONE).to_numpy(zero_copy_only=False) | ~np.fromiter((p[:1] == " " for p in pieces), bool, len(pieces))
+        usual, odd = self.of_pieces([p for p, x in zip(pieces, alone, strict=True) if not x]), self.whole([p for p, x in zip(pieces, alone, strict=True) if x])
+        sizes, at = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        for own, (ids, n), base in ((~alone, usual, 0), (alone, odd, len(usual[0]))):
+            sizes[own], at[own] = n, base + np.cumsum(n) - n
+        return gathered(np.concatenate([usual[0], odd[0]]), at, sizes), sizes
+
+    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts, where each text's ids end). Every distinct piece is looked up once."""
+        if not len(texts):
+            return np.zeros(0, self.kind), np.zeros(0, np.int64)
+        safe = pc.invert(pc.match_substring_regex(texts, _UNSAFE)) if self.apart else pa.array(np.zeros(len(texts), bool))
+        lists = pc.split_pattern(pc.if_else(safe, texts, ""), " ")
+        begin = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+        flat = lists.flatten().dictionary_encode()
+        codes, names = flat.indices.to_numpy().astype(np.int64), flat.dictionary
+        del lists, flat
+        # The first piece of a text has no space before it; a text that can't be taken apart is a piece of its own.
+        heads = names.take(pa.array(codes[begin])).dictionary_encode()
+        odd = np.flatnonzero(~safe.to_numpy(zero_copy_only=False))
+        codes[begin] = len(names) + heads.indices.to_numpy()
+        codes[begin[odd]] = len(names) + len(heads.dictionary) + np.arange(len(odd))
+        counts = np.bincount(codes, minlength=len(names))[:len(names)]
+        used = np.flatnonzero(counts)
+        slot = np.concatenate([np.cumsum(counts > 0) - 1, len(used) + np.arange(len(heads.dictionary) + len(odd))])
+        pieces = [f" {p}" for p in names.take(pa.array(used)).to_pylist()] + heads.dictionary.to_pylist()
+        pool, at, sizes = self.pieces.ids(pieces, self.of_all, np.append(counts[used] > 1, np.ones(len(heads.dictionary), bool)))
+        ids, n = self.whole(texts.take(pa.array(odd)).to_pylist())
+        at = np.concatenate([at, len(pool) + np.cumsum(n) - n, [len(pool) + len(ids)]])
+        sizes, pool = np.concatenate([sizes, n, [1]]), np.concatenate([pool, ids, np.array([self.end], self.kind)])
+        after = np.append(begin[1:], len(codes))
+        order = np.insert(slot[codes], after, len(sizes) - 1)
+        n = sizes[order]
+        return gathered(pool, at[order], n), np.cumsum(n)[after + np.arange(len(texts))]
+
+    def __call__(self, text: str) -> np.ndarray:
+        return self.many(pa.array([text]))[0]
+
+
+def encoder(path: str, width: int, end_id: int) -> Encoder:
     """One a worker process, kept from task to task."""
-    key = (path, width)
+    key = (path, width, end_id)
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Encoder(path, width)
+        _loaded[key] = Encoder(path, width, end_id)
     return _loaded[key]
 
 
@@ -118,21 +200,21 @@ class Store:
 
     def __init__(self, folder: str, length: int, width: int) -> None:
         self.name, self.length, self.kind = f"{folder}/{uuid.uuid4().hex}.arrow", length, np.dtype(f"<u{width}")
-        self.fields = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.kind), length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.fields = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.kind), length)), ("mask", pa.list_(pa.uint8(), length))])
         fs, path = filesystem(self.name)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         self.sink = fs.open_output_stream(path, compression=None)
         self.out, self.at, self.parts, self.held = pa.ipc.new_file(self.sink, self.fields), 0, [], 0
 
-    def add(self, ids: bytes) -> None:
+    def add(self, ids: np.ndarray) -> None:
         self.parts.append(ids)
-        self.held += len(ids)
-        self.at += len(ids) // self.kind.itemsize
+        self.held += ids.nbytes
+        self.at += len(ids)
         if self.held >= self.length * BATCH * self.kind.itemsize:
             self._write(False)
 
     def _write(self, last: bool) -> None:
-        ids = np.frombuffer(b"".join(self.parts), self.kind)
+        ids = np.concatenate([np.zeros(0, self.kind), *self.parts])
         step = self.length * BATCH
         full = len(ids) - len(ids) % step
         for i in range(0, full, step):
@@ -142,10 +224,10 @@ class Store:
             n = -(-len(rest) // self.length) * self.length
             self._batch(np.concatenate([rest, np.zeros(n - len(rest), self.kind)]), len(rest))
             rest = rest[:0]
-        self.parts, self.held = [rest.tobytes()], rest.nbytes
+        self.parts, self.held = [rest.copy()], rest.nbytes
 
     def _batch(self, ids: np.ndarray, real: int) -> None:
-        mask = np.arange(len(ids)) < real
+        mask = (np.arange(len(ids)) < real).view(np.uint8)
         self.out.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)], schema=self.fields))
 
     def close(self) -> None:
@@ -154,21 +236,27 @@ class Store:
         self.sink.close()
 
 
+def _slices(batch: pa.RecordBatch):
+    ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy())
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(SLICE, int(ends[-1]) + SLICE, SLICE), side="left") + 1, len(ends)).clip(1, len(ends))) if len(ends) else []
+    at = 0
+    for cut in cuts:
+        yield batch.slice(at, int(cut) - at)
+        at = int(cut)
+
+
 def _writer(folder: str, path: str, length: int, end_id: int, width: int):
     def run(batches):
-        encode, store, end = encoder(path, width), None, np.array([end_id], f"<u{width}").tobytes()
+        encode, store = encoder(path, width, end_id), None
         part = TaskContext.get().partitionId()
         for batch in batches:
-            rows = []
-            for at in range(0, batch.num_rows, TEXTS):
-                own = batch.slice(at, TEXTS)
-                for doc_id, ids in zip(own.column("doc_id").to_pylist(), encode.many(own.column("text").to_pylist()), strict=True):
-                    store = store or Store(folder, length, width)
-                    ids += end
-                    rows.append((doc_id, part, store.name, store.at, len(ids) // width))
-                    store.add(ids)
-            if rows:
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()], strict=True)], ["doc_id", "part", "file", "at", "n_tokens"])
+            for own in _slices(batch):
+                store = store or Store(folder, length, width)
+                ids, ends = encode.many(own.column("text"))
+                starts = np.concatenate([[0], ends[:-1]])
+                n = own.num_rows
+                yield pa.record_batch([own.column("doc_id"), pa.array(np.full(n, part, np.int32)), pa.array([store.name] * n), pa.array(store.at + starts), pa.array(ends - starts)], ["doc_id", "part", "file", "at", "n_tokens"])
+                store.add(ids)
         if store:
             store.close()
     return run
@@ -202,7 +290,7 @@ class View:
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         own, at = self.reader.get_batch(i // BATCH), i % BATCH
         cut = slice(at * self.length, (at + 1) * self.length)
-        return own.column("ids").values.to_numpy(zero_copy_only=True)[cut], own.column("mask").values.to_numpy(zero_copy_only=False)[cut]
+        return own.column("ids").values.to_numpy(zero_copy_only=True)[cut], own.column("mask").values.to_numpy(zero_copy_only=True)[cut].view(bool)
 
     def ids(self, at: int, n: int) -> np.ndarray:
         step, out = self.length * BATCH, []
