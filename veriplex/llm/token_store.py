@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, new_folder, partitions, stage, table, text_of
+from .common import filesystem, new_folder, partitions, slices, stage, table, text_of
 from .windows import gathered
 
 LENGTH = 2048
@@ -200,7 +200,7 @@ class Store:
 
     def __init__(self, folder: str, length: int, width: int) -> None:
         self.name, self.length, self.kind = f"{folder}/{uuid.uuid4().hex}.arrow", length, np.dtype(f"<u{width}")
-        self.fields = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.kind), length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.fields = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.kind), length)), ("mask", pa.list_(pa.bool_(), length))])
         fs, path = filesystem(self.name)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         self.sink = fs.open_output_stream(path, compression=None)
@@ -227,7 +227,7 @@ class Store:
         self.parts, self.held = [rest.copy()], rest.nbytes
 
     def _batch(self, ids: np.ndarray, real: int) -> None:
-        mask = (np.arange(len(ids)) < real).view(np.uint8)
+        mask = np.arange(len(ids)) < real
         self.out.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)], schema=self.fields))
 
     def close(self) -> None:
@@ -236,21 +236,12 @@ class Store:
         self.sink.close()
 
 
-def _slices(batch: pa.RecordBatch):
-    ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy())
-    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(SLICE, int(ends[-1]) + SLICE, SLICE), side="left") + 1, len(ends)).clip(1, len(ends))) if len(ends) else []
-    at = 0
-    for cut in cuts:
-        yield batch.slice(at, int(cut) - at)
-        at = int(cut)
-
-
 def _writer(folder: str, path: str, length: int, end_id: int, width: int):
     def run(batches):
         encode, store = encoder(path, width, end_id), None
         part = TaskContext.get().partitionId()
         for batch in batches:
-            for own in _slices(batch):
+            for own in slices(batch, size=SLICE):
                 store = store or Store(folder, length, width)
                 ids, ends = encode.many(own.column("text"))
                 starts = np.concatenate([[0], ends[:-1]])
@@ -272,7 +263,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, length: int = LENGTH,
 
 
 class View:
-    """Random access to one file: ids(at, n) of its stream, sequence(i) without a copy."""
+    """Random access to one file: ids(at, n) of its stream, sequence(i) without a copy (of the mask too: Arrow's bits, as they are mapped)."""
 
     def __init__(self, name: str) -> None:
         fs, path = filesystem(name)
@@ -287,10 +278,10 @@ class View:
             self.held[i] = self.reader.get_batch(i).column("ids").values.to_numpy(zero_copy_only=True)
         return self.held[i]
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         own, at = self.reader.get_batch(i // BATCH), i % BATCH
         cut = slice(at * self.length, (at + 1) * self.length)
-        return own.column("ids").values.to_numpy(zero_copy_only=True)[cut], own.column("mask").values.to_numpy(zero_copy_only=True)[cut].view(bool)
+        return own.column("ids").values.to_numpy(zero_copy_only=True)[cut], own.column("mask").values[cut]
 
     def ids(self, at: int, n: int) -> np.ndarray:
         step, out = self.length * BATCH, []
