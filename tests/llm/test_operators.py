@@ -123,7 +123,7 @@ def test_op2_ids_and_random_access(spark, sf):
     view = token_store.View(part.file)
     whole = view.ids(part.at, part.n_tokens)
     ids, mask = view.sequence(part.at // 16 + 1)
-    assert mask.all() and (ids == whole[16 - part.at % 16:32 - part.at % 16]).all() and whole[-1] == 0
+    assert np.asarray(mask).all() and mask.buffers()[1].address and (ids == whole[16 - part.at % 16:32 - part.at % 16]).all() and whole[-1] == 0
 
 
 def test_op2_pieces_equal_whole_texts():
@@ -169,15 +169,39 @@ def test_op3_ignores_held_out_labels(spark, sf):
     assert len(y) >= len(ids) and len(y) <= len(ids) + 4
 
 
+def brute_top_k(rows, every, k, scale=256):
+    """Results as a multiset; every row (id, vector) whose id ``every`` divides is a query of its own."""
+    rows = [(i, [int(np.floor(np.float64(x) * scale)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = Counter()
+    for q, a in rows:
+        if q % every == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), c) for c, b in rows if c != q and len(b) == len(a))[:k]
+            want.update((q, i + 1, c, -s) for i, (s, c) in enumerate(best))
+    return want
+
+
 def test_op4_against_brute_force(spark, sf):
-    rows = [r for r in pq.read_table(f"{sf}/embeddings.parquet").to_pylist() if r["vec_id"] is not None and r["embedding"] and all(x is not None and np.isfinite(x) for x in r["embedding"])]
-    v = {r["vec_id"]: np.floor(256 * np.array(r["embedding"], np.float32).astype(float)) for r in rows}
-    want = set()
-    for q in v:
-        if q % 50 == 0:
-            best = sorted((-int(v[q] @ v[c]), c) for c in v if c != q and len(v[c]) == len(v[q]))[:5]
-            want |= {(q, i + 1, c, -s) for i, (s, c) in enumerate(best)}
-    assert {(g["query_id"], g["rank"], g["vec_id"], g["score"]) for g in run(spark, "op4_exact_top_k", sf)} == want
+    rows = [(r["vec_id"], r["embedding"]) for r in pq.read_table(f"{sf}/embeddings.parquet").to_pylist()]
+    assert Counter((g["query_id"], g["rank"], g["vec_id"], g["score"]) for g in run(spark, "op4_exact_top_k", sf)) == brute_top_k(rows, 50, 5)
+
+
+@pytest.mark.parametrize("blocks", [(4096, 256), (7, 3)])
+def test_op4_repeats_ties_and_long_vectors(spark, monkeypatch, blocks):
+    monkeypatch.setattr(topk, "CANDIDATES", blocks[0])
+    monkeypatch.setattr(topk, "QUERIES", blocks[1])
+    monkeypatch.setattr(topk, "GROUP", blocks[1])
+    draw = np.random.default_rng(4)
+    rows = [(i, draw.normal(0, 1, 20).tolist()) for i in range(120)]
+    rows += [(50, rows[50][1]), (50, draw.normal(0, 1, 20).tolist()), (7, rows[7][1])]  # repeated queries, the same and another vector; a repeated candidate
+    rows += [(200 + i, rows[3][1]) for i in range(12)]  # ties at every place
+    rows += [(300, []), (301, []), (350, []), (400, [0.0] * 20), (450, None), (500, [None] * 20), (None, rows[0][1])]
+    rows += [(600, [3e6, 1.0, -2e5]), (601, [1.5, 3e6, 7e6]), (602, [2.5, 3e6, 7e6 + 1 / 128]), (603, [1e6, 1e6, 1.0]), (650, [2e6 + 1 / 256, 3e6 + 1 / 256, 1.0])]  # beyond what doubles add up exactly
+    df = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = topk.top_k(df, df.where("id % 50 = 0"), 5).collect()
+    assert Counter((g.query_id, g.rank, g.vec_id, g.score) for g in got) == brute_top_k(rows, 50, 5)
+    with pytest.raises(Exception, match="64 bits|OverflowError"):
+        far = topk.quantised(spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<double>"), "vec_id", "embedding")
+        topk.top_k(far, far, 1).collect()
 
 
 def naive_pack(pieces, capacity):

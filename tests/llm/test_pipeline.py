@@ -5,12 +5,17 @@ import pytest
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
+#: Names that the operators use, or did, for columns of their own.
+CLASHING = ["score", "__score", "size", "id", "__id", "row", "key", "__key", "digest", "__d", "__digest", "own_id", "gone_id", "spans", "__spans", "__no", "__source", "st_words", "component_id", "keep_id", "shard", "a.b"]
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    extra = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit(1)).withColumn("size", F.lit("x"))
-    odd = spark.createDataFrame([(10**6, None, "en", None, 0, 1, "x"), (10**6 + 1, "", "en", "s", 0, 1, "x"), (None, "no id", "en", "s", 5, 1, "x")], extra.schema)
+    extra = spark.read.parquet(f"{SF}/documents.parquet").withColumns({c: F.lit(f"own {c}") for c in CLASHING})
+    own = [f"own {c}" for c in CLASHING]
+    long = "".join(f"word{i} " for i in range(200_000))
+    odd = spark.createDataFrame([(10**6, None, "en", None, 0, *own), (10**6 + 1, "", "en", "s", 0, *own), (None, "no id", "en", "s", 5, *own),
+                                 (10**6 + 2, long, "en", "s", len(long), *own), *[(10**6 + 3, "one row that repeats itself, word for word", "en", "s", 0, *own)] * 3], extra.schema)
     return extra.unionByName(odd)
 
 
@@ -20,6 +25,7 @@ def test_stages_keep_columns(spark, docs):
         out = stage(spark, now, SF)
         assert out.columns == docs.columns, name
         rows = out.collect()
+        assert all(r[c] == f"own {c}" for r in rows for c in CLASHING), name
         now = spark.createDataFrame(rows, docs.schema)
     assert corpus_pipeline.STAGES[-1][1](spark, now, SF).count() > 0
 

@@ -2,14 +2,18 @@
 
 The Gram matrix of all vectors (dimension squared sums, added up by Spark) gives the SVD rotation. Vectors are dealt by
 ranges of descending norm into blocks; each block holds integers, the first HEAD rotated coordinates and the norm of
-the rest. Blocks of queries meet every block of candidates, longest first. A block is skipped when the product of norms,
-a pair is dropped when partial sum plus product of residual norms (Cauchy-Schwarz), is below the query's k-th score so
-far; survivors are scored as integers. Each task keeps k results a query, and a window picks the k best of those.
-
-Defined cases: vectors that are null, empty, or hold null or non-finite components take no part; vectors meet only
-vectors of their own dimension; rows with a null id take no part; rows of one id other than the query's are candidates
-each; equal scores go to the smaller id; extra columns are ignored; an empty table gives no rows. Components must stay
-below 2**22 in size, as integers, times the dimension's root, so that products are exact.
+the rest. The queries first meet the block of the longest candidates, and take their k-th score from there as a floor
+to all tasks; then they meet every other block, longest first. A block is skipped when the product of norms, a pair is
+dropped when partial sum plus product of residual norms (Cauchy-Schwarz), is below the query's k-th score so far;
+survivors are scored as integers. Each task keeps k results a query of its group of GROUP blocks, and a window picks
+the k best of those.
+
+Defined cases: vectors that are null, or hold null or non-finite components, take no part; empty vectors do, with a
+score of 0 to each other; vectors meet only vectors of their own dimension; rows with a null id take no part; every row
+is a query or candidate of its own, so a query row that is repeated has its result repeated, and rows of one id with
+other vectors have results of their own; a row never meets rows of its id; equal scores go to the smaller id; extra
+columns are ignored; an empty table gives no rows. Products are exact: vectors too long for doubles are scored in whole
+numbers of any size. A component or score beyond 64 bits raises an error. The driver holds the square of each dimension.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ SCALE = 256
 CANDIDATES = 4096
 QUERIES = 256
 HEAD = 16
+#: Blocks of queries whose results a task holds at a time.
+GROUP = 1024
 #: Above what rounding can add to a bound, as a share of the product of norms.
 SLACK = 1e-9
 
@@ -32,14 +38,14 @@ SLACK = 1e-9
 def quantised(rows: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
     """(id, v, dim, norm): v = floor(scale * component) as doubles that hold whole numbers."""
     v = F.col(vec_col).cast("array<double>")
-    ok = F.col(id_col).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    ok = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     out = rows.where(ok).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * F.lit(float(scale))).cast("double")).alias("v"))
     return out.select("id", "v", F.size("v").alias("dim"), F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     column = batch.column("v")
-    return np.asarray(column.flatten()).reshape(len(column), -1)
+    return np.asarray(column.flatten()).reshape(len(column), len(column.flatten()) // max(1, len(column)))
 
 
 def _gram(batches):
@@ -69,12 +75,14 @@ def _pack(turn: dict[int, np.ndarray], most: int):
     """Sorted rows -> blocks of one dimension: ids, whole numbers, rotated head, residual norms, norms."""
     def block(ids, v, dim):
         m = np.stack(v)
-        r = m @ turn[dim]
+        r = m @ turn.get(dim, np.zeros((dim, dim)))
         head = r[:, :HEAD]
         rest = np.sqrt((r[:, HEAD:] ** 2).sum(axis=1))
         norms = np.sqrt((m * m).sum(axis=1))
+        if np.abs(m).max(initial=0) >= 2.0**63:
+            raise OverflowError("a component does not fit 64 bits")
         return pa.record_batch([pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([norms.max()]), *[pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in
-                               (np.array(ids, np.int64), m.astype(np.int32), head, rest, norms)]], ["dim", "n", "longest", "ids", "v", "head", "rest", "norm"])
+                               (np.array(ids, np.int64), m.astype(np.int64 if np.abs(m).max(initial=0) >= 2.0**31 else np.int32), head, rest, norms)]], ["dim", "n", "longest", "ids", "v", "head", "rest", "norm"])
 
     def run(batches):
         held: dict[int, tuple[list, list]] = {}
@@ -82,7 +90,7 @@ def _pack(turn: dict[int, np.ndarray], most: int):
             for i, v, dim in zip(*[batch.column(c).to_pylist() for c in ("id", "v", "dim")], strict=True):
                 ids, vs = held.setdefault(dim, ([], []))
                 ids.append(i)
-                vs.append(np.array(v))
+                vs.append(np.array(v, float))
                 if len(ids) == most:
                     yield block(ids, vs, dim)
                     del held[dim]
@@ -94,51 +102,79 @@ def _pack(turn: dict[int, np.ndarray], most: int):
 BLOCK = "dim int, n int, longest double, ids binary, v binary, head binary, rest binary, norm binary"
 
 
-def _open(row: dict, at: str) -> tuple:
-    n, dim = row[f"{at}n"], row["dim"]
-    take = lambda c, kind: np.frombuffer(row[f"{at}{c}"], kind)
-    return take("ids", np.int64), take("v", np.int32).reshape(n, dim).astype(float), take("head", float).reshape(n, -1), take("rest", float), take("norm", float)
+def _open(batch: pa.RecordBatch, row: int, at: str) -> tuple:
+    """(ids, whole numbers, heads, residual norms, norms) of a block, mapped where they stand."""
+    n, dim = batch.column(f"{at}n")[row].as_py(), batch.column("dim")[row].as_py()
+    take = lambda c, kind: np.frombuffer(x, kind) if len(x := batch.column(f"{at}{c}")[row].as_buffer()) else np.zeros(0, kind)
+    wide = len(batch.column(f"{at}v")[row].as_buffer()) == 8 * n * dim
+    return take("ids", np.int64), take("v", np.int64 if wide else np.int32).reshape(n, dim), take("head", float).reshape(n, min(dim, HEAD)), take("rest", float), take("norm", float)
+
+
+def exact_scores(q: np.ndarray, v: np.ndarray, rows: np.ndarray, cols: np.ndarray, small: bool) -> np.ndarray:
+    """Inner products of q[rows] and v[cols]; small: every partial sum is a whole number that a double holds."""
+    if not small:
+        return np.array([sum(a * b for a, b in zip(q[i].tolist(), v[j].tolist(), strict=True)) for i, j in zip(rows.tolist(), cols.tolist(), strict=True)], np.int64)
+    if 4 * len(rows) > len(q) * len(v):
+        return (q.astype(float) @ v.T.astype(float))[rows, cols].astype(np.int64)
+    out = np.empty(len(rows), np.int64)
+    for lo in range(0, len(rows), 1 << 14):
+        cut = slice(lo, lo + (1 << 14))
+        out[cut] = np.einsum("ij,ij->i", q[rows[cut]].astype(float), v[cols[cut]].astype(float))
+    return out
+
+
+def _best(rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Which of the results (row, score, id) are the k best of their row, in order."""
+    order = np.lexsort((ids, -scores, rows))
+    own = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, int)
+    return order[np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own)))) < k]
 
 
 def _score(k: int):
     def run(batches):
-        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}  # (query id, dim) -> scores, ids
-        opened: tuple[bytes, tuple] | None = None
+        best: dict[int, tuple] = {}  # number of a block of queries -> its ids, floors, and results: places, scores, ids
         for batch in batches:
-            for row in batch.to_pylist():
-                if opened is None or opened[0] != row["q_ids"]:
-                    opened = (row["q_ids"], _open(row, "q_"))
-                q_ids, q, q_head, q_rest, q_norm = opened[1]
-                ids, v, head, rest, norm = _open(row, "")
-                floor = np.array([best[i, row["dim"]][0][-1] if len(best.get((i, row["dim"]), ((),))[0]) == k else -np.inf for i in q_ids.tolist()])
-                live = np.flatnonzero(q_norm * norm.max() * (1 + SLACK) >= floor)
+            for at in range(batch.num_rows):
+                q_ids, q, q_head, q_rest, q_norm = _open(batch, at, "q_")
+                ids, v, head, rest, norm = _open(batch, at, "")
+                no = batch.column("q_no")[at].as_py()
+                if no not in best:
+                    floor = np.full(len(q_ids), -np.inf)
+                    for x in batch.column("q_floor")[at].as_py() or ():
+                        floor[x["at"]] = x["score"]
+                    best[no] = q_ids.copy(), floor, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                _, floor, places, scores, found = best[no]
+                live = np.flatnonzero(q_norm * norm.max() * (1 + SLACK) + 1e-6 >= floor)
                 if not len(live):
                     continue
                 bound = q_head[live] @ head.T + q_rest[live][:, None] * rest[None, :] + SLACK * q_norm[live][:, None] * norm[None, :] + 1e-6
-                for at, qi in enumerate(live.tolist()):
-                    own = int(q_ids[qi])
-                    kept_s, kept_i = best.get((own, row["dim"]), (np.zeros(0), np.zeros(0, np.int64)))
-                    order = np.flatnonzero(bound[at] >= kept_s[-1]) if len(kept_s) == k else np.arange(len(ids))
-                    order = order[np.argsort(-bound[at][order], kind="stable")]
-                    for lo in range(0, len(order), 64):
-                        part = order[lo:lo + 64]
-                        if len(kept_s) == k:
-                            part = part[bound[at][part] >= kept_s[-1]]
-                            if not len(part):
-                                break
-                        part = part[ids[part] != own]
-                        s = np.concatenate([kept_s, v[part] @ q[qi]])
-                        i = np.concatenate([kept_i, ids[part]])
-                        first = np.lexsort((i, -s))[:k]
-                        kept_s, kept_i = s[first], i[first]
-                    best[own, row["dim"]] = kept_s, kept_i
-        keys = list(best)
-        if keys:
-            sizes = [len(best[x][0]) for x in keys]
-            yield pa.record_batch([pa.array(np.repeat([x[0] for x in keys], sizes)), pa.array(np.concatenate([best[x][1] for x in keys])), pa.array(np.concatenate([best[x][0] for x in keys]).astype(np.int64))], ["query_id", "vec_id", "score"])
+                rows, cols = np.nonzero((bound >= floor[live][:, None]) & (ids[None, :] != q_ids[live][:, None]))
+                if not len(rows):
+                    continue
+                rows = live[rows]
+                s = exact_scores(q, v, rows, cols, float(q_norm.max()) * float(norm.max()) < 2.0**52)
+                kept = s >= floor[rows]
+                places, scores, found = (np.concatenate(x) for x in ((places, rows[kept]), (scores, s[kept]), (found, ids[cols[kept]])))
+                own = _best(places, scores, found, k)
+                places, scores, found = places[own], scores[own], found[own]
+                full = np.bincount(places, minlength=len(q_ids)) >= k
+                last = np.append(places[1:] != places[:-1], True) & full[places]
+                floor[places[last]] = np.maximum(floor[places[last]], scores[last])
+                best[no] = q_ids.copy(), floor, places, scores, found
+        for no, (q_ids, _, places, scores, found) in best.items():
+            if len(places):
+                yield pa.record_batch([pa.array(np.full(len(places), no)), pa.array(places), pa.array(q_ids[places]), pa.array(found), pa.array(scores)], ["q_no", "q_at", "query_id", "vec_id", "score"])
     return run
 
 
+def _met(blocks: DataFrame, asked: DataFrame, on: list[str], k: int) -> DataFrame:
+    """Results of the blocks of queries against the blocks of candidates that have equal columns ``on``."""
+    # Blocks come longest first, so a task soon has high scores to prune by.
+    ordered = blocks.repartition(max(partitions(blocks.sparkSession), 1), *on).sortWithinPartitions(*on, F.col("longest").desc())
+    return ordered.join(asked, on).mapInArrow(_score(k), "q_no long, q_at long, query_id long, vec_id long, score long")
+
+
 def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Both sides as quantised(); (query_id, rank, vec_id, score) of the k best candidates of each query but itself."""
     spark = candidates.sparkSession
@@ -147,17 +183,24 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     n = partitions(spark)
     sized = F.col("norm").desc()
     blocks = candidates.repartitionByRange(n, sized, "id").sortWithinPartitions(sized, "id").mapInArrow(_pack(turn, CANDIDATES), BLOCK)
-    blocks = stage(blocks.withColumn("part", F.spark_partition_id()), "blocks")
-    asked = stage(queries.where(F.col("dim").isin(list(turn))).repartition(n, "id").sortWithinPartitions("id").mapInArrow(_pack(turn, QUERIES), BLOCK), "queries") if turn else None
-    if asked is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    # The stated queries go, in blocks, to each of the n parts of the candidates.
-    asked = asked.select("dim", *[F.col(c).alias(f"q_{c}") for c in asked.columns if c != "dim"], F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"))
-    # Blocks come longest first, and the join keeps their order, so a task soon has high scores to prune by.
-    ordered = blocks.repartition(n, "part", "dim").sortWithinPartitions("part", "dim", F.col("longest").desc())
-    pairs = ordered.join(asked, ["part", "dim"])
-    found = pairs.mapInArrow(_score(k), "query_id long, vec_id long, score long")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    blocks = stage(blocks.withColumns({"part": F.spark_partition_id(), "no": F.monotonically_increasing_id()}), "blocks")
+    asked = queries.repartition(n, "id").sortWithinPartitions("id").mapInArrow(_pack(turn, QUERIES), BLOCK)
+    asked = stage(asked.select("dim", *[F.col(c).alias(f"q_{c}") for c in asked.columns if c != "dim"], F.monotonically_increasing_id().alias("q_no")), "queries")
+    # First the longest block of each dimension, against the queries dealt to n groups.
+    lead = blocks.groupBy("dim").agg(F.max(F.struct("longest", "no")).alias("m")).select(F.col("dim").alias("lead_dim"), F.col("m.no").alias("lead_no"))
+    is_lead = (F.col("dim") == F.col("lead_dim")) & (F.col("no") == F.col("lead_no"))
+    salt = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    first = _met(blocks.join(lead, is_lead, "left_semi").withColumn("salt", salt(n)), asked.withColumns({"salt": F.pmod(F.xxhash64("q_no"), F.lit(n)).cast("int"), "q_floor": F.lit(None).cast("array<struct<at:long,score:long>>")}), ["dim", "salt"], k)
+    first = stage(first, "first")
+    floors = first.groupBy("q_no", "q_at").agg(F.min("score").alias("score"), F.count("*").alias("n")).where(F.col("n") == k)
+    floors = floors.groupBy("q_no").agg(F.collect_list(F.struct(F.col("q_at").alias("at"), "score")).alias("q_floor"))  # QUERIES at most
+    # Then the others: the stated queries go, in blocks, to each of the n parts of the candidates, groups of blocks apart.
+    asked = asked.join(floors, "q_no", "left")
+    groups = max(1, -(-asked.count() // GROUP))
+    asked = asked.withColumns({"part": salt(n), "salt": F.pmod(F.xxhash64("q_no"), F.lit(groups)).cast("int")})
+    rest = blocks.join(lead, is_lead, "left_anti").withColumn("salt", salt(groups))
+    found = first.unionByName(_met(rest, asked, ["part", "dim", "salt"], k))
+    place = F.row_number().over(Window.partitionBy("q_no", "q_at").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
