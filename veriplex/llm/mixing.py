@@ -7,34 +7,40 @@ numbered through the shards, and slot n takes block perm(n mod blocks) of pass n
 permutation of the source's block indices. The last slot of a source is cut to meet the target. Slots are joined with
 blocks by source and index.
 
-Order in a source: documents are dealt to chunks by a hash of doc_id and stand in order of doc_id in each, so that the
-running sum of a source of any size is made of bounded pieces.
+Shards come in groups of GROUP: a group's counts are one multinomial draw on the driver, its shards draw from these in a task.
+
+Order in a source: documents are dealt to chunks by a hash of doc_id and stand in order of doc_id in each; chunks come in
+runs of about as many as there are runs. So the running sum of a source of any size is made of bounded pieces.
 
 Defined cases: null text has no words; a document without words is taken 0 times; a null source is a source of its
 own, last in order; a null doc_id comes first in its chunk; repeated rows are documents of their own, in any order among
 equal ones; extra columns are ignored by the query and kept by the mix; an empty table gives no rows.
-The number of sources has to fit the driver; nothing else is gathered there.
+The driver gathers one row a source and the counts of the groups: 8 bytes for each source and GROUP * SHARD slots.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import stage, table, text_of, word_count
+from .common import boxed, partitions, slices, stage, table, text_of, word_count
 
 BLOCK = 2048
 SHARD = 4096
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2.0
+#: Shards of a group: the driver draws the counts of groups, tasks those of the shards in a group.
+GROUP = 64
 #: Documents of a chunk, about.
-CHUNK = 50_000
+CHUNK = 1000
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> list[float]:
@@ -113,7 +119,7 @@ def _where(blocks: int, key: int) -> int:
     raise AssertionError("not a permutation")
 
 
-def shard_counts(slots: list[int], shard: int, seed: int) -> np.ndarray:
+def shard_counts(slots: list[int], shard: int, seed: int | list[int]) -> np.ndarray:
     """Counts (shards, sources): each shard a multinomial draw over what is left, cut to it; the columns sum to slots."""
     left = np.array(slots, np.int64)
     draw, out = np.random.default_rng(seed), []
@@ -131,33 +137,41 @@ def placed(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, source, text): doc_id, key, source, size, start (words of its source before it)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("key"), F.col("source").cast("string").alias("source"), word_count(text_of()).alias("size"))
     rows = stage(rows, "sizes")
-    chunks = max(1, -(-rows.count() // CHUNK)) * 4
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "key"), F.lit(chunks)).cast("int"))
-    sums = rows.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("__s"), F.col("chunk").alias("__c"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
+    n = rows.count()
+    chunks = max(1, -(-n // CHUNK))
+    run = math.isqrt(chunks - 1) + 1
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "key"), F.lit(chunks)))
+    sums = stage(rows.groupBy("source", "chunk").agg(F.sum("size").alias("words")).withColumn("run", F.floor(F.col("chunk") / run)), "chunks", n)
+    before = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = sums.groupBy("source", "run").agg(F.sum("words").alias("words"))
+    runs = runs.select(F.col("source").alias("__s"), F.col("run").alias("__r"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
+    before = Window.partitionBy("source", "run").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("inside", F.coalesce(F.sum("words").over(before), F.lit(0))).join(runs, F.col("source").eqNullSafe(F.col("__s")) & (F.col("run") == F.col("__r")))
+    sums = sums.select(F.col("source").alias("__s"), F.col("chunk").alias("__c"), (F.col("base") + F.col("inside")).alias("base"))
     within = Window.partitionBy("source", "chunk").orderBy("doc_id", "key").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("__s")) & (F.col("chunk") == F.col("__c")))
     return stage(rows.select("doc_id", "key", "source", "size", (F.col("base") + F.col("inner")).alias("start")), "placed")
 
 
-def _slots(plan: list[dict], counts: np.ndarray, block: int):
-    """Of each shard number: its slots (shard, slot, source_no, pass, block, words)."""
-    before = np.cumsum(counts, axis=0) - counts
-
-    def run(frames):
-        for frame in frames:
-            for shard in frame["id"].tolist():
-                slot = 0
-                for no, s in enumerate(plan):
-                    n = before[shard, no] + np.arange(counts[shard, no])
-                    if not len(n):
-                        continue
-                    index = permuted(n % s["blocks"], s["blocks"], s["key"])
-                    words = np.where(n == s["slots"] - 1, s["last"], np.minimum(block, s["size"] - index * block))
-                    yield pd.DataFrame({"shard": shard, "slot": slot + np.arange(len(n)), "source_no": no, "pass": n // s["blocks"], "block": index, "words": words})
-                    slot += len(n)
+def _slots(plan: list[dict], shard: int, block: int, seed: int):
+    """Groups (no, counts of the sources, counts before) -> slots (shard, slot, source_no, pass, block, words)."""
+    def run(batches):
+        for batch in batches:
+            for group, own, first in zip(*[batch.column(c).to_pylist() for c in ("no", "counts", "before")], strict=True):
+                counts = shard_counts(own, shard, [seed, group])
+                before = np.cumsum(counts, axis=0) - counts + np.array(first, np.int64)
+                for i in range(len(counts)):
+                    slot = 0
+                    for no, s in enumerate(plan):
+                        n = before[i, no] + np.arange(counts[i, no])
+                        if not len(n):
+                            continue
+                        index = permuted(n % s["blocks"], s["blocks"], s["key"])
+                        words = np.where(n == s["slots"] - 1, s["last"], np.minimum(block, s["size"] - index * block))
+                        columns = np.full(len(n), group * GROUP + i), slot + np.arange(len(n)), np.full(len(n), no, np.int32), (n // s["blocks"]).astype(np.int32), index, words
+                        yield pa.record_batch([pa.array(c) for c in columns], ["shard", "slot", "source_no", "pass", "block", "words"])
+                        slot += len(n)
     return run
 
 
@@ -171,11 +185,13 @@ def mix_slots(rows: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int
         key = _key(source, seed)
         slots, last = quota(n, goal, block, key)
         plan.append({"source": source, "size": n, "target": goal, "key": key, "blocks": max(1, -(-n // block)), "slots": slots, "last": last})
-    counts = shard_counts([s["slots"] for s in plan], shard, seed)
+    counts = shard_counts([s["slots"] for s in plan], shard * GROUP, seed)
+    before = np.cumsum(counts, axis=0) - counts
     sources = spark.createDataFrame([(i, s["source"], s["size"], float(s["target"])) for i, s in enumerate(plan)], "source_no int, source string, source_size long, target double")
-    numbers = spark.range(0, len(counts), 1, max(1, min(len(counts), 1000)))
-    slots = numbers.mapInPandas(_slots(plan, counts, block), "shard long, slot long, source_no int, pass int, block long, words long")
-    return slots, sources
+    groups = spark.createDataFrame([(i, c, b) for i, (c, b) in enumerate(zip(counts.tolist(), before.tolist(), strict=True))], "no long, counts array<long>, before array<long>")
+    groups = groups.repartition(max(1, min(len(counts), partitions(spark))), "no")
+    # Staged, so that the join that follows knows how large the slots are and broadcasts them only while they are small.
+    return stage(groups.mapInArrow(_slots(plan, shard, block, seed), "shard long, slot long, source_no int, pass int, block long, words long"), "slots"), sources
 
 
 def pieces(rows: DataFrame, slots: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -199,55 +215,48 @@ def op10_source_mixing(spark, sf_dir: str) -> DataFrame:
     return own.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-_WORD = r"[^\x20\x09-\x0D]+"
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def _cut(columns: list[str]):
-    import re
-
-    word = re.compile(_WORD)
-
-    def run(batches):
-        for batch in batches:
-            texts = []
-            for text, spans, size in zip(*[batch.column(c).to_pylist() for c in ("text", "__spans", "__size")], strict=True):
-                if sum(s["n"] for s in spans) == size:
-                    texts.append(text)
-                    continue
-                at = [m.span() for m in word.finditer(text)]
-                out, merged = [], []
-                for s in sorted((s["first"], s["n"]) for s in spans):
-                    if merged and merged[-1][1] == s[0]:
-                        merged[-1][1] += s[1]
-                    else:
-                        merged.append([s[0], s[0] + s[1]])
-                for a, b in merged:
-                    out.append(text[at[a][0]:at[b - 1][1]])
-                texts.append("\n".join(out))
-            cols = {c: batch.column(c) for c in columns}
-            cols["text"] = pa.array(texts, pa.string())
-            yield pa.record_batch(list(cols.values()), list(cols))
-    return run
+def _cut(batches):
+    """(row, spans, size, text) with text cut to the words of spans, neighbours joined."""
+    for batch in (own for whole in batches for own in slices(whole)):
+        texts = []
+        for text, spans, size in zip(*[batch.column(c).to_pylist() for c in ("text", "spans", "size")], strict=True):
+            if sum(s["n"] for s in spans) == size:
+                texts.append(text)
+                continue
+            at = [m.span() for m in _WORD.finditer(text)]
+            merged = []
+            for first, n in sorted((s["first"], s["n"]) for s in spans):
+                if merged and merged[-1][1] == first:
+                    merged[-1][1] += n
+                else:
+                    merged.append([first, first + n])
+            texts.append("\n".join(text[at[a][0]:at[b - 1][1]] for a, b in merged))
+        yield pa.record_batch([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
 
 def mix_documents(docs: DataFrame, seed: int = 10) -> DataFrame:
     """The mix as documents: a row for each document and pass that takes any of its words, its text cut to those; n_chars follows."""
     rows = placed(docs.select("doc_id", "source", "text"))
     slots, sources = mix_slots(rows, seed=seed)
-    got = pieces(rows, slots, sources).groupBy("doc_id", "key", "source_no", "start", "pass", "size").agg(F.collect_list(F.struct("first", "n")).alias("__spans"))
+    got = pieces(rows, slots, sources).groupBy("doc_id", "key", "source_no", "start", "pass", "size").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
     # Repeated rows: each start is a row of its own, and equal rows are told apart by their number.
     again = F.row_number().over(Window.partitionBy("doc_id", "key", "source_no", "pass").orderBy("start"))
-    got = stage(got.withColumn("__again", again), "mix")
-    repeated = not got.where("__again > 1").isEmpty()
-    got = got.join(F.broadcast(sources.select("source_no", F.col("source").alias("__source"))), "source_no")
-    got = got.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "__source", F.col("size").alias("__size"), "__spans", "__again")
-    own = docs.withColumn("text", text_of())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")) & F.col("source").cast("string").eqNullSafe(F.col("__source"))
+    got = stage(got.withColumn("again", again), "mix")
+    repeated = not got.where("again > 1").isEmpty()
+    got = got.join(F.broadcast(sources.select("source_no", F.col("source").alias("own_source"))), "source_no")  # a row a source
+    got = got.select(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key"), "own_source", "size", "spans", "again")
+    own = boxed(docs).withColumn("key", F.xxhash64("text")).withColumn("source", F.col("row.source").cast("string"))
+    same = F.col("id").eqNullSafe(F.col("own_id")) & (F.col("key") == F.col("own_key")) & F.col("source").eqNullSafe(F.col("own_source"))
     if repeated:
-        own = own.withColumn("__no", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text"), "source").orderBy(F.lit(0))))
-        same = same & (F.col("__no") == F.col("__again"))
-    met = own.join(got, same)
-    columns = [c for c in docs.columns]
-    fields = ", ".join(f"`{c}` {'string' if c == 'text' else t}" for c, t in docs.dtypes)
-    out = met.select(*[F.col(f"`{c}`") for c in columns], "__spans", "__size").mapInArrow(_cut(columns), fields)
-    return out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in columns else out
+        own = own.withColumn("no", F.row_number().over(Window.partitionBy("id", "key", "source").orderBy(F.lit(0))))
+        same = same & (F.col("no") == F.col("again"))
+    # The text travels once, beside the row.
+    kinds = dict(docs.dtypes)
+    rest = F.col("row").dropFields("text") if len(docs.columns) > 1 else F.col("row")
+    met = own.withColumn("row", rest).join(got, same).select("row", "spans", "size", "text")
+    out = met.mapInArrow(_cut, StructType([met.schema["row"], StructField("text", StringType())]))
+    made = {"text": F.col("text"), "n_chars": F.char_length("text").cast(kinds.get("n_chars", "long"))}
+    return out.select(*[(made[c] if c in made else F.col("row").getField(c)).alias(c) for c in docs.columns])
