@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, attach, new_folder, partitions, stage, text_of
+from .common import SPACE, attach, boxed, new_folder, partitions, stage, text_of, unboxed
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Bits of the bitmap of hits: a fixed 8 MiB whatever the input.
@@ -107,13 +107,13 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """docs without the rows whose text another row stands for; same columns. Rows repeated with one doc_id become one."""
     groups = exact_groups(docs.select("doc_id", "text"))
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    gone = groups.where(~stays).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
-    again = groups.where(stays & (F.col("group_size") > 1)).groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).count().where("count > 1").drop("count")
+    gone = groups.where(~stays).select(F.col("doc_id").alias("own_id"), F.col("digest").alias("own_digest")).distinct()
+    again = groups.where(stays & (F.col("group_size") > 1)).groupBy(F.col("doc_id").alias("own_id"), F.col("digest").alias("own_digest")).count().where("count > 1").drop("count")
     gone, again = stage(gone, "gone"), stage(again, "again")
-    mine = docs.withColumn("__d", _digest(text_of(), "sha256"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__d") == F.col("__digest"))
+    mine = boxed(docs).withColumn("digest", _digest(F.col("text"), "sha256")).drop("text")
+    same = F.col("id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest"))
     left = mine.join(gone, same, "left_anti")
     if again.isEmpty():
-        return left.select(*[F.col(f"`{c}`") for c in docs.columns])
-    once = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "__d"])
-    return left.join(again, same, "left_anti").unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
+        return unboxed(left)
+    once = left.join(again, same, "left_semi").dropDuplicates(["id", "digest"])
+    return unboxed(left.join(again, same, "left_anti").unionByName(once))

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, table, text_of
+from .common import SPACE, WORD, boxed, table, text_of, unboxed
 
 #: Labelled rows that the ensemble is fitted on, at most.
 SAMPLE = 20_000
@@ -162,27 +162,27 @@ def sample_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple
 
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs with a further column ``__score``."""
-    model = fit_rules(*sample_of(docs.select("doc_id", "text"), labels, sample))
-    return with_score(docs, model)
+    """(row, id, text, score): row is a struct of the columns of docs."""
+    return with_score(boxed(docs), fit_rules(*sample_of(docs.select("doc_id", "text"), labels, sample)))
 
 
-def with_score(docs: DataFrame, model) -> DataFrame:
-    stats = {f"__st_{k}": v for k, v in statistics(text_of()).items()}
+def with_score(rows: DataFrame, model) -> DataFrame:
+    """rows (text and what else) with a column ``score``."""
+    stats = {f"st_{k}": v for k, v in statistics(F.col("text")).items()}
     used = {j for _, rule in model[1] for j, _, _ in rule}
     names = list(stats)
-    out = docs.withColumns({k: v for j, (k, v) in enumerate(stats.items()) if j in used}) if used else docs
+    out = rows.withColumns({k: v for j, (k, v) in enumerate(stats.items()) if j in used}) if used else rows
     # As the row of a generator: a filter on the score then stays above the statistics, instead of being pushed below them
     # with all their expressions written out once for every rule.
-    return out.withColumn("__score", F.explode(F.array(compile_rules(model, [F.col(k) for k in names])))).drop(*names)
+    return out.withColumn("score", F.explode(F.array(compile_rules(model, [F.col(k) for k in names])))).drop(*names)
 
 
 def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = scored(docs, table(spark, sf_dir, "labels"))
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that score THRESHOLD or more; same columns."""
-    return scored(docs, labels).where(F.col("__score") >= THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unboxed(scored(docs, labels).where(F.col("score") >= THRESHOLD))

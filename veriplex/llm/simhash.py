@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, components, partitions, stage, text_of
+from .common import attach, boxed, components, partitions, slices, stage, text_of, unboxed
 from .exact import _bit
 from .windows import gathered, mixed
 
@@ -53,7 +53,7 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
 
 def _fingerprints(words: int, seed: int):
     def run(batches):
-        for batch in batches:
+        for batch in (own for whole in batches for own in slices(whole)):
             prints = [fingerprint(t or "", words, seed) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array(np.array(prints, np.uint64).view(np.int64))], ["doc_id", "key", "fp"])
     return run
@@ -162,8 +162,8 @@ def _bucket_links(batches):
         yield from solve(kept)
 
 
-def near_links(prints: DataFrame) -> DataFrame:
-    """Links (a, b) that join every two distinct fingerprints of ``prints`` (fp) within RADIUS into one component."""
+def near_links(prints: DataFrame, n: int | None = None) -> DataFrame:
+    """Links (a, b) that join every two distinct fingerprints of ``prints`` (fp; ``n`` at most) within RADIUS into one component."""
     spark = prints.sparkSession
     masks = [_signed(m) for first in split_bits(0) for m in split_bits(first)]
     rows = prints.select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"))
@@ -171,7 +171,7 @@ def near_links(prints: DataFrame) -> DataFrame:
     found = None
     while True:
         out = stage(rows.repartition(partitions(spark), "mask", "value").sortWithinPartitions("mask", "value", "fp")
-                    .mapInArrow(_bucket_links, "mask long, a long, b long"), "links")
+                    .mapInArrow(_bucket_links, "mask long, a long, b long"), "links", n and 16 * n)
         part = out.where("mask is null").select("a", "b")
         found = part if found is None else found.union(part)
         rows = out.where("mask is not null").select("mask", F.col("a").alias("value"), F.col("b").alias("fp"))
@@ -182,17 +182,18 @@ def near_links(prints: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     """Per input row: doc_id, key, fp, component_id."""
     rows = stage(fingerprints(docs, words, seed), "prints")
-    return classified(rows, near_links(rows.select("fp").distinct()))
+    n = rows.count()
+    return classified(rows, near_links(rows.select("fp").distinct(), n), n=n)
 
 
-def classified(rows: DataFrame, found: DataFrame, on: str = "fp") -> DataFrame:
-    """rows (doc_id, key, ``on``) with component_id, the smallest doc_id that the links (a, b) between fingerprints (or what else ``on`` is) reach."""
-    prints = stage(rows.groupBy(on).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct")
+def classified(rows: DataFrame, found: DataFrame, on: str = "fp", n: int | None = None) -> DataFrame:
+    """rows (doc_id, key, ``on``; ``n`` of them) with component_id, the smallest doc_id that the links (a, b) between fingerprints (or what else ``on`` is) reach."""
+    prints = stage(rows.groupBy(on).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct", n)
     node = components(found).withColumnRenamed("node", on)
     joined = prints.join(node, on, "left").withColumn("component", F.coalesce("component", on))
-    joined = stage(joined, "classes")
+    joined = stage(joined, "classes", n)
     least = joined.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
-    classes = stage(attach(joined.select(on, "component", F.col("n").alias("rows")), least, "component", "n", F.col(on)), "classes")
+    classes = stage(attach(joined.select(on, "component", F.col("n").alias("rows")), least, "component", "n", F.col(on)), "classes", n)
     return attach(rows, classes.select(on, "rows", "component_id"), on, "rows", F.struct("doc_id", "key"))
 
 
@@ -227,7 +228,7 @@ def sketch(hashes: np.ndarray, bands: int, rows: int) -> tuple[int, list[int], b
 
 def _sketches(words: int, bands: int, rows: int):
     def run(batches):
-        for batch in batches:
+        for batch in (own for whole in batches for own in slices(whole)):
             sets = [shingle_hashes(t or "", words) for t in batch.column("text").to_pylist()]
             got = [sketch(h, bands, rows) for h in sets]
             nodes = pa.array(np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64))
@@ -239,7 +240,7 @@ def _sketches(words: int, bands: int, rows: int):
 def _shingle_sets(words: int):
     """Texts (node, text) -> (node, fp, sketch, hashes): all that verification takes."""
     def run(batches):
-        for batch in batches:
+        for batch in (own for whole in batches for own in slices(whole)):
             sets = [shingle_hashes(t, words) for t in batch.column("text").to_pylist()]
             got = [sketch(h, BANDS, BAND_ROWS) for h in sets]
             yield pa.record_batch([batch.column("node"), pa.array(np.array([g[0] for g in got], np.uint64).view(np.int64)),
@@ -400,16 +401,17 @@ def similar_documents(docs: DataFrame, words: int = 5, radius: int = SIMILAR_RAD
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("key"), text_of().alias("text"))
     kept = stage(rows.mapInArrow(_sketches(words, BANDS, BAND_ROWS), "doc_id long, key long, node long, fp long, bands array<long>, sketch binary"), "sketches")
+    n = kept.count()
     # Texts of the same shingles are one node; others of its fingerprint are nodes of their own.
-    nodes = stage(kept.groupBy("node").agg(F.min(F.struct("bands", "sketch", "fp", "key")).alias("s")).select("node", "s.*"), "nodes")
+    nodes = stage(kept.groupBy("node").agg(F.min(F.struct("bands", "sketch", "fp", "key")).alias("s")).select("node", "s.*"), "nodes", 4 * n)
     pairs = nodes.select("node", F.explode(F.array_distinct("bands")).alias("band"), "fp", "sketch")
     classes = pairs.repartition(partitions(spark), "band").sortWithinPartitions("band", "node").mapInArrow(_band_classes(radius), "class long, node long")
-    classes = stage(classes.distinct(), "candidates")
-    wanted = stage(nodes.select("node", "key").join(classes.select("node").distinct(), "node"), "wanted")
+    classes = stage(classes.distinct(), "candidates", 2 * n)
+    wanted = stage(nodes.select("node", "key").join(classes.select("node").distinct(), "node"), "wanted", n)
     texts = _maybe(rows.select("key", "text"), wanted, "key").groupBy("key").agg(F.min("text").alias("text")).join(wanted, "key").select("node", "text")
     sets = stage(texts.mapInArrow(_shingle_sets(words), "node long, fp long, sketch binary, hashes binary"), "sets")
     found = classes.join(sets, "node").repartition(partitions(spark), "class").sortWithinPartitions("class", "node").select("class", "node", "fp", "sketch", "hashes").mapInArrow(_verified(radius), "a long, b long")
-    return classified(kept.drop("bands", "sketch"), stage(found.distinct(), "links"), "node").drop("node")
+    return classified(kept.drop("bands", "sketch"), stage(found.distinct(), "links", n), "node", n).drop("node")
 
 
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
@@ -420,6 +422,6 @@ def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 def simhash_dedup(docs: DataFrame) -> DataFrame:
     """docs with one document (the smallest doc_id) of each class of near-duplicates, five-word shingles and a similarity of 0.8 or more; same columns."""
     rows = similar_documents(docs.select("doc_id", "text"))
-    gone = stage(rows.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct(), "gone")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_of()) == F.col("__key"))
-    return docs.join(gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = stage(rows.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct(), "gone")
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_key"))
+    return unboxed(boxed(docs).join(gone, same, "left_anti"))
