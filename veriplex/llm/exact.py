@@ -31,13 +31,13 @@ def _digest(text: Column, digest: str) -> Column:
     return F.sha2(normalised(text), 256) if digest == "sha256" else F.lpad(F.hex(F.crc32(normalised(text).cast("binary"))), 8, "0")
 
 
-def _state(spark, digests: DataFrame, folder: str) -> DataFrame:
+def _state(spark, digests: DataFrame, folder: str, n: int) -> DataFrame:
     """The keyed state after the stream has taken in every row of ``folder``: (digest, keep, n)."""
     wanted = {
         "spark.sql.streaming.stateStore.providerClass": ROCKS,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
-        "spark.sql.streaming.internal.stateStore.partitions": str(max(1, min(partitions(spark), -(-digests.count() // STATE_ROWS)))),
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
+        "spark.sql.streaming.internal.stateStore.partitions": str(max(1, min(partitions(spark), -(-n // STATE_ROWS)))),
     }
     before = {k: spark.conf.get(k, None) for k in wanted}
     at = new_folder(spark, "state")
@@ -84,8 +84,9 @@ def exact_groups(docs: DataFrame, digest: str = "sha256") -> DataFrame:
     docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest(text, digest).alias("digest"), F.char_length(text).alias("n_points"),
                 F.input_file_name().alias("locator")).write.parquet(folder)
     rows = spark.read.parquet(folder)
-    groups = stage(_state(spark, rows, folder), "groups")
-    bad = stage(_collided(docs, groups, digest), "collided")
+    n = rows.count()
+    groups = stage(_state(spark, rows, folder, n), "groups", n)
+    bad = stage(_collided(docs, groups, digest), "collided", n)
     rows = rows.drop("locator")
     if not bad.isEmpty():
         # Equal digests over different bytes: the bytes themselves, by a second and a first digest, name those groups.
@@ -109,7 +110,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     gone = groups.where(~stays).select(F.col("doc_id").alias("own_id"), F.col("digest").alias("own_digest")).distinct()
     again = groups.where(stays & (F.col("group_size") > 1)).groupBy(F.col("doc_id").alias("own_id"), F.col("digest").alias("own_digest")).count().where("count > 1").drop("count")
-    gone, again = stage(gone, "gone"), stage(again, "again")
+    n = docs.select("doc_id").count()
+    gone, again = stage(gone, "gone", n), stage(again, "again", n)
     mine = boxed(docs).withColumn("digest", _digest(F.col("text"), "sha256")).drop("text")
     same = F.col("id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest"))
     left = mine.join(gone, same, "left_anti")

@@ -151,7 +151,7 @@ def placed(docs: DataFrame) -> DataFrame:
     within = Window.partitionBy("source", "chunk").orderBy("doc_id", "key").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("__s")) & (F.col("chunk") == F.col("__c")))
-    return stage(rows.select("doc_id", "key", "source", "size", (F.col("base") + F.col("inner")).alias("start")), "placed")
+    return stage(rows.select("doc_id", "key", "source", "size", (F.col("base") + F.col("inner")).alias("start")), "placed", n)
 
 
 def _slots(plan: list[dict], shard: int, block: int, seed: int):
@@ -190,7 +190,6 @@ def mix_slots(rows: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int
     sources = spark.createDataFrame([(i, s["source"], s["size"], float(s["target"])) for i, s in enumerate(plan)], "source_no int, source string, source_size long, target double")
     groups = spark.createDataFrame([(i, c, b) for i, (c, b) in enumerate(zip(counts.tolist(), before.tolist(), strict=True))], "no long, counts array<long>, before array<long>")
     groups = groups.repartition(max(1, min(len(counts), partitions(spark))), "no")
-    # Staged, so that the join that follows knows how large the slots are and broadcasts them only while they are small.
     return stage(groups.mapInArrow(_slots(plan, shard, block, seed), "shard long, slot long, source_no int, pass int, block long, words long"), "slots"), sources
 
 
@@ -199,7 +198,7 @@ def pieces(rows: DataFrame, slots: DataFrame, sources: DataFrame, block: int = B
     named = rows.join(F.broadcast(sources.select("source_no", F.col("source").alias("__s"))), F.col("source").eqNullSafe(F.col("__s"))).where("size > 0")
     span = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))
     own = named.withColumn("block", F.explode(span))
-    met = own.join(slots, ["source_no", "block"])
+    met = own.join(slots.hint("merge"), ["source_no", "block"])  # slots grow with the words, and their files are far smaller than they are
     lo = F.greatest(F.col("start"), F.col("block") * block)
     hi = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("words"))
     return met.select("doc_id", "key", "size", "source_no", "start", "shard", "slot", "pass", (lo - F.col("start")).alias("first"), (hi - lo).alias("n")).where("n > 0")
@@ -244,7 +243,7 @@ def mix_documents(docs: DataFrame, seed: int = 10) -> DataFrame:
     got = pieces(rows, slots, sources).groupBy("doc_id", "key", "source_no", "start", "pass", "size").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
     # Repeated rows: each start is a row of its own, and equal rows are told apart by their number.
     again = F.row_number().over(Window.partitionBy("doc_id", "key", "source_no", "pass").orderBy("start"))
-    got = stage(got.withColumn("again", again), "mix")
+    got = stage(got.withColumn("again", again), "mix", 2 * rows.count())
     repeated = not got.where("again > 1").isEmpty()
     got = got.join(F.broadcast(sources.select("source_no", F.col("source").alias("own_source"))), "source_no")  # a row a source
     got = got.select(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key"), "own_source", "size", "spans", "again")

@@ -422,6 +422,6 @@ def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 def simhash_dedup(docs: DataFrame) -> DataFrame:
     """docs with one document (the smallest doc_id) of each class of near-duplicates, five-word shingles and a similarity of 0.8 or more; same columns."""
     rows = similar_documents(docs.select("doc_id", "text"))
-    gone = stage(rows.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct(), "gone")
+    gone = stage(rows.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct(), "gone", docs.select("doc_id").count())
     same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_key"))
     return unboxed(boxed(docs).join(gone, same, "left_anti"))
