@@ -60,28 +60,46 @@ def _state(spark, digests: DataFrame, folder: str, n: int) -> DataFrame:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _bit(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(BITMAP_BITS))
+def flagged(rows: DataFrame, keys: DataFrame, *key: str) -> DataFrame:
+    """rows with a boolean ``maybe``: true where the columns ``key`` stand in keys, and seldom elsewhere. It is told from a
+    broadcast bitmap, of a fixed size whatever the input; the more keys there are, the more rows it lets through."""
+    bit = F.pmod(F.xxhash64(*key), F.lit(BITMAP_BITS))
+    bits = keys.select(bit.alias("bit"))
+    maps = bits.groupBy(F.bitmap_bucket_number("bit").alias("map_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    names = rows.columns
+    rows = rows.withColumn("bit", bit).withColumn("map_bucket", F.bitmap_bucket_number("bit")).withColumn("pos", F.bitmap_bit_position("bit"))
+    held = F.expr("(shiftright(cast(conv(hex(substring(map, cast(pos div 8 as int) + 1, 1)), 16, 10) as int), cast(pos % 8 as int)) & 1) = 1")
+    return rows.join(F.broadcast(maps), "map_bucket", "left").select(*names, F.coalesce(held, F.lit(False)).alias("maybe"))
+
+
+def settled(docs: DataFrame, gone: DataFrame, again: DataFrame | None = None) -> DataFrame:
+    """docs without the rows that gone (own_id, own_key) names, and with those that again names kept once; same columns.
+    Only rows that the bitmap lets through are shuffled with their texts."""
+    mine = boxed(docs).select("row", "id", F.xxhash64("text").alias("key"))
+    named = gone.unionByName(again) if again is not None else gone
+    mine = flagged(mine, named.select(F.col("own_id").alias("id"), F.col("own_key").alias("key")), "id", "key")
+    same = F.col("id").eqNullSafe(F.col("own_id")) & (F.col("key") == F.col("own_key"))
+    doubt = mine.where("maybe").join(gone, same, "left_anti")
+    if again is not None:
+        once = doubt.join(again, same, "left_semi").dropDuplicates(["id", "key"])
+        doubt = doubt.join(again, same, "left_anti").unionByName(once)
+    return unboxed(mine.where("not maybe").select("row").unionByName(doubt.select("row")))
 
 
 def _collided(docs: DataFrame, groups: DataFrame, digest: str) -> DataFrame:
-    """Digests of hits whose full bytes differ. A bitmap of fixed size lets through few rows besides the hits; their
+    """Digests of hits whose full bytes differ. The bitmap lets through few rows besides the hits; their
     texts combine to a minimum and a maximum before the shuffle, so a large group sends two texts a task."""
-    hits = groups.where("n > 1").select(_bit(F.col("digest")).alias("bit"))
-    maps = hits.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
-    texts = docs.select(_digest(text_of(), digest).alias("digest"), normalised(text_of()).alias("norm")).withColumn("bit", _bit(F.col("digest")))
-    texts = texts.withColumn("bucket", F.bitmap_bucket_number("bit")).withColumn("pos", F.bitmap_bit_position("bit"))
-    maybe = texts.join(F.broadcast(maps), "bucket").where(
-        F.expr("(shiftright(cast(conv(hex(substring(map, cast(pos div 8 as int) + 1, 1)), 16, 10) as int), cast(pos % 8 as int)) & 1) = 1"))
+    texts = docs.select(_digest(text_of(), digest).alias("digest"), normalised(text_of()).alias("norm"))
+    maybe = flagged(texts, groups.where("n > 1").select("digest"), "digest").where("maybe")
     return maybe.groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).where("lo <> hi").select("digest")
 
 
 def exact_groups(docs: DataFrame, digest: str = "sha256") -> DataFrame:
-    """Per input row: doc_id, text_sha256, digest, n_points, keep_id, keep_points, group_size, locator."""
+    """Per input row: doc_id, key, digest, n_points, keep_id, keep_points, group_size, locator. key, a hash of the text, tells rows of one doc_id apart."""
     spark = docs.sparkSession
     folder = new_folder(spark, "digests")
     text = text_of()
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest(text, digest).alias("digest"), F.char_length(text).alias("n_points"),
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), _digest(text, digest).alias("digest"), F.char_length(text).alias("n_points"),
                 F.input_file_name().alias("locator")).write.parquet(folder)
     rows = spark.read.parquet(folder)
     n = rows.count()
@@ -90,7 +108,7 @@ def exact_groups(docs: DataFrame, digest: str = "sha256") -> DataFrame:
     rows = rows.drop("locator")
     if not bad.isEmpty():
         # Equal digests over different bytes: the bytes themselves, by a second and a first digest, name those groups.
-        full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest(text, digest).alias("digest"), F.char_length(text).alias("n_points"),
+        full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), _digest(text, digest).alias("digest"), F.char_length(text).alias("n_points"),
                            normalised(text).alias("norm")).join(bad, "digest", "left_semi")
         full = full.withColumn("digest", F.concat_ws(":", "digest", F.sha2("norm", 256), F.sha2(F.reverse("norm"), 256))).drop("norm")
         rows = stage(rows.join(bad, "digest", "left_anti").unionByName(full), "digests")
@@ -107,15 +125,15 @@ def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """docs without the rows whose text another row stands for; same columns. Rows repeated with one doc_id become one."""
     groups = exact_groups(docs.select("doc_id", "text"))
-    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    gone = groups.where(~stays).select(F.col("doc_id").alias("own_id"), F.col("digest").alias("own_digest")).distinct()
-    again = groups.where(stays & (F.col("group_size") > 1)).groupBy(F.col("doc_id").alias("own_id"), F.col("digest").alias("own_digest")).count().where("count > 1").drop("count")
+    # Of rows with the id that stays, those whose text is shorter, or of another order, go too: the longest is told by its points.
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))
+    own = [F.col("doc_id").alias("own_id"), F.col("key").alias("own_key")]
+    left = groups.where(stays & (F.col("group_size") > 1)).groupBy("digest").agg(F.min("key").alias("own_key"), F.first("doc_id").alias("own_id"), F.count("*").alias("n"), F.max("key").alias("other"))
     n = docs.select("doc_id").count()
-    gone, again = stage(gone, "gone", n), stage(again, "again", n)
-    mine = boxed(docs).withColumn("digest", _digest(F.col("text"), "sha256")).drop("text")
-    same = F.col("id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest"))
-    left = mine.join(gone, same, "left_anti")
-    if again.isEmpty():
-        return unboxed(left)
-    once = left.join(again, same, "left_semi").dropDuplicates(["id", "digest"])
-    return unboxed(left.join(again, same, "left_anti").unionByName(once))
+    several = stage(left.where("n > 1"), "several", n)
+    gone = groups.where(~stays).select(*own).distinct()
+    if several.isEmpty():
+        return settled(docs, stage(gone, "gone", n))
+    again = several.select("own_id", "own_key")
+    rest = groups.where(stays).join(several.where("own_key < other").select("digest", F.col("own_key").alias("least")), "digest").where("key > least").select(*own)
+    return settled(docs, stage(gone.unionByName(rest.distinct()), "gone", n), again)

@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, boxed, components, partitions, slices, stage, text_of, unboxed
-from .exact import _bit
+from .common import attach, components, partitions, slices, stage, text_of
+from .exact import flagged, settled
 from .windows import gathered, mixed
 
 RADIUS = 3
@@ -373,15 +373,6 @@ def _verified(radius: int):
     return lambda batches: _by_run(batches, solve, "class", "node", "fp")
 
 
-def _maybe(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """rows whose key is in wanted, and few others: by a bitmap of fixed size that is broadcast."""
-    bits = wanted.select(_bit(F.col(key)).alias("bit"))
-    maps = bits.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
-    rows = rows.withColumn("bit", _bit(F.col(key))).withColumn("bucket", F.bitmap_bucket_number("bit")).withColumn("pos", F.bitmap_bit_position("bit"))
-    return rows.join(F.broadcast(maps), "bucket").where(
-        F.expr("(shiftright(cast(conv(hex(substring(map, cast(pos div 8 as int) + 1, 1)), 16, 10) as int), cast(pos % 8 as int)) & 1) = 1")).drop("bit", "bucket", "pos", "map")
-
-
 #: Texts are similar that share at least 4 in 5 of the shingles that either has.
 SIMILAR = (4, 5)
 #: Bits in which candidates may differ: at a similarity of 0.8 over five-word shingles the mean is 9.7, with a deviation of 2.9; 12 and 3.1 for the shortest texts.
@@ -408,7 +399,7 @@ def similar_documents(docs: DataFrame, words: int = 5, radius: int = SIMILAR_RAD
     classes = pairs.repartition(partitions(spark), "band").sortWithinPartitions("band", "node").mapInArrow(_band_classes(radius), "class long, node long")
     classes = stage(classes.distinct(), "candidates", 2 * n)
     wanted = stage(nodes.select("node", "key").join(classes.select("node").distinct(), "node"), "wanted", n)
-    texts = _maybe(rows.select("key", "text"), wanted, "key").groupBy("key").agg(F.min("text").alias("text")).join(wanted, "key").select("node", "text")
+    texts = flagged(rows.select("key", "text"), wanted, "key").where("maybe").groupBy("key").agg(F.min("text").alias("text")).join(wanted, "key").select("node", "text")
     sets = stage(texts.mapInArrow(_shingle_sets(words), "node long, fp long, sketch binary, hashes binary"), "sets")
     found = classes.join(sets, "node").repartition(partitions(spark), "class").sortWithinPartitions("class", "node").select("class", "node", "fp", "sketch", "hashes").mapInArrow(_verified(radius), "a long, b long")
     return classified(kept.drop("bands", "sketch"), stage(found.distinct(), "links", n), "node", n).drop("node")
@@ -422,6 +413,5 @@ def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 def simhash_dedup(docs: DataFrame) -> DataFrame:
     """docs with one document (the smallest doc_id) of each class of near-duplicates, five-word shingles and a similarity of 0.8 or more; same columns."""
     rows = similar_documents(docs.select("doc_id", "text"))
-    gone = stage(rows.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct(), "gone", docs.select("doc_id").count())
-    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_key"))
-    return unboxed(boxed(docs).join(gone, same, "left_anti"))
+    gone = rows.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key")).distinct()
+    return settled(docs, stage(gone, "gone", docs.select("doc_id").count()))
