@@ -16,7 +16,6 @@ from veriplex.streaming.maintain import SnapshotStream
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"apply_tree", "pack_roundtrip", "parity_repair", "root_id"}
 
 
 @pytest.fixture(scope="module")
@@ -34,8 +33,6 @@ def plain(df):
 @pytest.mark.skipif(not pathlib.Path(SF).exists(), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, sql, name):
-    if name in SLOW:
-        pytest.skip("covered at a larger size by the driver")
     got, want = QUERIES[name](spark, SF).toPandas(), sql.sql(ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
     spark.catalog.clearCache()

@@ -12,6 +12,7 @@ from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,8 @@ from .boundary import SPLIT_DOMAIN, Chunker, key_hashes, parity_blocks, splits_a
 from .logical import check_edits
 from .node import EMPTY, EMPTY_ROOT, PARITY_KIND, RAW, TREE_NODE, Node, Value, block_ids, branch_cost, leaf_cost
 
-#: Entries of a partition, about, and entries at its head that the driver may replay at once.
-ROWS, HEAD = 100_000, 512
+#: Entries of a partition at most, about; at least, while the session has partitions to spare; and entries at its head that the driver may replay at once.
+ROWS, LEAST, HEAD = 100_000, 5_000, 512
 ENTRY = "key binary, body binary, cid binary, entries long, bytes long"
 NODE = "key binary, body binary, cid binary, entries long, bytes long, parity array<struct<cid: binary, body: binary>>"
 FOLD = "part int, n long, keys array<binary>, hashes array<long>, costs array<int>, starts array<int>, size int, closed boolean"
@@ -160,7 +161,8 @@ def _referenced(batches):
 
 def level_nodes(rows: DataFrame, level: int, n: int, per_part: int = ROWS) -> DataFrame:
     """The nodes over n sorted-by-key rows (ENTRY)."""
-    parts = max(1, -(-n // per_part))
+    spare = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // LEAST))
+    parts = max(1, -(-n // per_part), spare)
     bounds: list[bytes] = []
     if parts > 1:
         # A bounded sample of keys; any bounds give the same nodes.
@@ -195,6 +197,12 @@ class Tree:
     levels: list[DataFrame] = field(repr=False)
     entries: DataFrame | None = field(repr=False, default=None)
 
+    def release(self) -> None:
+        """Gives up what the build has kept; the tree stays usable and is then computed again where it is read."""
+        for kept in (*self.levels, self.entries):
+            if kept is not None:
+                kept.unpersist()
+
     def nodes(self) -> DataFrame:
         out = self.levels[0].withColumn("level", F.lit(0))
         for i, level in enumerate(self.levels[1:], 1):
@@ -215,9 +223,10 @@ class Tree:
 def build(entries: DataFrame, per_part: int = ROWS) -> Tree:
     """The tree of entries (key, value), whose keys must be unique and at most MAX_KEY bytes."""
     spark = entries.sparkSession
-    check_edits(entries)
-    rows = entries.select("key", F.col("value").alias("body")).mapInArrow(_referenced, ENTRY)
-    n, level, levels = entries.count(), 0, []
+    # Kept, so that long values are hashed once, and the table is read once, however many passes follow.
+    rows = entries.select("key", F.col("value").alias("body")).mapInArrow(_referenced, ENTRY).persist(StorageLevel.MEMORY_AND_DISK)
+    n, level, levels = rows.count(), 0, []
+    check_edits(rows.select("key", F.col("body").alias("value")))
     if not n:
         empty = spark.createDataFrame([(b"", EMPTY, EMPTY_ROOT, 0, 0, [])], NODE)
         return Tree(EMPTY_ROOT, 1, (0, 0), [empty])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .boundary import MAX_MEMBER_NODE, MAX_MEMBER_VALUE, BoundaryError, check_node, encode_group, fraud, member_ids, repair_group
 from .build import Tree, build
 from .logical import Range, apply, effective, whole
-from .node import PARITY_KIND, RAW, TREE_NODE, block_ids, try_parse
+from .node import PARITY_KIND, RAW, TREE_NODE, block_ids, parse, try_parse
 
 EDGE = "parent binary, level int, pos int, min_key binary, child binary, entries long, bytes long"
 LEAF_ROW = "leaf binary, pos int, key binary, is_ref boolean, length int, stored binary"
@@ -118,18 +118,83 @@ def aggregate_claimed(tree: Tree, r: Range = Range()) -> DataFrame:
     return both.agg(F.coalesce(F.sum("entries"), F.lit(0)).alias("entries"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
 
 
+FAULTS = ("level", "entries", "bytes", "first key", "parse", "overlap")
+
+
+def contradictions(spanned_edges: DataFrame, node_headers: DataFrame) -> DataFrame:
+    """(parent, child, fault) of edges whose child is not what the parent says, a row for each of FAULTS: level, aggregates,
+    first key, a block that does not parse, or a last key past the inherited bound."""
+    h = node_headers.select("cid", F.col("level").alias("own_level"), F.col("entries").alias("own_entries"), F.col("bytes").alias("own_bytes"), F.col("min_key").alias("own_key"), "max_key", "error")
+    met = spanned_edges.join(h, F.col("child") == F.col("cid"))
+    wrong = (F.col("own_level") + 1 != F.col("level"), F.col("entries") != F.col("own_entries"), F.col("bytes") != F.col("own_bytes"), ~F.col("min_key").eqNullSafe(F.col("own_key")),
+             F.col("error").isNotNull(), F.col("upper").isNotNull() & (F.col("max_key") >= F.col("upper")))
+    found = F.filter(F.array(*[F.when(w, F.lit(name)) for name, w in zip(FAULTS, wrong, strict=True)]), lambda x: x.isNotNull())
+    return met.select("parent", "child", F.explode(found).alias("fault"))
+
+
 def violations(tree: Tree) -> DataFrame:
-    """Edges whose child is not what the parent says: level, aggregate, first key, or a last key past the inherited bound."""
-    e, h = spanned(tree), headers(tree.nodes()).withColumnRenamed("entries", "own_entries").withColumnRenamed("bytes", "own_bytes").withColumnRenamed("level", "own_level")
-    met = e.withColumnRenamed("min_key", "parent_key").join(h, e.child == h.cid)
-    bad = (F.col("own_level") + 1 != F.col("level")) | (F.col("entries") != F.col("own_entries")) | (F.col("bytes") != F.col("own_bytes")) | ~F.col("parent_key").eqNullSafe(F.col("min_key"))
-    bad = bad | F.col("error").isNotNull() | (F.col("upper").isNotNull() & (F.col("max_key") >= F.col("upper")))
-    return met.where(bad).select("parent", "child")
+    """(parent, child, fault) of a tree's edges that contradict the node below them."""
+    return contradictions(spanned(tree), headers(tree.nodes()))
+
+
+def _checked(batches):
+    for batch in batches:
+        cids, bodies = batch.column("cid").to_pylist(), batch.column("body").to_pylist()
+        ids = block_ids([(TREE_NODE, b) for b in bodies]) if bodies else []
+        for cid, body, own in zip(cids, bodies, ids, strict=True):
+            if own != cid:
+                raise ValueError(f"block {cid.hex()} does not hash to its id")
+            node = parse(body)
+            if node.level:
+                raise ValueError(f"block {cid.hex()} is not a leaf")
+            check_node(node)
+        yield batch
+
+
+def aggregate_verified(tree: Tree, r: Range = Range()) -> DataFrame:
+    """(entries, bytes) counted over the entries of the leaves that meet the range, each hashed, parsed and checked on the way; a bad block ends the job."""
+    whole(r)
+    size = (F.octet_length("key") + F.col("length")).cast("long")
+    leaves = tree.levels[0].select("cid", "body")
+    if tree.height > 1:
+        met = spanned(tree).where(F.lit(not r.is_empty()) & (F.col("level") == 1) & span(r, F.col("min_key"), F.col("upper")).isNotNull())
+        leaves = leaves.join(met.select(F.col("child").alias("cid")), "cid", "left_semi")
+    rows = leaf_rows(leaves.mapInArrow(_checked, "cid binary, body binary")).where(r.condition(F.col("key")))
+    return rows.agg(F.count("*").alias("entries"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))
+
+
+def dereferenced(leaves: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(key, value) of the leaf rows that hold references, by their ids; a missing block or one of a wrong length ends the job."""
+    refs = leaves.where("is_ref").select("key", "length", F.col("stored").alias("cid"))
+    met = refs.join(blocks.where(F.col("kind") == RAW).select("cid", "body"), "cid", "left")
+    ok = F.octet_length("body").eqNullSafe(F.col("length"))
+    return met.select("key", F.when(ok, F.col("body")).otherwise(F.raise_error(F.concat(F.lit("lost value "), F.hex("cid"))).cast("binary")).alias("value"))
+
+
+def lying(tree: Tree, leaves: DataFrame) -> DataFrame:
+    """The branches over the named leaves (cid), each saying one entry more of them than there is: for tests of the checks."""
+    owners = edges(tree.levels[1]).join(leaves, F.col("child") == F.col("cid"), "left_semi").groupBy("parent").agg(F.collect_set("child").alias("liars"))
+    rows = tree.levels[1].select("cid", "body").join(owners, F.col("cid") == F.col("parent"))
+
+    def run(batches):
+        for batch in batches:
+            bodies = []
+            for body, liars in zip(batch.column("body").to_pylist(), batch.column("liars").to_pylist(), strict=True):
+                node, named = parse(body), set(liars)
+                node.children = [(c, n + (c in named), size) for c, n, size in node.children]
+                bodies.append(node.encode())
+            yield pa.record_batch([pa.array(block_ids([(TREE_NODE, b) for b in bodies]) if bodies else [], pa.binary()), pa.array(bodies, pa.binary())], ["cid", "body"])
+
+    return rows.mapInArrow(run, "cid binary, body binary")
 
 
 def frauds(tree: Tree) -> DataFrame:
     """Pairs of a branch and a child that contradict each other, by the two blocks alone."""
-    n = tree.nodes().select("cid", "body")
+    return fraudulent(tree.nodes().select("cid", "body"))
+
+
+def fraudulent(n: DataFrame) -> DataFrame:
+    """The same among any blocks (cid, body)."""
     pairs = edges(n).select("parent", "child").join(n.select(F.col("cid").alias("parent"), F.col("body").alias("parent_body")), "parent").join(n.select(F.col("cid").alias("child"), F.col("body").alias("child_body")), "child")
 
     def run(batches):

@@ -93,27 +93,73 @@ def agg_all_claimed(spark, sf_dir):
     return V.aggregate_claimed(order_tree(spark, sf_dir))
 
 
-@query("SELECT 0 AS violations")
-def held_checks(spark, sf_dir):
-    return V.violations(order_tree(spark, sf_dir)).agg(F.count("*").cast("int").alias("violations"))
+#: Keys by which faults are planted: their number modulo 1000, and the fault. The last leaf has no bound to overlap.
+_PLANTED = {7: "entries", 107: "bytes", 207: "first key", 307: "level", 407: "overlap"}
+_PLANTED_SQL = "SELECT '6F2F' || printf('%016X', o_orderkey) AS key_hex, fault FROM orders JOIN (VALUES " + ", ".join(f"({n}, '{f}')" for n, f in _PLANTED.items()) + """) t(rest, fault) ON o_orderkey % 1000 = rest
+WHERE fault <> 'overlap' OR o_orderkey + 5000 < (SELECT max(o_orderkey) FROM orders)"""
+
 
+def _planted(spark, sf_dir, tree):
+    """(child, fault, key): the leaf of each planted key."""
+    rows = V.leaf_rows(tree.levels[0]).select(F.col("leaf").alias("child"), "key", F.conv(F.hex(F.substring("key", 3, 8)), 16, 10).cast("long").alias("n"))
+    kinds = spark.createDataFrame(list(_PLANTED.items()), "rest long, fault string")
+    last = int.from_bytes(bytes(rows.agg(F.max("key")).first()[0])[2:], "big")
+    return rows.join(F.broadcast(kinds), F.col("n") % 1000 == F.col("rest")).where((F.col("fault") != "overlap") | (F.col("n") + 5000 < last)).select("child", "fault", "key")
 
-@query("SELECT 0 AS frauds")
+
+@query(_PLANTED_SQL)
+def held_checks(spark, sf_dir):
+    """Edges and headers with planted faults: each is found, by its key, and nothing else (which would have no key)."""
+    tree = order_tree(spark, sf_dir)
+    planted = _planted(spark, sf_dir, tree).persist()
+    faults = planted.groupBy(F.col("child").alias("bad")).agg(F.collect_set("fault").alias("faults"))
+    has = lambda f: F.coalesce(F.array_contains("faults", f), F.lit(False))
+    e = V.spanned(tree).join(faults, F.col("child") == F.col("bad"), "left")
+    bound = e.select(F.col("child").alias("of"), "upper", has("overlap").alias("over"))
+    e = e.withColumns({"entries": F.col("entries") + has("entries").cast("int"), "bytes": F.col("bytes") + has("bytes").cast("int"), "level": F.col("level") + has("level").cast("int"),
+                       "min_key": F.when(has("first key"), F.concat("min_key", F.lit(b"!"))).otherwise(F.col("min_key"))}).drop("bad", "faults")
+    h = V.headers(tree.nodes()).join(bound, F.col("cid") == F.col("of"), "left").withColumn("max_key", F.when(F.coalesce("over", F.lit(False)), F.col("upper")).otherwise(F.col("max_key"))).drop("of", "upper", "over")
+    found = V.contradictions(e, h).join(planted, ["child", "fault"], "left")
+    return found.select(F.hex("key").alias("key_hex"), "fault")
+
+
+@query("SELECT '6F2F' || printf('%016X', o_orderkey) AS key_hex FROM orders WHERE o_orderkey % 1000 = 7")
 def fraud_bulk(spark, sf_dir):
-    return V.frauds(order_tree(spark, sf_dir)).agg(F.count("*").cast("int").alias("frauds"))
+    """Branches that say one entry too many of the leaves of planted keys: the two blocks alone prove each, and no honest pair."""
+    tree = order_tree(spark, sf_dir)
+    planted = _planted(spark, sf_dir, tree).where("fault = 'entries'").persist()
+    liars = V.lying(tree, planted.select(F.col("child").alias("cid")).distinct())
+    found = V.fraudulent(tree.nodes().select("cid", "body").unionByName(liars)).select("child").distinct()
+    return found.join(planted, "child", "left").select(F.hex("key").alias("key_hex"))
 
 
-@query("SELECT 0 AS bad")
+@query(f"WITH {D_SQL} SELECT count(*) AS entries, CAST(sum(10 + size) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS bad FROM d")
 def boundary_checks(spark, sf_dir):
-    return V.headers(document_tree(spark, sf_dir).nodes()).where("error is not null or boundary is not null").agg(F.count("*").cast("int").alias("bad"))
+    """What stands in leaves that parse and are cut where the rules say, and how many nodes of any level do not."""
+    bad = F.col("error").isNotNull() | F.col("boundary").isNotNull()
+    own = lambda c: F.sum(F.when(~bad & (F.col("level") == 0), F.col(c)).otherwise(0)).alias(c)
+    return V.headers(document_tree(spark, sf_dir).nodes()).agg(own("entries"), own("bytes"), F.sum(bad.cast("long")).alias("bad"))
 
 
-@query("SELECT 0 AS overlaps")
-def overlap_check(spark, sf_dir):
-    """Leaves whose last key reaches the bound that they inherit."""
-    tree = order_tree(spark, sf_dir)
-    e, h = V.spanned(tree), V.headers(tree.nodes()).select("cid", "max_key")
-    return e.join(h, e.child == h.cid).where("upper is not null and max_key >= upper").agg(F.count("*").cast("int").alias("overlaps"))
+@query(f"SELECT count(*) AS least_entries, count(*) AS most_entries, CAST(sum({_VALUE_BYTES}) AS BIGINT) AS least_bytes, CAST(sum({_VALUE_BYTES}) AS BIGINT) AS most_bytes, 1 AS roots FROM orders")
+def level_sums(spark, sf_dir):
+    """Every level of the tree sums to the whole table, and the top level is one node."""
+    levels = order_tree(spark, sf_dir).nodes().groupBy("level").agg(F.sum("entries").alias("e"), F.sum("bytes").alias("b"), F.count("*").cast("int").alias("n"))
+    return levels.agg(F.min("e").alias("least_entries"), F.max("e").alias("most_entries"), F.min("b").alias("least_bytes"), F.max("b").alias("most_bytes"), F.min("n").alias("roots"))
+
+
+@query(f"SELECT count(*) AS entries, CAST(coalesce(sum({_VALUE_BYTES}), 0) AS BIGINT) AS bytes FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 1100")
+def agg_range_checked(spark, sf_dir):
+    """Counted over leaves whose blocks are hashed, parsed and checked."""
+    return V.aggregate_verified(order_tree(spark, sf_dir), Range(Bound.including(okey(100)), Bound.excluding(okey(1100))))
+
+
+@query(f"WITH {D_SQL} SELECT key_hex, md5(text) AS digest FROM d WHERE size > 1024")
+def deref_values(spark, sf_dir):
+    """References of the leaves, joined with the value blocks that they name."""
+    tree = document_tree(spark, sf_dir)
+    got = V.dereferenced(V.leaf_rows(tree.levels[0]), tree.blocks())
+    return got.select(F.hex("key").alias("key_hex"), F.md5("value").alias("digest"))
 
 
 def _trees(spark, sf_dir):
@@ -128,17 +174,17 @@ def diff_structural(spark, sf_dir):
     return V.structural_changes(a, b).select(F.hex("key").alias("key_hex"), "change", F.col("old.stored").cast("string").alias("old_text"), F.col("new.stored").cast("string").alias("new_text"))
 
 
-@query("SELECT true AS same_root, true AS complete, true AS disjoint")
+@query(f"WITH {A_SQL}, {B_SQL} SELECT count(*) AS entries, CAST(sum(octet_length(encode(value)) + len(key_hex) // 2) AS BIGINT) AS bytes, true AS same_root, true AS complete, true AS disjoint FROM b")
 def apply_tree(spark, sf_dir):
     """An applied batch against a rebuild: the same root; old blocks and new ones are all that the tree needs; none is emitted twice."""
     entries, edits, a, b = _trees(spark, sf_dir)
     after, fresh, _ = V.apply_tree(a, entries, edits)
     lacks = b.blocks().select("cid").join(overlay(fresh.select("cid", "kind", "body"), a.blocks()).select("cid"), "cid", "left_anti")
     twice = fresh.join(a.blocks().select("cid"), "cid", "left_semi")
-    return spark.createDataFrame([(after.root == b.root, lacks.isEmpty(), twice.isEmpty())], "same_root boolean, complete boolean, disjoint boolean")
+    return spark.createDataFrame([(*after.agg, after.root == b.root, lacks.isEmpty(), twice.isEmpty())], "entries long, bytes long, same_root boolean, complete boolean, disjoint boolean")
 
 
-@query("SELECT true AS same_root, true AS reads_part")
+@query("SELECT count(*) + 1 - count(*) FILTER (o_orderkey = 64) + 1 - max(CAST(o_orderkey = 7 AS INTEGER)) AS entries, true AS same_root, true AS reads_part FROM orders")
 def apply_incremental(spark, sf_dir):
     """Three edits applied from a root alone, blocks fetched as they are named: the root of a rebuild, and few blocks read."""
     entries, edits = orders(spark, sf_dir).select("key", "value"), [(okey(7), b"changed"), (okey(64), None), (okey(1000) + b"x", b"new")]
@@ -151,7 +197,7 @@ def apply_incremental(spark, sf_dir):
 
     got, _ = apply_cold(counted, tree.root, edits)
     after = build(L.apply(entries, spark.createDataFrame([(bytearray(k), None if v is None else bytearray(v)) for k, v in edits], "key binary, value binary")))
-    return spark.createDataFrame([(got.root == after.root, len(asked) < tree.blocks().count())], "same_root boolean, reads_part boolean")
+    return spark.createDataFrame([(after.agg[0], got.root == after.root, len(asked) < tree.blocks().count())], "entries long, same_root boolean, reads_part boolean")
 
 
 @query()
@@ -239,7 +285,7 @@ def proof_aggregate(spark, sf_dir):
     return spark.createDataFrame([P.verify_aggregate(tree.root, r, P.prove_aggregate(held, tree.root, r))], "entries long, bytes long")
 
 
-@query("SELECT true AS rebuilt, true AS recoded")
+@query(f"WITH {D_SQL} SELECT count(DISTINCT text) AS values_in_groups, true AS rebuilt, true AS recoded FROM d WHERE size > 1024")
 def parity_repair(spark, sf_dir):
     """Every fifth member of every group is lost and rebuilt; parity computed again from the members is the parity listed."""
     tree = document_tree(spark, sf_dir)
@@ -249,21 +295,26 @@ def parity_repair(spark, sf_dir):
     bad = blocks.join(lost, "cid", "left_semi").select("cid", "body").exceptAll(again.select("cid", "body").distinct())
     parity = V.recoded(groups, blocks).select("cid").distinct()
     odd = blocks.where(F.col("kind") == PARITY_KIND).select("cid").exceptAll(parity)
-    return spark.createDataFrame([(bad.isEmpty(), odd.isEmpty())], "rebuilt boolean, recoded boolean")
+    values = groups.where("level = 0").select(F.explode("members").alias("cid")).distinct().count()
+    return spark.createDataFrame([(values, bad.isEmpty(), odd.isEmpty())], "values_in_groups long, rebuilt boolean, recoded boolean")
 
 
-@query("SELECT 0 AS lost, 0 AS extra")
+@query(f"WITH {D_SQL}, v AS (SELECT DISTINCT text, size FROM d WHERE size > 1024) SELECT count(*) AS value_blocks, CAST(sum(size) AS BIGINT) AS value_bytes, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS extra FROM v")
 def pack_roundtrip(spark, sf_dir):
-    blocks = order_tree(spark, sf_dir).blocks().persist()
-    got = unpack(pack_blocks(blocks.withColumn("carrier", F.ascii(F.substring(F.hex("cid"), 1, 1))), "carrier", 64 * 1024))
+    """Blocks packed by carriers and unpacked: the values that come back, and blocks lost or added."""
+    blocks = document_tree(spark, sf_dir).blocks().persist()
+    got = unpack(pack_blocks(blocks.withColumn("carrier", F.ascii(F.substring(F.hex("cid"), 1, 1))), "carrier", 64 * 1024)).persist()
     a, b = blocks.select("cid", F.col("kind").cast("int"), "body"), got.select("cid", "kind", "body")
-    return spark.createDataFrame([(a.exceptAll(b).count(), b.exceptAll(a).count())], "lost long, extra long").select(F.col("lost").cast("int"), F.col("extra").cast("int"))
+    values = got.where(F.col("kind") == 0).agg(F.count("*").alias("value_blocks"), F.sum(F.octet_length("body")).cast("long").alias("value_bytes"))
+    return values.select("*", F.lit(a.exceptAll(b).count()).cast("long").alias("lost"), F.lit(b.exceptAll(a).count()).cast("long").alias("extra"))
 
 
 @query("""WITH RECURSIVE p(i, x) AS (SELECT 0, 1 UNION ALL SELECT i + 1, CASE WHEN x >= 128 THEN xor(x * 2, 285) ELSE x * 2 END FROM p WHERE i < 254)
-SELECT a.x AS a, b.x AS b, c.x AS product FROM p a JOIN p b ON true JOIN p c ON c.i = (a.i + b.i) % 255 WHERE a.x < 32 AND b.x < 32""")
+SELECT a.x AS a, b.x AS b, c.x AS product FROM p a JOIN p b ON true JOIN p c ON c.i = (a.i + b.i) % 255
+UNION ALL SELECT 0, x, 0 FROM p UNION ALL SELECT x, 0, 0 FROM p UNION ALL SELECT 0, 0, 0""")
 def gf_mul_table(spark, sf_dir):
-    return spark.createDataFrame([(a, b, int(MUL[a, b])) for a in range(1, 32) for b in range(1, 32)], "a int, b int, product int")
+    """All 65,536 products of the field, zero's included."""
+    return spark.createDataFrame([(a, b, int(MUL[a, b])) for a in range(256) for b in range(256)], "a int, b int, product int")
 
 
 @query()

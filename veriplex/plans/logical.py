@@ -122,7 +122,9 @@ for _name, _how, _sql in (("seek_ge", "ge", "SELECT min(o_orderkey) FROM orders
                           ("seek_le", "le", "SELECT max(o_orderkey) FROM orders WHERE o_orderkey <= 333"), ("seek_lt", "lt", "SELECT max(o_orderkey) FROM orders WHERE o_orderkey < 333"),
                           ("seek_first", "first", "SELECT min(o_orderkey) FROM orders"), ("seek_last", "last", "SELECT max(o_orderkey) FROM orders")):
     def _seek(spark, sf_dir, how=_how):
-        return hexed(L.seek(orders(spark, sf_dir), okey(333), how), *ROW)
+        at = Bound.including(okey(333))
+        bounds = Range(lo=at) if how in ("ge", "gt") else Range(hi=at) if how in ("le", "lt") else Range()
+        return hexed(L.seek(orders(spark, sf_dir, bounds), okey(333), how), *ROW)
     _seek.__name__ = _name
     query(f"SELECT {ROW_SQL} FROM orders WHERE o_orderkey = ({_sql})")(_seek)
 
@@ -235,15 +237,6 @@ def size_classes(spark, sf_dir):
     return documents(spark, sf_dir).groupBy(F.coalesce(size_class(size), F.lit(-1)).alias("class")).agg(F.count("*").alias("entries"))
 
 
-@query(f"WITH {D_SQL} SELECT key_hex, md5(text) AS digest FROM d WHERE size > 1024")
-def deref_values(spark, sf_dir):
-    df = documents(spark, sf_dir).select("key", "value")
-    refs = df.where(is_reference(F.col("value"))).select("key", F.sha2("value", 256).alias("vid"), F.octet_length("value").alias("size"))
-    values = df.where(is_reference(F.col("value"))).select(F.sha2("value", 256).alias("vid"), "value").dropDuplicates(["vid"])
-    met = refs.join(values, "vid", "left").where(F.octet_length("value") == F.col("size"))
-    return hexed(met, F.md5("value").alias("digest"))
-
-
 @query(f"WITH {D_SQL} SELECT key_hex, CAST(10 + stored AS BIGINT) AS page_cost, CAST(13 + 10 + stored AS BIGINT) AS leaf_cost FROM d")
 def entry_costs(spark, sf_dir):
     k, v = F.col("key"), F.col("value")
