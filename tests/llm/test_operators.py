@@ -245,6 +245,25 @@ def test_op5_bins(spark, sf):
         assert len(named) == len(set(named))
 
 
+def test_op5_against_naive_packing(spark, sf):
+    rows = [(d, s, len((t or "").encode().split()), SPACE.sub("", t or "")) for d, t, s in documents()]
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0))
+    capacity, want = packing.CAPACITY, []
+    for d, _, n, _ in rows:
+        want += [((d, i, capacity),) for i in range(n // capacity)]
+    rest = sorted((r for r in rows if r[2] % capacity), key=lambda r: -(r[2] % capacity))
+    bins = {}
+    for (d, _, n, _), b in zip(rest, naive_pack([(n % capacity, s, c) for _, s, n, c in rest], capacity), strict=True):
+        bins.setdefault(b, []).append((d, n // capacity, n % capacity))
+    plain = lambda own: tuple(sorted(own, key=lambda x: (x[0] is not None, x[0] or 0, *x[1:])))
+    want = Counter([*map(plain, want), *map(plain, bins.values())])
+    got = {}
+    for g in run(spark, "op5_best_fit_packing", sf):
+        if g["bin"] is not None:
+            got.setdefault((g["shard"], g["bin"]), []).append((g["doc_id"], g["piece"], g["n_words"]))
+    assert len({shard for shard, _ in got}) == 1 and Counter(map(plain, got.values())) == want
+
+
 def slow_print(text, n=3):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
     found = re.findall(r"[^\x20\x09-\x0D]+", low)
@@ -569,6 +588,31 @@ def test_op10_meets_targets_and_repeats(spark, sf):
             assert abs(sum(g["taken"] for g in got if abs(g["target"] - goal) < 1e-9) - goal) <= 1
 
 
+def test_op10_slot_by_slot(spark, sf, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 7)
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = mixing.placed(df.select("doc_id", "source", "text"))
+    slots, sources = mixing.mix_slots(rows, block=64, shard=16)
+    names = {r.source_no: r.source for r in sources.collect()}
+    words = {}  # per source: the number of the row that each of its words is of
+    placed = [r.asDict() for r in rows.collect()]
+    for i, r in enumerate(placed):
+        words.setdefault(r["source"], {}).update({r["start"] + j: i for j in range(r["size"])})
+    assert all(sorted(w) == list(range(len(w))) for w in words.values())  # no gap, no overlap
+    taken = Counter()
+    for s in slots.collect():
+        own = words[names[s.source_no]]
+        taken.update(own[s.block * 64 + j] for j in range(s.words))
+    want = Counter((r["doc_id"], r["source"], r["start"], taken[i]) for i, r in enumerate(placed) if taken[i])
+    got = mixing.pieces(rows, slots, sources, 64).groupBy("doc_id", "source_no", "start").agg({"n": "sum"}).collect()
+    assert Counter((g.doc_id, names[g.source_no], g.start, g["sum(n)"]) for g in got) == want
+    goals = {r.source: r.target for r in sources.collect()}
+    total = Counter()
+    for i, n in taken.items():
+        total[placed[i]["source"]] += n
+    assert all(abs(total[s] - goals[s]) <= 1 for s in goals)
+
+
 def test_op10_parts():
     for size in (1, 2, 3, 17, 1000):
         assert sorted(mixing.permuted(np.arange(size), size, 99).tolist()) == list(range(size))

@@ -48,3 +48,68 @@ def test_run_packs_what_the_mix_takes(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.where("n_words > 0").count() == out.count() > 100
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact", "near", "mix", "packing"]
+
+
+def test_stages_against_brute_force(spark):
+    """Each stage on the rows that the last one kept, from the texts alone."""
+    import re
+    from collections import Counter
+
+    from veriplex.llm import mixing, rules
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r for r in docs.collect()}
+    scores = {r.doc_id: r.score for r in rules.scored(docs, spark.read.parquet(f"{SF}/labels.parquet")).select("row.doc_id", "score").collect()}
+    now = corpus_pipeline.quality(spark, docs, SF)
+    left = {i for i, s in scores.items() if s >= rules.THRESHOLD}
+    assert {r.doc_id for r in now.collect()} == left
+
+    best = {}
+    for i in left:
+        key = re.sub(r"[\x20\x09-\x0D]", "", texts[i].text or "")
+        best[key] = min(best.get(key, (0, 10**12)), (-len(texts[i].text or ""), i))
+    now = corpus_pipeline.exact(spark, now, SF)
+    left = {i for _, i in best.values()}
+    assert sorted(r.doc_id for r in now.collect()) == sorted(left)
+
+    def shingles(text):
+        found = (text or "").encode().lower().split()
+        return {tuple(found[i:i + 5]) for i in range(max(1, len(found) - 4))} if found else set()
+
+    sets, root = {i: shingles(texts[i].text) for i in left}, {i: i for i in left}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    order = sorted(left)
+    for n, a in enumerate(order):
+        for b in order[:n]:
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    now = corpus_pipeline.near(spark, now, SF)
+    left = {i for i in left if find(i) == i}
+    assert sorted(r.doc_id for r in now.collect()) == sorted(left)
+
+    words = lambda t: (t or "").encode().split()
+    sizes = Counter()
+    for i in left:
+        sizes[texts[i].source] += len(words(texts[i].text))
+    sources = sorted(sizes, key=lambda s: (s is None, s or ""))
+    goals = dict(zip(sources, mixing.targets([sizes[s] for s in sources]), strict=True))
+    kept = spark.createDataFrame([texts[i] for i in sorted(left)], docs.schema)
+    mixed = corpus_pipeline.mix(spark, kept, SF).collect()
+    taken, most = Counter(), Counter()
+    for r in mixed:
+        taken[r.source] += len(words(r.text))
+        most[r.doc_id] += len(words(r.text))
+        assert set(words(r.text)) <= set(words(texts[r.doc_id].text)) and r.n_chars == len(r.text)
+    assert all(abs(taken[s] - goals[s]) <= 1 for s in goals) and all(n <= 2 * len(words(texts[i].text)) for i, n in most.items())
+
+    again = spark.createDataFrame(mixed, docs.schema)
+    total = Counter()
+    for r in corpus_pipeline.packing(spark, again, SF).collect():
+        total[r.doc_id] += r.n_words
+    assert total == most

@@ -521,8 +521,19 @@ def keyed(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame, words: bool, window: int, gram: int, index: Index, finish: Callable, fields: str, hot: int = HOT) -> DataFrame:
     """finish(documents' bytes, spans) of every row of docs; finish gives a row of ``fields``, which start with doc_id."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        return _without_repeats(docs, words, window, gram, index, finish, fields, hot)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _without_repeats(docs: DataFrame, words: bool, window: int, gram: int, index: Index, finish: Callable, fields: str, hot: int) -> DataFrame:
+    spark = docs.sparkSession
     buckets = partitions(spark)
     rows = keyed(docs)
     anchors = rows.mapInArrow(_anchors(words, window, gram, buckets), PACKED)
@@ -549,4 +560,4 @@ def without_repeats(docs: DataFrame, words: bool, window: int, gram: int, index:
 
         yield from _with_texts(batches, SPANS, handle)
 
-    return _met(rows, spans, buckets).mapInArrow(last, fields)
+    return stage(_met(rows, spans, buckets).mapInArrow(last, fields), "kept")  # now, while the options hold
