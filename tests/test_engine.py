@@ -110,3 +110,42 @@ def test_plans_push_down_and_avoid_python(spark):
 
     plan = L.scan(orders(spark, SF, r), r).select("o_orderkey")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderkey,100)" in plan and "Exchange" not in plan and "Python" not in plan
+
+
+def test_stored_trees(spark, tmp_path):
+    from veriplex.operators import stored as S
+    from veriplex.operators.reader import Need
+
+    a = dict(dataset(1, 1500))
+    keys = sorted(a)
+    b = {k: v for i, (k, v) in enumerate(sorted(a.items())) if i not in (40, 700)} | {keys[900]: b"changed", keys[20] + b"\1": b"n" * 2000}
+    (ra, xa), (rb, xb) = build_local(sorted(a.items())), build_local(sorted(b.items()))
+    store = BlockTable(spark, str(tmp_path / "blocks"))
+    for x in (xa, xb):
+        store.append(spark.createDataFrame([(bytearray(c), k, bytearray(body)) for c, (k, body) in x.items()], "cid binary, kind int, body binary"))
+    blocks = store.read()
+    tree = S.open_tree(blocks, rb)
+    assert tree.agg == (len(b), sum(len(k) + len(v) for k, v in b.items())) and {bytes(r.cid) for r in tree.blocks().select("cid").collect()} == set(xb)
+    assert V.violations(tree).isEmpty() and S.invariants(blocks, rb).isEmpty()
+    r = L.Range(L.Bound.including(keys[100]), L.Bound.excluding(keys[1200]))
+    inside = {k: v for k, v in a.items() if r.holds(k)}
+    got = S.aggregate_claimed(blocks, ra, r)
+    assert (got.entries, got.bytes) == (len(inside), sum(len(k) + len(v) for k, v in inside.items())) and got.nodes_read <= 2 * tree.height + 1
+    assert S.aggregate_claimed(blocks, ra, L.Range(L.Bound.including(b"x"), L.Bound.excluding(b"a"))).nodes_read == 0
+    assert {bytes(x.key) for x in S.scan(blocks, ra, r).collect()} == set(inside)
+    d = S.difference(blocks, ra, rb)
+    assert {(bytes(x.key), x.change) for x in d.changes().collect()} == {(keys[40], "Removed"), (keys[700], "Removed"), (keys[900], "Changed"), (keys[20] + b"\1", "Added")}
+    nodes = lambda x: {c for c, (kind, _) in x.items() if kind == 1}
+    assert {bytes(x.cid) for x in d.nodes(d.new).collect()} == nodes(xb) - nodes(xa) and {bytes(x.cid) for x in d.nodes(d.old).collect()} == nodes(xa) - nodes(xb)
+    assert S.difference(blocks, ra, ra).changes().isEmpty()
+    gone = bytes(tree.levels[0].orderBy("key").select("cid").first().cid)
+    part = blocks.where(blocks.cid != bytearray(gone))
+    assert [bytes(x.cid) for x in S.frontier(part, rb).collect()] == [gone]
+    with pytest.raises(Exception, match="lost block"):
+        S.scan(part, rb).count()
+    with pytest.raises(Need):
+        S.open_tree(blocks, b"x" * 32)
+    leaf = xb[gone][1]
+    torn = part.unionByName(spark.createDataFrame([(bytearray(gone), 1, bytearray(leaf[:-1] + bytes([leaf[-1] ^ 1])))], "cid binary, kind int, body binary"))
+    assert ("id" in {x.fault for x in S.invariants(torn, rb).collect()})
+    spark.catalog.clearCache()

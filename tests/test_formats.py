@@ -260,3 +260,145 @@ def test_apply_equals_rebuild_and_reads_little():
     assert got.root == build_local(sorted((rows | {key: b"changed"}).items()))[0] and len(asked) < len(old) / 2
     with pytest.raises(Exception, match="NotSorted"):
         apply_edits({}, root, [(b"b", b""), (b"a", b"")])
+
+
+def test_cursor_walks_both_ways():
+    from veriplex.operators.cursor import Cursor, LevelCursor
+
+    rows = dataset(2, 900)
+    root, blocks = build_local(rows)
+    store = {c: b for c, (_, b) in blocks.items()}
+    reader, keys = Reader(store, root), [k for k, _ in rows]
+    at, seen = Cursor(reader), []
+    assert at.peek() is None and at.is_first_leaf()
+    while at.next():
+        seen.append(at.peek()[0])
+    assert seen == keys and at.peek() is None and not at.next()
+    back = []
+    while at.prev():
+        back.append(at.peek()[0])
+    assert back == keys[::-1] and not at.prev() and at.next() and at.peek()[0] == keys[0]
+    for i in (0, 17, 450, 898):
+        assert Cursor.seek(reader, keys[i]).peek()[0] == keys[i] and Cursor.seek(reader, keys[i] + b"\0").peek()[0] == keys[i + 1]
+    assert Cursor.seek(reader, b"\xff").peek() is None and Cursor.seek_last(reader).peek()[0] == keys[-1]
+    leaf = LevelCursor(reader)
+    firsts = [leaf.held.node.keys[0]]
+    while (follows := leaf.next_min_key()) is not None:
+        assert leaf.step(1) and leaf.held.node.keys[0] == follows
+        firsts.append(follows)
+    assert not leaf.step(1) and firsts == sorted(firsts) and firsts[0] == keys[0]
+    at = Cursor.seek(reader, keys[0])
+    assert at.leaf_min_key() == keys[0] and at.at_leaf_start()
+    empty, none = build_local([])
+    assert not Cursor(Reader({empty: none[empty][1]}, empty)).next() and Cursor.seek_last(Reader({empty: none[empty][1]}, empty)).peek() is None
+
+
+def test_cursor_that_lacks_a_block_does_not_move():
+    from veriplex.operators.cursor import Cursor
+
+    rows = dataset(2, 900)
+    root, blocks = build_local(rows)
+    store = {c: b for c, (_, b) in blocks.items()}
+    at = Cursor.seek(Reader(store, root), rows[0][0])
+    while not at.at_leaf_end():
+        at.next()
+    top = at.peek()
+    gone = Cursor.seek(Reader(store, root), at.next_min_key()).leaf()
+    body = store.pop(gone)
+    with pytest.raises(Need):
+        at.next()
+    assert at.peek() == top
+    store[gone] = body
+    assert at.next() and at.peek()[0] > top[0]
+
+
+def test_diff_by_pages_over_a_cold_store():
+    from veriplex.operators.diff import diff_cold, diff_page
+    from veriplex.operators.logical import DiffError
+
+    a = dict(dataset(1, 900))
+    keys = sorted(a)
+    random.seed(5)
+    for size in (1, 12, 300, 900):
+        b = {k: v for k, v in a.items()}
+        for k in random.sample(keys, size):
+            x = random.random()
+            if x < 0.4:
+                del b[k]
+            elif x < 0.7:
+                b[k] = b"changed"
+            else:
+                b[k + b"\1"] = b"n" * random.choice([3, 2000])
+        (ra, xa), (rb, xb) = build_local(sorted(a.items())), build_local(sorted(b.items()))
+        store = {c: body for c, (_, body) in (xa | xb).items()}
+        want = [k for k in sorted(a.keys() | b.keys()) if a.get(k) != b.get(k)]
+        nodes = lambda x: {c for c, (kind, _) in x.items() if kind == 1}
+        page = diff_page(store, ra, rb, Range(max_entries=0, max_bytes=0))
+        assert [k for k, _, _ in page.changes] == want and set(page.new_blocks) == nodes(xb) - nodes(xa) and page.next is None
+        asked = []
+        cold, _ = diff_cold(lambda need: asked.append(need) or {c: store[c] for c in need}, ra, rb, Range(max_entries=5))
+        assert [k for k, _, _ in cold] == want and max(map(len, asked)) <= 64
+        assert {c for n in asked for c in n} <= nodes(xa) ^ nodes(xb)
+        part = Range(Bound.including(keys[200]), Bound.excluding(keys[400]), max_entries=3)
+        found, _ = diff_cold(lambda need: {c: store[c] for c in need}, ra, rb, part)
+        assert [k for k, _, _ in found] == [k for k in want if part.holds(k)]
+        assert diff_page({}, ra, ra).changes == [] and diff_page({}, ra, rb).need == [ra, rb]
+        token = diff_page(store, ra, rb, Range(max_entries=1)).next
+        if token:
+            with pytest.raises(DiffError, match="RootsChanged"):
+                diff_page(store, rb, ra, resume=token)
+    empty, none = build_local([])
+    store |= {empty: none[empty][1]}
+    assert len(diff_page(store, empty, ra, Range(max_entries=0, max_bytes=0)).changes) == len(a)
+    assert diff_page({empty: none[empty][1]}, empty, ra).changes == []
+
+
+def test_parity_is_copied_or_corrected():
+    from veriplex.operators.apply import apply_cold
+
+    rows = {b"z/%04d" % i: bytes([i % 251]) * (1500 + i) for i in range(120)}
+    root, old = build_local(sorted(rows.items()))
+    asked = set()
+
+    def fetch(need):
+        asked.update(need)
+        return {c: old[c][1] for c in need}
+
+    got, _ = apply_cold(fetch, root, [(b"z/0050", b"other" * 400)])
+    want, blocks = build_local(sorted((rows | {b"z/0050": b"other" * 400}).items()))
+    assert got.root == want and set(blocks) - set(old) <= set(got.blocks) <= set(blocks)
+    assert sum(old[c][0] == 0 for c in asked) == 1  # the old value alone; no other member of its group
+
+
+def test_streaming_builder():
+    from veriplex.operators.build import TreeBuilder, TreeError
+
+    for rows in ([], dataset(1, 1), dataset(4, 1500), [(b"z/%04d" % i, b"x" * (900 + 40 * i)) for i in range(80)]):
+        made, want = {}, build_local(rows)
+        one = TreeBuilder(lambda cid, kind, body: made.update({cid: (kind, body)}))
+        for k, v in rows:
+            one.push_bytes(k, v)
+        root, parity = one.finish_with_parity()
+        assert root == want[0] and made | {c: (2, b) for c, b in parity} == {c: (k if k < 2 else 2, b) for c, (k, b) in want[1].items()}
+        with pytest.raises(TreeError, match="Poisoned"):
+            one.push_bytes(b"\xff" * 9, b"")
+    one = TreeBuilder(lambda *_: None)
+    one.push_bytes(b"b", b"1")
+    with pytest.raises(TreeError, match="NotSorted"):
+        one.push_bytes(b"b", b"1")
+    with pytest.raises(TreeError, match="MissingMember"):
+        one.push(b"c", Value.of(b"x" * 2000))
+    one.see(Value.of(b"x" * 2000).cid, b"x" * 2000)
+    one.push(b"c", Value.of(b"x" * 2000))
+    assert one.finish() == build_local([(b"b", b"1"), (b"c", b"x" * 2000)])[0]
+
+
+def test_claimed_is_not_verified():
+    from veriplex.operators.reader import Claimed, Verified
+
+    root, blocks = build_local(dataset(3, 200))
+    store = {c: b for c, (_, b) in blocks.items()}
+    assert isinstance(aggregate_claimed(store, root), Claimed) and isinstance(aggregate_verified(store, root), Verified)
+    with pytest.raises(TypeError):
+        Verified((1, 2))
+    assert isinstance(P.verify_aggregate(root, Range(), P.prove_aggregate(store, root)), Claimed)

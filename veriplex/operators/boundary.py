@@ -138,6 +138,59 @@ def parity_blocks(node: Node, bodies) -> list[tuple[bytes, bytes]]:
     return list(zip(block_ids([(PARITY_KIND, p) for p in out]), out, strict=True)) if out else []
 
 
+class GroupIndex:
+    """The parity ids of the groups of nodes that are being replaced: a group's parity is a function of its members alone."""
+
+    def __init__(self, nodes=()) -> None:
+        self.exact: dict[tuple, list[bytes]] = {}
+        self.near: dict[tuple, tuple[bytes, list[bytes]]] = {}
+        for node in nodes:
+            found = member_ids(node)
+            if len(node.parity) != PARITY * len(found):
+                continue  # nothing is built on a node that breaks the rules
+            for i, (c, members) in enumerate(found):
+                ids = node.parity[PARITY * i:PARITY * (i + 1)]
+                self.exact.setdefault((c, tuple(members)), ids)
+                for at, cid in enumerate(members):
+                    self.near.setdefault((c, at, *members[:at], None, *members[at + 1:]), (cid, ids))
+
+    def one_off(self, c: int, members: list[bytes]) -> tuple[int, bytes, list[bytes]] | None:
+        """(place, old member, parity ids) of a group that differs in one place."""
+        for at in range(len(members)):
+            got = self.near.get((c, at, *members[:at], None, *members[at + 1:]))
+            if got is not None:
+                return at, *got
+        return None
+
+
+def parity_reusing(node: Node, index: GroupIndex, find) -> tuple[list[bytes], list[tuple[bytes, bytes]], list[bytes]]:
+    """(parity ids, (id, body) of what had to be coded, blocks that were lacking). A known group is copied; one with a member
+    changed in place is corrected from the two members and the old parity; others are coded from their members. find(id): a body or None."""
+    kind = bytes([TREE_NODE if node.level else RAW])
+    ids, coded, need = [], [], []
+    for c, members in member_ids(node):
+        known = index.exact.get((c, tuple(members)))
+        if known is not None:
+            ids += known
+            continue
+        near = index.one_off(c, members)
+        wanted = list(members)
+        if near is not None and any(find(m) is None for m in members):
+            wanted = [near[1], members[near[0]], *near[2]]
+        lost = [m for m in wanted if find(m) is None]
+        if lost:
+            need += lost
+            continue
+        if near is not None and all(find(m) is not None for m in (near[1], *near[2])):
+            bodies = update_group([find(p) for p in near[2]], near[0], kind + find(near[1]), kind + find(members[near[0]]))
+        else:
+            bodies = encode_group([kind + find(m) for m in members])
+        made = list(zip(block_ids([(PARITY_KIND, p) for p in bodies]), bodies, strict=True))
+        ids += [cid for cid, _ in made]
+        coded += made
+    return ids, coded, need
+
+
 def fraud(parent: bytes, child: bytes) -> bool:
     """Whether the two blocks contradict each other: a child that the parent names, but with another aggregate, level or first key."""
     try:

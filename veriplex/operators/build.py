@@ -16,7 +16,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import MAX_INLINE
+from ..functions.keys import MAX_INLINE, MAX_KEY, MAX_VALUE
 from .boundary import SPLIT_DOMAIN, Chunker, key_hashes, parity_blocks, splits_after
 from .logical import check_edits
 from .node import EMPTY, EMPTY_ROOT, PARITY_KIND, RAW, TREE_NODE, Node, Value, block_ids, branch_cost, leaf_cost
@@ -278,3 +278,120 @@ def build_local(entries: list[tuple[bytes, bytes]], rule=splits_after) -> tuple[
             return ids[0], blocks
         rows = [(n.keys[0], (cid, *n.agg), body) for cid, (n, body) in zip(ids, made, strict=True)]
         level += 1
+
+
+class TreeError(Exception):
+    """Why a streaming build stops: NotSorted, MissingMember, KeyTooLong, ValueTooLong, TooDeep, or Poisoned after any failure that came late."""
+
+    def __init__(self, kind: str) -> None:
+        super().__init__(kind)
+        self.kind = kind
+
+
+class TreeBuilder:
+    """A tree from entries in key order, one at a time. sink(id, kind, body) gets each block once its node closes, members
+    before the nodes that name them, the root last; parity comes with finish_with_parity. One open node a level is held."""
+
+    def __init__(self, sink, rule=splits_after, batch: int = 256) -> None:
+        self.sink, self.rule, self.batch = sink, rule, batch
+        self.levels: list[dict] = []
+        self.waiting: list[tuple[bytes, Value, bytes | None]] = []
+        self.seen: dict[bytes, bytes] = {}
+        self.last, self.poisoned, self.parity = None, False, []
+
+    def see(self, cid: bytes, body: bytes) -> None:
+        """Gives the body of a referenced value that a later push names."""
+        self.seen[cid] = body
+
+    def push_bytes(self, key: bytes, data: bytes) -> None:
+        v = Value.of(data)
+        self._take(key, v, data)
+        if v.is_ref:
+            self.sink(v.cid, RAW, data)
+
+    def push(self, key: bytes, v: Value) -> None:
+        """An entry whose value is known by id and length; its body must have been seen, since parity is coded over it."""
+        if v.is_ref and v.cid not in self.seen:
+            raise TreeError("MissingMember")
+        self._take(key, v, self.seen[v.cid] if v.is_ref else v.inline)
+
+    def _take(self, key: bytes, v: Value, data: bytes) -> None:
+        if self.poisoned:
+            raise TreeError("Poisoned")
+        if len(key) > MAX_KEY:
+            raise TreeError("KeyTooLong")
+        if v.length > MAX_VALUE:
+            raise TreeError("ValueTooLong")
+        if self.last is not None and self.last >= key:
+            raise TreeError("NotSorted")
+        self.last = key
+        self.waiting.append((key, v, data))
+        if len(self.waiting) >= self.batch:  # keys are hashed many at once
+            self._flush()
+
+    def _flush(self) -> None:
+        rows, self.waiting = self.waiting, []
+        try:
+            self._add(0, rows)
+        except Exception:
+            self.poisoned = True
+            raise
+
+    def _add(self, level: int, rows: list[tuple[bytes, object, bytes]]) -> None:
+        if not rows:
+            return
+        if level > 255:
+            raise TreeError("TooDeep")
+        if level == len(self.levels):
+            self.levels.append({"chunker": Chunker(self.rule), "rows": [], "closed": 0, "first": None})
+        at = self.levels[level]
+        for row, h in zip(rows, key_hashes(SPLIT_DOMAIN, level, [r[0] for r in rows]).tolist(), strict=True):
+            cost = branch_cost(len(row[0])) if level else leaf_cost(len(row[0]), len(row[1].stored))
+            if at["chunker"].starts(h, cost) and at["rows"]:
+                self._close(level)
+            at["rows"].append(row)
+
+    def _close(self, level: int) -> None:
+        at = self.levels[level]
+        rows, at["rows"] = at["rows"], []
+        node = Node(level, [r[0] for r in rows])
+        if level:
+            node.children = [r[1] for r in rows]
+        else:
+            node.values = [r[1] for r in rows]
+        parity = parity_blocks(node, lambda i: rows[i][2])
+        node.parity = [c for c, _ in parity]
+        body = node.encode()
+        cid = block_ids([(TREE_NODE, body)])[0]
+        self.parity += parity
+        self.sink(cid, TREE_NODE, body)
+        child = (node.keys[0], (cid, *node.agg), body)
+        at["closed"] += 1
+        if at["closed"] == 1:
+            at["first"] = child  # the root, if no other follows
+            return
+        if at["first"] is not None:
+            first, at["first"] = at["first"], None
+            self._add(level + 1, [first])
+        self._add(level + 1, [child])
+
+    def finish_with_parity(self) -> tuple[bytes, list[tuple[bytes, bytes]]]:
+        """(root, (id, body) of all parity blocks)."""
+        if self.poisoned:
+            raise TreeError("Poisoned")
+        self._flush()
+        self.poisoned = True  # finished: nothing may follow
+        if not self.levels:
+            self.sink(EMPTY_ROOT, TREE_NODE, EMPTY)
+            return EMPTY_ROOT, []
+        level = 0
+        while True:
+            at = self.levels[level]
+            if at["rows"]:
+                self._close(level)
+            if at["closed"] == 1:
+                return at["first"][1][0], self.parity
+            level += 1
+
+    def finish(self) -> bytes:
+        return self.finish_with_parity()[0]
