@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from ..functions.gf256 import MUL
 from ..operators import logical as L
 from ..operators import proof as P
+from ..operators import stored as S
 from ..operators import views as V
 from ..operators.apply import apply_cold
 from ..operators.boundary import group_sizes
+from ..operators.cursor import Cursor
+from ..operators.diff import diff_cold
 from ..operators.build import Tree, build
 from ..operators.logical import Bound, Range
 from ..operators.node import PARITY_KIND
@@ -309,6 +312,86 @@ def pack_roundtrip(spark, sf_dir):
     return values.select("*", F.lit(a.exceptAll(b).count()).cast("long").alias("lost"), F.lit(b.exceptAll(a).count()).cast("long").alias("extra"))
 
 
+@query(f"SELECT count(*) AS entries, CAST(coalesce(sum({_VALUE_BYTES}), 0) AS BIGINT) AS bytes, true AS within_bound FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 1100")
+def stored_agg_claimed(spark, sf_dir):
+    """A range's recorded sums from the blocks and the root alone, reading two paths."""
+    tree = order_tree(spark, sf_dir)
+    got = S.aggregate_claimed(tree.blocks(), tree.root, Range(Bound.including(okey(100)), Bound.excluding(okey(1100))))
+    return spark.createDataFrame([(got.entries, got.bytes, got.nodes_read <= 2 * tree.height + 1)], "entries long, bytes long, within_bound boolean")
+
+
+@query("SELECT '6F2F' || printf('%016X', o_orderkey) AS key_hex, o_orderstatus || '|' || CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) AS value_text FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 1100")
+def stored_scan(spark, sf_dir):
+    """A range's entries from the blocks and the root: only nodes that meet the range are looked up."""
+    tree = order_tree(spark, sf_dir)
+    rows = S.scan(tree.blocks(), tree.root, Range(Bound.including(okey(100)), Bound.excluding(okey(1100))))
+    return rows.select(F.hex("key").alias("key_hex"), F.col("stored").cast("string").alias("value_text"))
+
+
+@query(f"WITH {D_SQL} SELECT key_hex, md5(text) AS digest FROM d")
+def stored_reopened(spark, sf_dir):
+    """A stored tree opened by its root: every entry, values read through their references."""
+    built = document_tree(spark, sf_dir)
+    tree = S.open_tree(built.blocks(), built.root)
+    rows = V.leaf_rows(tree.levels[0])
+    whole = rows.where("not is_ref").select("key", F.col("stored").alias("value")).unionByName(V.dereferenced(rows, tree.blocks()))
+    return whole.select(F.hex("key").alias("key_hex"), F.md5("value").alias("digest"))
+
+
+@query(f"WITH {A_SQL}, {B_SQL}, {C_SQL} SELECT * FROM c")
+def stored_diff(spark, sf_dir):
+    """Changes between two roots of one store, from the roots down: shared subtrees are never read."""
+    _, _, a, b = _trees(spark, sf_dir)
+    found = S.difference(overlay(b.blocks(), a.blocks()), a.root, b.root).changes()
+    return found.select(F.hex("key").alias("key_hex"), "change", F.col("old.stored").cast("string").alias("old_text"), F.col("new.stored").cast("string").alias("new_text"))
+
+
+@query(f"WITH {A_SQL}, {B_SQL}, {C_SQL} SELECT * FROM c WHERE key_hex < '6F2F' || printf('%016X', 2000)")
+def diff_cold_paged(spark, sf_dir):
+    """The changes of a range from two roots alone, by pages of 50, each round fetching what the last page named."""
+    _, _, a, b = _trees(spark, sf_dir)
+    found, _ = diff_cold(fetcher(overlay(b.blocks(), a.blocks())), a.root, b.root, Range(hi=Bound.excluding(okey(2000)), max_entries=50))
+    text = lambda v: v.stored.decode() if v is not None else None
+    rows = [(k.hex().upper(), "Added" if old is None else "Removed" if new is None else "Changed", text(old), text(new)) for k, old, new in found]
+    return spark.createDataFrame(rows, "key_hex string, change string, old_text string, new_text string")
+
+
+@query("""SELECT '6F2F' || printf('%016X', o_orderkey) AS key_hex, n FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders WHERE o_orderkey >= 1000) WHERE n < 300
+UNION ALL SELECT '6F2F' || printf('%016X', o_orderkey), n FROM (SELECT o_orderkey, -row_number() OVER (ORDER BY o_orderkey DESC) AS n FROM orders WHERE o_orderkey < 1000) WHERE n >= -300""")
+def cursor_steps(spark, sf_dir):
+    """A cursor's 300 steps forward from a key, and 300 back."""
+    tree = order_tree(spark, sf_dir)
+    fetch, held = fetcher(tree.blocks()), {}
+
+    def walk(blocks):
+        out = []
+        for step in ("next", "prev"):
+            at = Cursor.seek(Reader(blocks, tree.root), okey(1000))
+            n = 0
+            while n < 300 and (step == "next" or at.prev()):
+                now = at.peek()
+                if now is None:
+                    break
+                out.append((now[0].hex().upper(), n if step == "next" else -n - 1))
+                n += 1
+                if step == "next":
+                    at.next()
+        return out
+
+    rows, _ = converge(walk, fetch, held)
+    return spark.createDataFrame(rows, "key_hex string, n long")
+
+
+@query(f"WITH {D_SQL} SELECT count(*) AS entries, CAST(0 AS BIGINT) AS faults, count(DISTINCT CASE WHEN size > 1024 THEN text END) AS lost_values FROM d")
+def invariant_walk(spark, sf_dir):
+    """A sound stored tree breaks no rule; without its value blocks each of them is named."""
+    tree = document_tree(spark, sf_dir)
+    blocks = tree.blocks().persist()
+    faults = S.invariants(blocks, tree.root).count()
+    lost = S.invariants(blocks.where("kind <> 0"), tree.root).where("fault = 'lost'").count()
+    return spark.createDataFrame([(tree.agg[0], faults, lost)], "entries long, faults long, lost_values long")
+
+
 @query("""WITH RECURSIVE p(i, x) AS (SELECT 0, 1 UNION ALL SELECT i + 1, CASE WHEN x >= 128 THEN xor(x * 2, 285) ELSE x * 2 END FROM p WHERE i < 254)
 SELECT a.x AS a, b.x AS b, c.x AS product FROM p a JOIN p b ON true JOIN p c ON c.i = (a.i + b.i) % 255
 UNION ALL SELECT 0, x, 0 FROM p UNION ALL SELECT x, 0, 0 FROM p UNION ALL SELECT 0, 0, 0""")
