@@ -21,13 +21,14 @@ A null doc_id counts as larger than any other. Rows of one doc_id never remove e
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import attach, partitions, release, stage, text_of
@@ -431,6 +432,27 @@ def first_documents(got: dict[str, np.ndarray], index: Index) -> tuple[np.ndarra
     return number, begin, first
 
 
+def span_rows(got: dict[str, np.ndarray], number: np.ndarray, begin: np.ndarray, first: np.ndarray, known: np.ndarray | None, window: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Spans of a bucket's windows that start in a smaller document, or are marked in ``known``, by bucket of their documents."""
+    windows = got["windows"].astype(np.int64)
+    for part in np.array_split(np.arange(len(number)), max(1, int(windows.sum()) >> 20)):
+        n = windows[part]
+        if not n.sum():
+            continue
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(begin[number[part]], n) + inner
+        gone = first[at] < np.repeat(got["ids"][got["doc"][part]], n)
+        if known is not None:
+            gone |= known[at]
+        place = np.repeat(got["first"][part], n) + inner
+        before = np.concatenate([[False], gone[:-1]]) & (inner > 0)
+        after = np.concatenate([gone[1:], [False]]) & np.concatenate([inner[1:] > 0, [False]])
+        lo, hi = place[gone & ~before], place[gone & ~after] + window
+        doc = np.repeat(got["doc"][part], n)[gone & ~before]
+        if len(lo):
+            yield from _dealt(got["keys"][doc] % buckets, got["ids"], got["keys"], doc, lo=lo, hi=hi)
+
+
 def _spans(index: Index, window: int, buckets: int):
     def run(batches):
         passed: list[pa.RecordBatch] = []
@@ -448,20 +470,8 @@ def _spans(index: Index, window: int, buckets: int):
             got = _joined(rows)
             del rows
             number, begin, first = first_documents(got, index)
-            windows = got["windows"].astype(np.int64)
-            for part in np.array_split(np.arange(len(number)), max(1, int(windows.sum()) >> 20)):
-                n = windows[part]
-                if not n.sum():
-                    continue
-                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                gone = first[np.repeat(begin[number[part]], n) + inner] < np.repeat(got["ids"][got["doc"][part]], n)
-                place = np.repeat(got["first"][part], n) + inner
-                before = np.concatenate([[False], gone[:-1]]) & (inner > 0)
-                after = np.concatenate([gone[1:], [False]]) & np.concatenate([inner[1:] > 0, [False]])
-                lo, hi = place[gone & ~before], place[gone & ~after] + window
-                doc = np.repeat(got["doc"][part], n)[gone & ~before]
-                if len(lo):
-                    yield from marked(_dealt(got["keys"][doc] % buckets, got["ids"], got["keys"], doc, lo=lo, hi=hi), False)
+            for batch in span_rows(got, number, begin, first, None, window, buckets):
+                yield from marked(iter([batch]), False)
         yield from passed
     return run
 
@@ -512,26 +522,46 @@ def _dealt_out(packed: DataFrame, buckets: int) -> DataFrame:
     return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
 
+def finished(finish: Callable, fields: str):
+    """Rows of ``fields``, by finish, of documents that meet their spans."""
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def run(batches):
+        def handle(known, docs):
+            out = [finish(text, [] if (got := known.get((doc_id, key))) is None else got) for doc_id, key, text in docs]
+            cols = [pa.array([None if d == LAST else d for d, _, _ in docs], pa.int64()), *[pa.array(c) for c in zip(*out, strict=True)]]
+            yield pa.record_batch(cols, names)
+
+        yield from _with_texts(batches, SPANS, handle)
+    return run
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, key, text): key tells rows of one doc_id apart, text is bytes."""
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     return docs.select(doc_id.alias("doc_id"), F.xxhash64(text_of(), doc_id).alias("key"), text_of().cast("binary").alias("text"))
 
 
-def without_repeats(docs: DataFrame, words: bool, window: int, gram: int, index: Index, finish: Callable, fields: str, hot: int = HOT) -> DataFrame:
-    """finish(documents' bytes, spans) of every row of docs; finish gives a row of ``fields``, which start with doc_id."""
-    spark = docs.sparkSession
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of bounded bytes inside, the session's own options after."""
     wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
     before = {k: spark.conf.get(k, None) for k in wanted}
     try:
         for k, v in wanted.items():
             spark.conf.set(k, v)
-        return _without_repeats(docs, words, window, gram, index, finish, fields, hot)
+        yield
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def without_repeats(docs: DataFrame, words: bool, window: int, gram: int, index: Index, finish: Callable, fields: str, hot: int = HOT) -> DataFrame:
+    """finish(documents' bytes, spans) of every row of docs; finish gives a row of ``fields``, which start with doc_id."""
+    with small_batches(docs.sparkSession):
+        return _without_repeats(docs, words, window, gram, index, finish, fields, hot)
+
+
 def _without_repeats(docs: DataFrame, words: bool, window: int, gram: int, index: Index, finish: Callable, fields: str, hot: int) -> DataFrame:
     spark = docs.sparkSession
     buckets = partitions(spark)
@@ -550,14 +580,4 @@ def _without_repeats(docs: DataFrame, words: bool, window: int, gram: int, index
     if not often.isEmpty():
         spans = spans.union(hot_spans(often, window, buckets))
 
-    def last(batches):
-        names = [f.split()[0] for f in fields.split(", ")]
-
-        def handle(known, docs):
-            out = [finish(text, [] if (got := known.get((doc_id, key))) is None else got) for doc_id, key, text in docs]
-            cols = [pa.array([None if d == LAST else d for d, _, _ in docs], pa.int64()), *[pa.array(c) for c in zip(*out, strict=True)]]
-            yield pa.record_batch(cols, names)
-
-        yield from _with_texts(batches, SPANS, handle)
-
-    return stage(_met(rows, spans, buckets).mapInArrow(last, fields), "kept")  # now, while the options hold
+    return stage(_met(rows, spans, buckets).mapInArrow(finished(finish, fields), fields), "kept")  # now, while the options hold
