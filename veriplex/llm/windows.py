@@ -11,9 +11,11 @@ side, are a stretch.
 4. The spans to remove return to the documents.
 
 Tasks hold one bucket of anchors, or a part of the documents' texts, packed in arrays; buckets are as many as the
-session has shuffle partitions. Nothing is collected by the driver, and no list of candidates is cut. An anchor that
-stands over HOT times would bring too much together: its windows go, one by one, as 128-bit digests through an
-aggregate that combines before its shuffle, and a join that spreads hot digests.
+session has shuffle partitions. Nothing is collected by the driver, and no list of candidates is cut. An anchor with
+over HOT stretches would bring too much together: its windows go, one by one, as 128-bit digests through an
+aggregate that combines before its shuffle, and a join that spreads hot digests. An anchor in over HEAVY of the documents
+that a task looks at together is hot at once: one row tells its bucket, the others go straight back to their documents,
+so no bucket gathers what stands in a large share of all documents.
 
 A null doc_id counts as larger than any other. Rows of one doc_id never remove each other's windows.
 """
@@ -37,8 +39,10 @@ from .common import attach, partitions, release, stage, text_of
 CHUNK = 1 << 20
 #: Anchors, and bytes of stretches, that a task gathers before it deals them out.
 FLUSH, FLUSH_BYTES = 1 << 19, 1 << 23
-#: Occurrences from which an anchor's windows are no longer brought together with their texts.
+#: Stretches from which an anchor's windows are no longer brought together with their texts.
 HOT = 20_000
+#: Documents among FLUSH anchors from which an anchor is hot without a count, and the stretches that its row then claims.
+HEAVY, CLAIM = 512, 1 << 30
 LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -188,8 +192,8 @@ def _unpack(data: bytes, kinds: dict[str, Any]) -> dict[str, np.ndarray]:
 PACKED = "bucket int, packed binary"
 MARKED = "bucket int, packed binary, hot boolean"
 _OWN = {"ids": np.int64, "keys": np.int64, "counts": np.int32}
-ANCHORS = _OWN | {"hash": np.uint64}
-SHARED = ANCHORS | {"hot": np.uint8}
+ANCHORS = _OWN | {"hash": np.uint64, "stretches": np.int32}
+SHARED = _OWN | {"hash": np.uint64, "hot": np.uint8}
 DIGESTS = _OWN | {"one": np.uint64, "two": np.uint64, "first": np.int64}
 STRETCHES = _OWN | {"hash": np.uint64, "first": np.int64, "windows": np.uint8, "sizes": np.int32, "bytes": np.uint8}
 TEXTS = {"ids": np.int64, "keys": np.int64, "sizes": np.int64, "bytes": np.uint8}
@@ -215,13 +219,22 @@ def _dealt(bucket: np.ndarray, ids: np.ndarray, keys: np.ndarray, doc: np.ndarra
         yield pa.record_batch([pa.array(numbers, pa.int32()), pa.array(packed, pa.binary())], ["bucket", "packed"])
 
 
-def _anchors(words: bool, window: int, gram: int, buckets: int):
+def _anchors(words: bool, window: int, gram: int, buckets: int, heavy: int):
     def run(batches):
-        ids, keys, docs, hashes, n = [], [], [], [], 0
+        ids, keys, docs, hashes, counts, n = [], [], [], [], [], 0
 
         def flush():
-            h = np.concatenate(hashes)
-            yield from _dealt((h % np.uint64(buckets)).astype(np.int64), np.concatenate(ids), np.concatenate(keys), np.concatenate(docs), hash=h)
+            h, doc, own, of, count = (np.concatenate(x) for x in (hashes, docs, ids, keys, counts))
+            order = np.argsort(h, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+            sizes = np.diff(np.append(first, len(order)))
+            count[order[first[sizes > heavy]]] = CLAIM
+            direct = np.zeros(len(h), bool)
+            direct[order] = np.repeat(sizes > heavy, sizes)
+            met = ~direct | (count == CLAIM)
+            yield from marked(_dealt((h[met] % np.uint64(buckets)).astype(np.int64), own, of, doc[met], hash=h[met], stretches=count[met]), False)
+            if direct.any():
+                yield from marked(_dealt(of[doc[direct]] % buckets, own, of, doc[direct], hash=h[direct], hot=np.ones(int(direct.sum()), np.uint8)), True)
 
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -229,32 +242,37 @@ def _anchors(words: bool, window: int, gram: int, buckets: int):
                 found = Texts(texts[part], words).stretches(window, gram)
                 order = np.lexsort((found["hash"], found["doc"]))
                 d, h = found["doc"][order], found["hash"][order]
-                once = np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])]) if len(d) else np.zeros(0, bool)
+                once = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])])) if len(d) else np.zeros(0, np.int64)
                 docs.append(d[once] + sum(map(len, ids)))
                 hashes.append(h[once])
+                counts.append(np.diff(np.append(once, len(d))).astype(np.int32))
                 ids.append(batch.column("doc_id").to_numpy(zero_copy_only=False)[part])
                 keys.append(batch.column("key").to_numpy(zero_copy_only=False)[part])
-                n += int(once.sum())
+                n += len(once)
                 if n >= FLUSH:
                     yield from flush()
-                    ids, keys, docs, hashes, n = [], [], [], [], 0
+                    ids, keys, docs, hashes, counts, n = [], [], [], [], [], 0
         if n:
             yield from flush()
     return run
 
 
-def _by_bucket(batches, kinds: dict[str, Any]) -> Iterator[list[dict[str, np.ndarray]]]:
-    """Sorted rows (bucket, packed) -> the unpacked rows of each bucket."""
+def _by_bucket(batches, kinds: dict[str, Any]) -> Iterator[tuple[pa.RecordBatch | None, list[dict[str, np.ndarray]]]]:
+    """Rows sorted by bucket -> (hot rows as they come, none) and (None, the unpacked rows of each bucket that are not hot)."""
     held, number = [], None
     for batch in batches:
+        hot = batch.column("hot")
+        if hot.true_count:
+            yield batch.filter(hot), []
+            batch = batch.filter(pa.compute.invert(hot))
         for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist(), strict=True):
             if bucket != number and held:
-                yield held
+                yield None, held
                 held = []
             number = bucket
             held.append(_unpack(packed, kinds))
     if held:
-        yield held
+        yield None, held
 
 
 def _joined(rows: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
@@ -266,16 +284,20 @@ def _joined(rows: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
 
 def _shared(buckets: int, hot: int):
     def run(batches):
-        for rows in _by_bucket(batches, ANCHORS):
+        for passed, rows in _by_bucket(batches, ANCHORS):
+            if passed is not None:
+                yield passed.select(["bucket", "packed"])
+                continue
             got = _joined(rows)
             order = np.argsort(got["hash"], kind="stable")
             own = got["ids"][got["doc"]][order]
             first = np.flatnonzero(np.concatenate([[True], got["hash"][order][1:] != got["hash"][order][:-1]]))
             sizes = np.diff(np.append(first, len(order)))
-            more = np.minimum.reduceat(own, first) < np.maximum.reduceat(own, first)
+            stretches = np.add.reduceat(got["stretches"][order], first, dtype=np.int64)
+            more = (np.minimum.reduceat(own, first) < np.maximum.reduceat(own, first)) | (stretches >= CLAIM)
             kept = order[np.repeat(more, sizes)]
             doc = got["doc"][kept]
-            yield from _dealt(got["keys"][doc] % buckets, got["ids"], got["keys"], doc, hash=got["hash"][kept], hot=np.repeat(sizes[more] > hot, sizes[more]).astype(np.uint8))
+            yield from _dealt(got["keys"][doc] % buckets, got["ids"], got["keys"], doc, hash=got["hash"][kept], hot=np.repeat(stretches[more] > hot, sizes[more]).astype(np.uint8))
     return run
 
 
@@ -455,24 +477,15 @@ def span_rows(got: dict[str, np.ndarray], number: np.ndarray, begin: np.ndarray,
 
 def _spans(index: Index, window: int, buckets: int):
     def run(batches):
-        passed: list[pa.RecordBatch] = []
-
-        def stretches():
-            for batch in batches:
-                hot = batch.column("hot")
-                if hot.true_count:
-                    passed.append(batch.filter(hot))
-                yield batch.filter(pa.compute.invert(hot))
-
-        for rows in _by_bucket(stretches(), STRETCHES):
-            yield from passed
-            passed.clear()
+        for passed, rows in _by_bucket(batches, STRETCHES):
+            if passed is not None:
+                yield passed
+                continue
             got = _joined(rows)
-            del rows
+            rows.clear()
             number, begin, first = first_documents(got, index)
             for batch in span_rows(got, number, begin, first, None, window, buckets):
                 yield from marked(iter([batch]), False)
-        yield from passed
     return run
 
 
@@ -566,7 +579,7 @@ def _without_repeats(docs: DataFrame, words: bool, window: int, gram: int, index
     spark = docs.sparkSession
     buckets = partitions(spark)
     rows = keyed(docs)
-    anchors = rows.mapInArrow(_anchors(words, window, gram, buckets), PACKED)
+    anchors = rows.mapInArrow(_anchors(words, window, gram, buckets, min(HEAVY, hot)), MARKED)
     shared = stage(_dealt_out(anchors, buckets).mapInArrow(_shared(buckets, hot), PACKED), "anchors")
     del anchors
     release(spark)
