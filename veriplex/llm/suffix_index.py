@@ -168,7 +168,7 @@ class SuffixIndex:
             met = rows.mapInArrow(_all_stretches(self.window, self.gram, buckets), PACKED).select("bucket", "packed", F.lit(0).alias("level"))
             for name, _ in self.levels:
                 met = met.unionByName(self._read(name).select("bucket", "packed", F.lit(1).alias("level")))
-            met = met.repartition(buckets, "bucket").sortWithinPartitions("bucket", "level")
+            met = met.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "level")
             got = stage(met.mapInArrow(_scanned(self.window, buckets), "bucket int, packed binary, level boolean"), "scanned")
             finish, fields = (_finish_bytes, "doc_id long, content binary, removed string") if content else (_finish, FIELDS)
             spans = got.where("not level").select("bucket", "packed")
@@ -176,7 +176,7 @@ class SuffixIndex:
             levels, spent = [*self.levels, (self._write(got.where("level")), 1)], []
             while len(levels) > 1 and levels[-1][1] >= levels[-2][1]:
                 (a, m), (b, n) = levels.pop(), levels.pop()
-                both = self._read(a).union(self._read(b)).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+                both = self._read(a).union(self._read(b)).repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
                 levels.append((self._write(both.mapInArrow(_merge(self.window), PACKED)), m + n))
                 spent += [a, b]
             heads = [(self.number + 1, i, name, size, buckets) for i, (name, size) in enumerate(levels)]

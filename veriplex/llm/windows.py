@@ -528,11 +528,11 @@ def _met(docs: DataFrame, packed: DataFrame, buckets: int) -> DataFrame:
     """Documents and packed rows of their buckets, in one shuffle: packed rows first."""
     a = docs.mapInArrow(_packed_texts(buckets), PACKED).select("bucket", F.lit(1).alias("texts"), "packed")
     b = packed.select("bucket", F.lit(0).alias("texts"), "packed")
-    return b.union(a).repartition(buckets, "bucket").sortWithinPartitions("bucket", "texts")
+    return b.union(a).repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "texts")
 
 
 def _dealt_out(packed: DataFrame, buckets: int) -> DataFrame:
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return packed.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
 
 
 def finished(finish: Callable, fields: str):
