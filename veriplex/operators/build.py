@@ -171,7 +171,7 @@ def level_nodes(rows: DataFrame, level: int, n: int, per_part: int = ROWS) -> Da
         bounds = sorted({keys[i * len(keys) // parts] for i in range(1, parts)})
         size = F.when(F.octet_length("body") > MAX_INLINE, 32).otherwise(F.octet_length("body")) if not level else F.lit(0)
         slim = rows.select("key", F.lit(b"").alias("body"), size.cast("int").alias("cost_body"))
-        dealt = slim.mapInArrow(_parts(bounds), "key binary, body binary, cost_body int, part int").repartition(parts, "part").sortWithinPartitions("part", "key")
+        dealt = slim.mapInArrow(_parts(bounds), "key binary, body binary, cost_body int, part int").repartitionById(parts, "part").sortWithinPartitions("part", "key")
         folds = sorted(dealt.mapInArrow(_fold(level), FOLD).collect(), key=lambda r: r["part"])  # HEAD entries a partition at most
 
         def more(part: int):
@@ -183,7 +183,7 @@ def level_nodes(rows: DataFrame, level: int, n: int, per_part: int = ROWS) -> Da
 
         bounds = true_starts(folds, more)[1:]
     full = rows.withColumn("cost_body", F.when(F.octet_length("body") > MAX_INLINE, 32).cast("int") if not level else F.lit(None).cast("int"))
-    dealt = full.mapInArrow(_parts(bounds), f"{ENTRY}, cost_body int, part int").repartition(parts, "part").sortWithinPartitions("part", "key")
+    dealt = full.mapInArrow(_parts(bounds), f"{ENTRY}, cost_body int, part int").repartitionById(parts, "part").sortWithinPartitions("part", "key")
     return dealt.mapInArrow(_encode(level), NODE)
 
 
