@@ -149,3 +149,31 @@ def test_stored_trees(spark, tmp_path):
     torn = part.unionByName(spark.createDataFrame([(bytearray(gone), 1, bytearray(leaf[:-1] + bytes([leaf[-1] ^ 1])))], "cid binary, kind int, body binary"))
     assert ("id" in {x.fault for x in S.invariants(torn, rb).collect()})
     spark.catalog.clearCache()
+
+
+def test_parity_with_copies_in_several_groups(spark, tmp_path):
+    # Most groups hold more copies of texts that some group loses than there is parity.
+    text = lambda i: f"{i % 12 if i % 10 < 6 else i} " * 600
+    spark.createDataFrame([(i, text(i)) for i in range(500)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["parity_repair"](spark, str(tmp_path)).first()
+    assert got.values_in_groups == len({text(i) for i in range(500)}) and got.rebuilt and got.recoded
+    spark.catalog.clearCache()
+
+
+def test_repair_in_rounds(spark):
+    from veriplex.operators.boundary import encode_group
+    from veriplex.operators.node import PARITY_KIND, RAW, block_ids
+
+    bodies = [bytes([i]) * (1100 + i) for i in range(40)]
+    ids = block_ids([(RAW, b) for b in bodies])
+    store, groups = dict(zip(ids, bodies, strict=True)), []
+    for no, own in enumerate((range(21), range(14, 40))):
+        parity = encode_group([bytes([RAW]) + bodies[i] for i in own])
+        names = block_ids([(PARITY_KIND, p) for p in parity])
+        store |= dict(zip(names, parity, strict=True))
+        groups.append((bytearray([no]), 0, 0, 0, [bytearray(ids[i]) for i in own], [bytearray(x) for x in names]))
+    lost = {ids[i] for i in (*range(14, 20), *range(30, 36))}  # 6 of the first group, 12 of the second: 6 are left when the first is whole
+    blocks = spark.createDataFrame([(bytearray(c), bytearray(b)) for c, b in store.items() if c not in lost], "cid binary, body binary")
+    got = V.repair_groups(spark.createDataFrame(groups, V.GROUP), blocks).collect()
+    assert {bytes(r.cid): bytes(r.body) for r in got} == {c: store[c] for c in lost} and len(got) == len(lost)
+    spark.catalog.clearCache()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -259,24 +260,46 @@ def _states(groups: DataFrame, blocks: DataFrame) -> DataFrame:
     return slots.join(blocks.select("cid", "body"), "cid", "left")
 
 
-def repair_groups(groups: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(cid, kind, body) of members that the store lacks, rebuilt from any k blocks of their groups and checked by their ids."""
+def repaired_slots(groups: DataFrame, blocks: DataFrame, lost: Column | None = None) -> DataFrame:
+    """(node, grp, slot, cid, kind, body) of members that the store lacks, rebuilt from any k blocks of their groups and checked by
+    their ids. ``lost``, a condition on slot, hides members from their own group alone: a copy that another group has stays there."""
     def run(key, table):
         rows = sorted(table.to_pylist(), key=lambda r: r["slot"])
         k, leaf = rows[0]["k"], rows[0]["level"] == 0
         kind = RAW if leaf else TREE_NODE
-        lost = [r["slot"] for r in rows[:k] if r["body"] is None]
+        gone = [r["slot"] for r in rows[:k] if r["body"] is None]
         held = [None if r["body"] is None else (1 + len(r["body"])).to_bytes(4, "little") + bytes([kind]) + r["body"] if r["slot"] < k else r["body"] for r in rows]
         out = []
-        if lost and sum(h is not None for h in held) >= k:
+        if gone and sum(h is not None for h in held) >= k:
             states = repair_group(k, held, MAX_MEMBER_VALUE if leaf else MAX_MEMBER_NODE)
-            out = [(rows[i]["cid"], kind, states[i][1:]) for i in lost]
-            ids = block_ids([(kind, body) for _, _, body in out])
-            out = [x for x, cid in zip(out, ids, strict=True) if x[0] == cid]
-        cols = list(zip(*out, strict=True)) or [()] * 3
-        return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.binary(), pa.int32(), pa.binary()], strict=True)], ["cid", "kind", "body"])
+            out = [(rows[i]["node"], rows[i]["grp"], i, rows[i]["cid"], kind, states[i][1:]) for i in gone]
+            ids = block_ids([(kind, row[-1]) for row in out])
+            out = [row for row, cid in zip(out, ids, strict=True) if row[3] == cid]
+        cols = list(zip(*out, strict=True)) or [()] * 6
+        kinds = [pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["node", "grp", "slot", "cid", "kind", "body"])
 
-    return _states(groups, blocks).groupBy("node", "grp").applyInArrow(run, "cid binary, kind int, body binary")
+    states = _states(groups, blocks)
+    if lost is not None:
+        states = states.withColumn("body", F.when(~(lost & (F.col("slot") < F.col("k"))), F.col("body")))
+    return states.groupBy("node", "grp").applyInArrow(run, "node binary, grp int, slot int, cid binary, kind int, body binary")
+
+
+def repair_groups(groups: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(cid, kind, body) of members that the store lacks, each once. A block that several groups name is lost to all of them, and
+    one group may rebuild it where another cannot; so there are rounds, each with what the last has rebuilt, until one rebuilds nothing."""
+    members = groups.select("node", "grp", F.explode("members").alias("cid"))
+    held, found, before = blocks.select("cid", "body"), None, None
+    while True:
+        lacking = members.join(held.select("cid"), "cid", "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
+        n = lacking.select("cid").distinct().count()
+        if found is not None and n in (0, before):
+            return found
+        before = n
+        fresh = repaired_slots(groups.join(lacking.select("node", "grp").distinct(), ["node", "grp"], "left_semi"), held)
+        fresh = fresh.select("cid", "kind", "body").dropDuplicates(["cid"]).persist(StorageLevel.MEMORY_AND_DISK)
+        found = fresh if found is None else found.unionByName(fresh)
+        held = held.unionByName(fresh.select("cid", "body"))
 
 
 def recoded(groups: DataFrame, blocks: DataFrame) -> DataFrame:

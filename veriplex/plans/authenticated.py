@@ -290,12 +290,12 @@ def proof_aggregate(spark, sf_dir):
 
 @query(f"WITH {D_SQL} SELECT count(DISTINCT text) AS values_in_groups, true AS rebuilt, true AS recoded FROM d WHERE size > 1024")
 def parity_repair(spark, sf_dir):
-    """Every fifth member of every group is lost and rebuilt; parity computed again from the members is the parity listed."""
+    """Every fifth member of every group is lost to it and rebuilt; parity computed again from the members is the parity listed."""
     tree = document_tree(spark, sf_dir)
     blocks, groups = tree.blocks().persist(), V.parity_groups(tree.nodes()).persist()
-    lost = groups.select(F.posexplode("members").alias("at", "cid")).where("at % 5 = 3").select("cid").distinct()
-    again = V.repair_groups(groups, blocks.join(lost, "cid", "left_anti"))
-    bad = blocks.join(lost, "cid", "left_semi").select("cid", "body").exceptAll(again.select("cid", "body").distinct())
+    fifth, digest = F.col("slot") % 5 == 3, F.sha2("body", 256).alias("digest")
+    lost = groups.select("node", "grp", F.posexplode("members").alias("slot", "cid")).where(fifth).join(blocks, "cid").select("node", "grp", "slot", "cid", digest)
+    bad = lost.exceptAll(V.repaired_slots(groups, blocks, fifth).select("node", "grp", "slot", "cid", digest))
     parity = V.recoded(groups, blocks).select("cid").distinct()
     odd = blocks.where(F.col("kind") == PARITY_KIND).select("cid").exceptAll(parity)
     values = groups.where("level = 0").select(F.explode("members").alias("cid")).distinct().count()
