@@ -13,7 +13,7 @@ import pytest
 import xxhash
 
 from veriplex.llm import automaton, exact, mixing, packing, rules, simhash, suffixes, token_store, topk, warc, windows
-from veriplex.llm.common import attach, components
+from veriplex.llm.common import attach, components, shared_dir
 from veriplex.llm.queries import ORACLE_SQL, QUERIES
 
 WORDS = [w + e for w in "the of and tion ouher reand thly ening erst nther oble haing whed stnd".split() for e in ("", "ed", "ly", "s")]
@@ -531,6 +531,34 @@ def test_windows_of_hot_anchors(spark, sf):
         assert Counter((g.doc_id, g.n_words, g.n_removed, g.kept_sha256) for g in got) == Counter((d, n, x, h) for (d, n, x, _, h), k in want.items() for _ in range(k))
 
 
+@pytest.mark.parametrize("words", [False, True])
+def test_hot_anchors_stage_less_than_the_text(spark, tmp_path, words):
+    from pathlib import Path
+
+    passage = " ".join(prose(i, 40) for i in range(1000, 1012))
+    rows = [(i, f"{passage[:3000 + i]} end{i}") for i in range(150)]
+    root = Path(shared_dir(spark).removeprefix("file://"), "veriplex")
+    before = set(root.glob("*"))
+    dedup, units = (automaton.substring_dedup, word_units) if words else (suffixes.suffix_dedup, byte_units)
+    got = dedup(spark.createDataFrame(rows, "doc_id long, text string"), hot=2).collect()
+    want = repeats([(i, text, None) for i, text in rows], units, 50)
+    assert Counter((g.doc_id, g.n_words if words else g.n_bytes, g.n_removed, g.kept_sha256) for g in got) == Counter({(d, n, x, h): k for (d, n, x, _, h), k in want.items()})
+    staged = sum(f.stat().st_size for at in set(root.glob("*")) - before if not at.name.startswith("kept") for f in at.rglob("*.parquet"))
+    assert staged < sum(len(text) for _, text in rows)
+
+
+def test_levels_hold_some_anchors_at_a_time(monkeypatch):
+    draw = random.Random(7)
+    texts = [bytes(draw.choice((2 * a, 2 * a + 1)) for _ in range(draw.randint(8, 14))) for a in range(20) for _ in range(6)]
+    lengths, anchors = np.array([len(t) for t in texts]), np.repeat(np.arange(20), 6)
+    ids, data = np.array([draw.randint(0, 9) for _ in texts]), np.frombuffer(b"".join(texts), np.uint8)
+    most, add = [], suffixes.Levels.add
+    monkeypatch.setattr(suffixes.Levels, "add", lambda self, *a: (out := add(self, *a), most.append(sum(len(x[0]) for x in self.levels)))[0])
+    got = suffixes.first_by_levels(data, lengths, lengths - 5, ids, anchors, 6, batch=20)
+    assert got.tolist() == [min(int(d) for y, d, b in zip(texts, ids, anchors, strict=True) if a == b and x[i:i + 6] in y) for x, a in zip(texts, anchors, strict=True) for i in range(len(x) - 5)]
+    assert max(most) <= suffixes.MOST * 20 + 6 * 15
+
+
 def test_indexes_of_stretches():
     draw = random.Random(5)
     for _ in range(80):

@@ -24,6 +24,8 @@ WINDOW = 50
 GRAM = 20
 #: Bytes of a batch, about.
 BATCH = 1 << 20
+#: Batches whose levels are held at a time, about: a level has a string of a window's length for each of its windows.
+MOST = 4
 
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
@@ -90,7 +92,13 @@ class Levels:
 
 
 def first_by_levels(data: np.ndarray, sizes: np.ndarray, windows: np.ndarray, ids: np.ndarray, anchors: np.ndarray | None = None, window: int = WINDOW, batch: int = BATCH) -> np.ndarray:
-    """The index of windows.py."""
+    """The index of windows.py. Stretches of different anchors share no window, so levels are built for some whole anchors at a time."""
+    if anchors is not None:
+        ends = np.cumsum(sizes)
+        new = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
+        part = (ends[new] - sizes[new]) // (MOST * batch)
+        cuts = np.append(new[np.concatenate([[True], part[1:] != part[:-1]])], len(sizes))
+        return np.concatenate([first_by_levels(data[int(ends[lo] - sizes[lo]):int(ends[hi - 1])], sizes[lo:hi], windows[lo:hi], ids[lo:hi], None, window, batch) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)])
     out = np.empty(int(windows.sum()), np.int64)
     at, begin = np.cumsum(sizes) - sizes, np.cumsum(windows) - windows
     order = np.argsort(ids, kind="stable")

@@ -12,8 +12,8 @@ side, are a stretch.
 
 Tasks hold one bucket of anchors, or a part of the documents' texts, packed in arrays; buckets are as many as the
 session has shuffle partitions. Nothing is collected by the driver, and no list of candidates is cut. An anchor with
-over HOT stretches would bring too much together: its windows go, one by one, as 128-bit digests through an
-aggregate that combines before its shuffle, and a join that spreads hot digests. An anchor in over HEAVY of the documents
+over HOT stretches would bring too much together: its stretches go as 128-bit digests through an aggregate that combines before
+its shuffle, the windows of different stretches through another, and both through joins that spread hot digests. An anchor in over HEAVY of the documents
 that a task looks at together is hot at once: one row tells its bucket, the others go straight back to their documents,
 so no bucket gathers what stands in a large share of all documents.
 
@@ -148,14 +148,15 @@ def pieces(ends: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from zip(np.append(0, cuts[:-1]).tolist(), cuts.tolist(), strict=True)
 
 
-def contents(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A hash of each of the strings that data holds one after another."""
+def contents(data: np.ndarray, sizes: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A hash of each of the strings that data holds one after another; another one with a salt."""
     ends = np.cumsum(sizes)
     out = np.empty(len(sizes), np.uint64)
     for lo, hi in pieces(ends):
         begin = int(ends[lo] - sizes[lo])
         own = ends[lo:hi] - begin
-        out[lo:hi] = range_hashes(data[begin:int(ends[hi - 1])].astype(np.uint64) + np.uint64(1), own - sizes[lo:hi], own)
+        units = data[begin:int(ends[hi - 1])].astype(np.uint64) + np.uint64(1 + salt)
+        out[lo:hi] = range_hashes(mixed(units) if salt else units, own - sizes[lo:hi], own)
     return out
 
 
@@ -194,7 +195,7 @@ MARKED = "bucket int, packed binary, hot boolean"
 _OWN = {"ids": np.int64, "keys": np.int64, "counts": np.int32}
 ANCHORS = _OWN | {"hash": np.uint64, "stretches": np.int32}
 SHARED = _OWN | {"hash": np.uint64, "hot": np.uint8}
-DIGESTS = _OWN | {"one": np.uint64, "two": np.uint64, "first": np.int64}
+OFTEN = _OWN | {"first": np.int64, "windows": np.uint8, "sizes": np.int32, "bytes": np.uint8}
 STRETCHES = _OWN | {"hash": np.uint64, "first": np.int64, "windows": np.uint8, "sizes": np.int32, "bytes": np.uint8}
 TEXTS = {"ids": np.int64, "keys": np.int64, "sizes": np.int64, "bytes": np.uint8}
 SPANS = _OWN | {"lo": np.int64, "hi": np.int64}
@@ -361,14 +362,18 @@ def _stretches(words: bool, window: int, gram: int, buckets: int):
                 at = order[np.minimum(np.searchsorted(hashes, own, sorter=order), len(hashes) - 1)]
                 keep[edges[i]:edges[i + 1]] = hashes[at] == own
                 often[edges[i]:edges[i + 1]] = hot[at] > 0
-            if (keep & often).any():
-                yield from marked(_digests(texts, {k: v[keep & often] for k, v in found.items()}, docs, window, buckets), True)
+            base, ids, keys = texts.ends - texts.sizes, np.array([x[0] for x in docs], np.int64), np.array([x[1] for x in docs], np.int64)
+
+            def columns(own):
+                data, sizes = texts.slices(own["first"], own["last"], window)
+                return {"first": own["first"] - base[own["doc"]], "windows": (own["last"] - own["first"] + 1).astype(np.uint8), "sizes": sizes, "bytes": data}
+
+            if (keep & often).any():  # to any one bucket: they only pass
+                own = {k: v[keep & often] for k, v in found.items()}
+                yield from marked(_dealt(np.full(len(own["doc"]), keys[0] % buckets), ids, keys, own["doc"], **columns(own)), True)
             found = {k: v[keep & ~often] for k, v in found.items()}
-            data, sizes = texts.slices(found["first"], found["last"], window)
-            base = texts.ends - texts.sizes
-            held.append({"ids": np.array([x[0] for x in docs], np.int64), "keys": np.array([x[1] for x in docs], np.int64), "doc": found["doc"], "hash": found["hash"],
-                         "first": found["first"] - base[found["doc"]], "windows": (found["last"] - found["first"] + 1).astype(np.uint8), "sizes": sizes, "bytes": data})
-            n += len(data) + 64 * len(found["doc"])
+            held.append({"ids": ids, "keys": keys, "doc": found["doc"], "hash": found["hash"]} | columns(found))
+            n += len(held[-1]["bytes"]) + 64 * len(found["doc"])
             if n >= FLUSH_BYTES:
                 yield from flush()
                 held, n = [], 0
@@ -384,41 +389,79 @@ def marked(batches: Iterator[pa.RecordBatch], hot: bool) -> Iterator[pa.RecordBa
         yield pa.record_batch([*batch.columns, pa.array([hot] * batch.num_rows)], ["bucket", "packed", "hot"])
 
 
-def _digests(texts: Texts, found: dict[str, np.ndarray], docs: list, window: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Two digests of every window of the stretches, by bucket of their documents."""
-    n = found["last"] - found["first"] + 1
-    start = np.repeat(found["first"] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    doc = np.repeat(found["doc"], n)
-    ids, keys = np.array([x[0] for x in docs], np.int64), np.array([x[1] for x in docs], np.int64)
-    yield from _dealt(keys[doc] % buckets, ids, keys, doc, one=range_hashes(texts.units, start, start + window), two=range_hashes(mixed(texts.units + np.uint64(77)), start, start + window),
-                      first=start - (texts.ends - texts.sizes)[doc])
+def _digest(one: np.ndarray, two: np.ndarray) -> pa.Array:
+    both = np.ascontiguousarray(np.stack([one, two], axis=1))
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(one), [None, pa.py_buffer(both)]).cast(pa.binary())
 
 
-def _unpacked_digests(batches):
+def _hot_packs(batches) -> Iterator[tuple[dict[str, np.ndarray], pa.Array, np.ndarray]]:
+    """(arrays, content digests, where each text begins) of packed hot stretches."""
     for batch in batches:
         for packed in batch.column("packed").to_pylist():
-            got = _unpack(packed, DIGESTS)
-            doc = np.repeat(np.arange(len(got["ids"])), got["counts"])
-            both = np.stack([got["one"], got["two"]], axis=1)
-            names = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(doc), [None, pa.py_buffer(np.ascontiguousarray(both))]).cast(pa.binary())
-            yield pa.record_batch([names, pa.array(got["ids"][doc]), pa.array(got["keys"][doc]), pa.array(got["first"])], ["digest", "doc_id", "key", "first"])
+            got = _joined([_unpack(packed, OFTEN)])
+            sizes = got["sizes"].astype(np.int64)
+            yield got, _digest(contents(got["bytes"], sizes), contents(got["bytes"], sizes, 77)), np.cumsum(sizes) - sizes
+
+
+def _hot_rows(batches):
+    for got, digest, _ in _hot_packs(batches):
+        yield pa.record_batch([digest, pa.array(got["ids"][got["doc"]]), pa.array(got["keys"][got["doc"]]), pa.array(got["first"]), pa.array(got["windows"].astype(np.int32))], ["digest", "doc_id", "key", "first", "windows"])
+
+
+def _hot_contents(batches):
+    for got, digest, at in _hot_packs(batches):
+        seen = digest.dictionary_encode()
+        number = seen.indices.to_numpy()
+        order = np.argsort(number, kind="stable")
+        head = np.flatnonzero(np.concatenate([[True], number[order][1:] != number[order][:-1]]))
+        own = order[head]
+        raw = got["bytes"].tobytes()
+        texts = [raw[lo:lo + n] for lo, n in zip(at[own].tolist(), got["sizes"][own].tolist(), strict=True)]
+        least = np.minimum.reduceat(got["ids"][got["doc"]][order], head)
+        yield pa.record_batch([seen.dictionary.take(pa.array(number[own])), pa.array(least), pa.array(np.diff(np.append(head, len(order)))), pa.array(texts, pa.binary())], ["digest", "least", "n", "text"])
+
+
+def _hot_windows(words: bool, window: int):
+    def run(batches):
+        for batch in batches:
+            bodies = batch.column("text").to_pylist()
+            for part in _parts(bodies):
+                texts = Texts(bodies[part], words)
+                n = texts.sizes - window + 1
+                base = texts.ends - texts.sizes
+                place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                start = np.repeat(base, n) + place
+                of = pa.array(np.repeat(np.arange(part.start, part.stop), n))
+                two = range_hashes(mixed(texts.units + np.uint64(77)), start, start + window)
+                yield pa.record_batch([_digest(range_hashes(texts.units, start, start + window), two), batch.column("digest").take(of), batch.column("least").take(of), pa.array(place.astype(np.int32))], ["window", "digest", "least", "place"])
+    return run
 
 
-def _packed_spans(window: int, buckets: int):
+def _packed_spans(buckets: int):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                ids, keys, first = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "key", "first"))
-                yield from _dealt(keys % buckets, ids, keys, np.arange(len(ids)), lo=first, hi=first + window)
+                ids, keys, lo, hi = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "key", "lo", "hi"))
+                yield from _dealt(keys % buckets, ids, keys, np.arange(len(ids)), lo=lo, hi=hi)
     return run
 
 
-def hot_spans(digests: DataFrame, window: int, buckets: int) -> DataFrame:
-    """Spans of the windows of anchors that stand too often, each against the smallest document of its digest."""
-    rows = digests.mapInArrow(_unpacked_digests, "digest binary, doc_id long, key long, first long")
-    least = stage(rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1"), "least")
-    gone = attach(rows, least, "digest", "n", F.struct("key", "first")).where("least < doc_id")
-    return stage(gone.select("doc_id", "key", "first").mapInArrow(_packed_spans(window, buckets), PACKED), "hot-spans")
+def hot_spans(packed: DataFrame, words: bool, window: int, buckets: int) -> DataFrame:
+    """Spans of the stretches of anchors that stand too often. Equal stretches are one, of their smallest document; only the
+    windows of different ones are compared. A row past its stretch's smallest document goes whole."""
+    found = packed.mapInArrow(_hot_contents, "digest binary, least long, n long, text binary")
+    distinct = stage(found.groupBy("digest").agg(F.min("least").alias("least"), F.sum("n").alias("n"), F.min("text").alias("text")), "hot-stretches")
+    windows = distinct.select("digest", "least", "text").mapInArrow(_hot_windows(words, window), "window binary, digest binary, least long, place int")
+    met = stage(windows.groupBy("window").agg(F.min("least").alias("before"), F.max("least").alias("after"), F.count("*").alias("n")).where("before < after").drop("after"), "hot-windows")
+    lower = attach(windows, met, "window", "n", F.struct("digest", "place")).where("before < least")
+    lower = lower.groupBy("digest").agg(F.collect_set("place").alias("places"))  # at most the windows of a stretch
+    known = stage(distinct.select("digest", "least", "n").join(lower, "digest", "left").where("n > 1 or places is not null"), "hot-least")
+    rows = packed.mapInArrow(_hot_rows, "digest binary, doc_id long, key long, first long, windows int")
+    gone = attach(rows, known, "digest", "n", F.struct("key", "first")).where("doc_id > least or places is not null")
+    span = lambda at, n: F.struct((F.col("first") + at).alias("lo"), (F.col("first") + at + n + window - 1).alias("hi"))
+    spans = F.when(F.col("doc_id") > F.col("least"), F.array(span(F.lit(0), F.col("windows")))).otherwise(F.transform("places", lambda p: span(p, F.lit(1))))
+    gone = gone.select("doc_id", "key", F.explode(spans).alias("s")).select("doc_id", "key", "s.lo", "s.hi")
+    return stage(gone.mapInArrow(_packed_spans(buckets), PACKED), "hot-spans")
 
 
 #: (bytes of stretches, their lengths, windows of each, smallest document of each, anchor of each) -> smallest document of
@@ -591,6 +634,6 @@ def _without_repeats(docs: DataFrame, words: bool, window: int, gram: int, index
     often = spans.where("hot").select("packed")
     spans = spans.where("not hot").select("bucket", "packed")
     if not often.isEmpty():
-        spans = spans.union(hot_spans(often, window, buckets))
+        spans = spans.union(hot_spans(often, words, window, buckets))
 
     return stage(_met(rows, spans, buckets).mapInArrow(finished(finish, fields), fields), "kept")  # now, while the options hold
