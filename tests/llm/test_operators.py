@@ -547,6 +547,14 @@ def test_hot_anchors_stage_less_than_the_text(spark, tmp_path, words):
     assert staged < sum(len(text) for _, text in rows)
 
 
+def test_packs_of_many_buckets_stay_small(spark):
+    rows = spark.createDataFrame([(i, prose(i, 150)) for i in range(600)], "doc_id long, text string")
+    batch = pa.Table.from_pandas(windows.keyed(rows).toPandas(), preserve_index=False).combine_chunks().to_batches()
+    few, many = (sum(len(p) for b in windows._anchors(False, 50, 20, n, 512)(iter(batch)) for p in b.column("packed").to_pylist()) for n in (10, 200))
+    assert many < 1.35 * few
+    assert {r.key for r in windows.keyed(rows).collect()} == {0} and len({r.key for r in windows.keyed(rows.union(rows.limit(1).selectExpr("doc_id", "'' AS text"))).collect()}) == 601
+
+
 def test_levels_hold_some_anchors_at_a_time(monkeypatch):
     draw = random.Random(7)
     texts = [bytes(draw.choice((2 * a, 2 * a + 1)) for _ in range(draw.randint(8, 14))) for a in range(20) for _ in range(6)]

@@ -174,11 +174,13 @@ def _parts(texts: list[bytes]) -> Iterator[slice]:
 def _pack(arrays: dict[str, np.ndarray]) -> bytes:
     """Arrays as one compressed string; _unpack knows the kinds by name."""
     sink = pa.BufferOutputStream()
-    for x in arrays.values():
+    for name, x in arrays.items():
+        if name == "ids":
+            x = np.diff(x.astype(np.int64), prepend=np.int64(0))
         raw = np.ascontiguousarray(x).tobytes()
         sink.write(len(raw).to_bytes(8, "little"))
         sink.write(raw)
-    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue())
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
 
 
 def _unpack(data: bytes, kinds: dict[str, Any]) -> dict[str, np.ndarray]:
@@ -187,6 +189,8 @@ def _unpack(data: bytes, kinds: dict[str, Any]) -> dict[str, np.ndarray]:
         n = int.from_bytes(raw[at:at + 8], "little")
         out[name] = np.frombuffer(raw, kind, n // np.dtype(kind).itemsize, at + 8)
         at += 8 + n
+    if "ids" in out:
+        out["ids"] = np.cumsum(out["ids"])
     return out
 
 
@@ -201,8 +205,17 @@ TEXTS = {"ids": np.int64, "keys": np.int64, "sizes": np.int64, "bytes": np.uint8
 SPANS = _OWN | {"lo": np.int64, "hi": np.int64}
 
 
+def home(ids: np.ndarray, keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each document."""
+    return (mixed(ids.astype(np.uint64) ^ keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
 def _dealt(bucket: np.ndarray, ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows (doc: number of the document, columns) by bucket; a bucket names each document once, with its count of rows."""
+    by_id = np.argsort(ids, kind="stable")  # ids by difference and keys that are mostly 0 take little room
+    rank = np.empty(len(ids), np.int64)
+    rank[by_id] = np.arange(len(ids))
+    ids, keys, doc = ids[by_id], keys[by_id], rank[doc]
     order = np.lexsort((doc, bucket))
     edges = np.append(np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]])), len(order)) if len(order) else [0]
     sizes, data = columns.pop("sizes", None), columns.pop("bytes", None)
@@ -235,7 +248,7 @@ def _anchors(words: bool, window: int, gram: int, buckets: int, heavy: int):
             met = ~direct | (count == CLAIM)
             yield from marked(_dealt((h[met] % np.uint64(buckets)).astype(np.int64), own, of, doc[met], hash=h[met], stretches=count[met]), False)
             if direct.any():
-                yield from marked(_dealt(of[doc[direct]] % buckets, own, of, doc[direct], hash=h[direct], hot=np.ones(int(direct.sum()), np.uint8)), True)
+                yield from marked(_dealt(home(own, of, buckets)[doc[direct]], own, of, doc[direct], hash=h[direct], hot=np.ones(int(direct.sum()), np.uint8)), True)
 
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -298,7 +311,7 @@ def _shared(buckets: int, hot: int):
             more = (np.minimum.reduceat(own, first) < np.maximum.reduceat(own, first)) | (stretches >= CLAIM)
             kept = order[np.repeat(more, sizes)]
             doc = got["doc"][kept]
-            yield from _dealt(got["keys"][doc] % buckets, got["ids"], got["keys"], doc, hash=got["hash"][kept], hot=np.repeat(stretches[more] > hot, sizes[more]).astype(np.uint8))
+            yield from _dealt(home(got["ids"], got["keys"], buckets)[doc], got["ids"], got["keys"], doc, hash=got["hash"][kept], hot=np.repeat(stretches[more] > hot, sizes[more]).astype(np.uint8))
     return run
 
 
@@ -370,7 +383,7 @@ def _stretches(words: bool, window: int, gram: int, buckets: int):
 
             if (keep & often).any():  # to any one bucket: they only pass
                 own = {k: v[keep & often] for k, v in found.items()}
-                yield from marked(_dealt(np.full(len(own["doc"]), keys[0] % buckets), ids, keys, own["doc"], **columns(own)), True)
+                yield from marked(_dealt(np.full(len(own["doc"]), home(ids[:1], keys[:1], buckets)[0]), ids, keys, own["doc"], **columns(own)), True)
             found = {k: v[keep & ~often] for k, v in found.items()}
             held.append({"ids": ids, "keys": keys, "doc": found["doc"], "hash": found["hash"]} | columns(found))
             n += len(held[-1]["bytes"]) + 64 * len(found["doc"])
@@ -442,7 +455,7 @@ def _packed_spans(buckets: int):
         for batch in batches:
             if batch.num_rows:
                 ids, keys, lo, hi = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "key", "lo", "hi"))
-                yield from _dealt(keys % buckets, ids, keys, np.arange(len(ids)), lo=lo, hi=hi)
+                yield from _dealt(home(ids, keys, buckets), ids, keys, np.arange(len(ids)), lo=lo, hi=hi)
     return run
 
 
@@ -515,7 +528,7 @@ def span_rows(got: dict[str, np.ndarray], number: np.ndarray, begin: np.ndarray,
         lo, hi = place[gone & ~before], place[gone & ~after] + window
         doc = np.repeat(got["doc"][part], n)[gone & ~before]
         if len(lo):
-            yield from _dealt(got["keys"][doc] % buckets, got["ids"], got["keys"], doc, lo=lo, hi=hi)
+            yield from _dealt(home(got["ids"], got["keys"], buckets)[doc], got["ids"], got["keys"], doc, lo=lo, hi=hi)
 
 
 def _spans(index: Index, window: int, buckets: int):
@@ -549,8 +562,8 @@ def _packed_texts(buckets: int):
 
         def flush():
             by: dict[int, list] = {}
-            for x in held:
-                by.setdefault(x[1] % buckets, []).append(x)
+            for x, bucket in zip(held, home(np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64), buckets).tolist(), strict=True):
+                by.setdefault(bucket, []).append(x)
             packed = [_pack({"ids": np.array([x[0] for x in own], np.int64), "keys": np.array([x[1] for x in own], np.int64), "sizes": np.array([len(x[2]) for x in own], np.int64),
                              "bytes": np.frombuffer(b"".join([x[2] for x in own]), np.uint8)}) for own in by.values()]
             yield pa.record_batch([pa.array(list(by), pa.int32()), pa.array(packed, pa.binary())], ["bucket", "packed"])
@@ -593,9 +606,11 @@ def finished(finish: Callable, fields: str):
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, text): key tells rows of one doc_id apart, text is bytes."""
+    """(doc_id, key, text): key tells rows of one doc_id apart, and is 0 where no doc_id is there twice; text is bytes."""
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    return docs.select(doc_id.alias("doc_id"), F.xxhash64(text_of(), doc_id).alias("key"), text_of().cast("binary").alias("text"))
+    once = docs.select(doc_id.alias("doc_id")).groupBy("doc_id").count().where("count > 1").isEmpty()
+    key = F.lit(0).cast("long") if once else F.xxhash64(text_of(), doc_id)
+    return docs.select(doc_id.alias("doc_id"), key.alias("key"), text_of().cast("binary").alias("text"))
 
 
 @contextmanager
