@@ -177,3 +177,17 @@ def test_repair_in_rounds(spark):
     got = V.repair_groups(spark.createDataFrame(groups, V.GROUP), blocks).collect()
     assert {bytes(r.cid): bytes(r.body) for r in got} == {c: store[c] for c in lost} and len(got) == len(lost)
     spark.catalog.clearCache()
+
+
+def test_plans_of_a_difference_do_not_grow_with_the_height(spark, tmp_path):
+    from veriplex.operators import stored as S
+
+    a = dict(dataset(3, 1500))
+    b = dict(list(sorted(a.items()))[:-1])
+    (ra, xa), (rb, xb) = build_local(sorted(a.items())), build_local(sorted(b.items()))
+    blocks = spark.createDataFrame([(bytearray(c), k, bytearray(body)) for c, (k, body) in (xa | xb).items()], "cid binary, kind int, body binary")
+    d = S.difference(blocks, ra, rb)
+    size = lambda df: df._jdf.queryExecution().analyzed().toString().count("\n")
+    assert len(d.old) > 2 and size(d.changes()) < 30 and size(S.scan(blocks, ra)) < 30
+    assert [x.change for x in d.changes().collect()] == ["Removed"]
+    spark.catalog.clearCache()

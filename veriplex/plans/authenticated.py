@@ -342,7 +342,8 @@ def stored_reopened(spark, sf_dir):
 def stored_diff(spark, sf_dir):
     """Changes between two roots of one store, from the roots down: shared subtrees are never read."""
     _, _, a, b = _trees(spark, sf_dir)
-    found = S.difference(overlay(b.blocks(), a.blocks()), a.root, b.root).changes()
+    # One tree's blocks and the other's new ones, as a store has them: a table, not the plan of two builds.
+    found = S.difference(S.kept(overlay(b.blocks(), a.blocks())), a.root, b.root).changes()
     return found.select(F.hex("key").alias("key_hex"), "change", F.col("old.stored").cast("string").alias("old_text"), F.col("new.stored").cast("string").alias("new_text"))
 
 
