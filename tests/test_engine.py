@@ -191,3 +191,23 @@ def test_plans_of_a_difference_do_not_grow_with_the_height(spark, tmp_path):
     assert len(d.old) > 2 and size(d.changes()) < 30 and size(S.scan(blocks, ra)) < 30
     assert [x.change for x in d.changes().collect()] == ["Removed"]
     spark.catalog.clearCache()
+
+
+def test_partitions_of_a_build_are_bounded(spark, monkeypatch):
+    from veriplex.operators import build as T
+
+    rows, dealt, parts = dataset(5, 600), [], T._parts
+    monkeypatch.setattr(T, "_parts", lambda bounds: (dealt.append(len(bounds) + 1), parts(bounds))[1])
+    assert build(frame(spark, rows), per_part=5).root == build_local(rows)[0]
+    assert max(dealt) <= T.SHARES * 4
+
+
+def test_leaves_of_inline_values_hash_no_group(monkeypatch):
+    from veriplex.operators import boundary as B
+    from veriplex.operators.node import Node, Value
+
+    hashed, hashes = [], B.key_hashes
+    monkeypatch.setattr(B, "key_hashes", lambda domain, level, keys: (hashed.append(len(keys)), hashes(domain, level, keys))[1])
+    keys = [b"k%03d" % i for i in range(60)]
+    assert B.groups(Node(0, keys, [Value.of(b"v")] * 60)) == [] and not hashed
+    assert sum(len(own) for _, own in B.groups(Node(0, keys, [Value.of(b"v" * (2000 if i % 2 else 1)) for i in range(60)]))) == 30 and hashed == [30]

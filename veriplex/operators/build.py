@@ -23,6 +23,8 @@ from .node import EMPTY, EMPTY_ROOT, PARITY_KIND, RAW, TREE_NODE, Node, Value, b
 
 #: Entries of a partition at most, about; at least, while the session has partitions to spare; and entries at its head that the driver may replay at once.
 ROWS, LEAST, HEAD = 100_000, 5_000, 512
+#: Partitions at most for each that the rows or the session ask for: the driver gets HEAD entries of each, and each is a task.
+SHARES = 4
 ENTRY = "key binary, body binary, cid binary, entries long, bytes long"
 NODE = "key binary, body binary, cid binary, entries long, bytes long, parity array<struct<cid: binary, body: binary>>"
 FOLD = "part int, n long, keys array<binary>, hashes array<long>, costs array<int>, starts array<int>, size int, closed boolean"
@@ -162,7 +164,7 @@ def _referenced(batches):
 def level_nodes(rows: DataFrame, level: int, n: int, per_part: int = ROWS) -> DataFrame:
     """The nodes over n sorted-by-key rows (ENTRY)."""
     spare = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // LEAST))
-    parts = max(1, -(-n // per_part), spare)
+    parts = max(1, min(-(-n // per_part), SHARES * max(spare, -(-n // ROWS))), spare)
     bounds: list[bytes] = []
     if parts > 1:
         # A bounded sample of keys; any bounds give the same nodes.
