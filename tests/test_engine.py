@@ -211,3 +211,19 @@ def test_leaves_of_inline_values_hash_no_group(monkeypatch):
     keys = [b"k%03d" % i for i in range(60)]
     assert B.groups(Node(0, keys, [Value.of(b"v")] * 60)) == [] and not hashed
     assert sum(len(own) for _, own in B.groups(Node(0, keys, [Value.of(b"v" * (2000 if i % 2 else 1)) for i in range(60)]))) == 30 and hashed == [30]
+
+
+def test_packs_hold_a_repeated_block_once(spark):
+    from veriplex.operators.node import block_ids
+    from veriplex.operators.pack import pack_blocks, unpack
+
+    bodies = [bytes([i]) * 50 for i in range(20)]
+    rows = [(bytearray(c), 0, bytearray(b), i % 2) for i, (c, b) in enumerate(zip(block_ids([(0, b) for b in bodies]), bodies, strict=True))]
+    got = unpack(pack_blocks(spark.createDataFrame(rows * 3, "cid binary, kind int, body binary, part int"), "part", 300)).collect()
+    assert sorted(bytes(r.body) for r in got) == bodies
+
+
+def test_pack_roundtrip_shuffles_no_body_for_the_comparison(spark):
+    plan = QUERIES["pack_roundtrip"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Except" not in plan and "Deduplicate [cid" not in plan and "first(body" not in plan
+    spark.catalog.clearCache()

@@ -211,15 +211,15 @@ class Tree:
             out = out.unionByName(level.withColumn("level", F.lit(i)))
         return out
 
-    def blocks(self) -> DataFrame:
-        """(cid, kind, body), each once."""
+    def blocks(self, once: bool = True) -> DataFrame:
+        """(cid, kind, body), each once; or as often as it is made, which spares a shuffle of all bodies."""
         nodes = self.nodes()
         out = nodes.select("cid", F.lit(TREE_NODE).alias("kind"), "body")
         parity = nodes.select(F.explode("parity").alias("p")).select("p.cid", F.lit(PARITY_KIND).alias("kind"), "p.body")
         out = out.unionByName(parity)
         if self.entries is not None:
             out = out.unionByName(self.entries.where("cid is not null").select("cid", F.lit(RAW).alias("kind"), "body"))
-        return out.dropDuplicates(["cid"])
+        return out.dropDuplicates(["cid"]) if once else out
 
 
 def build(entries: DataFrame, per_part: int = ROWS) -> Tree:

@@ -89,14 +89,17 @@ def well_formed(data: bytes, policy: Policy = Policy()) -> bool:
 
 
 def pack_blocks(blocks: DataFrame, group: str, target: int = MAX_PACK) -> DataFrame:
-    """(group, pack): the blocks (cid, kind, body) of each group in packs of at most ``target`` bytes, in order of id. A group is streamed, not gathered."""
+    """(group, pack): the blocks (cid, kind, body) of each group in packs of at most ``target`` bytes, in order of id. A group is streamed, not gathered; a block that is there twice is packed once."""
     def run(batches):
         import pyarrow as pa
 
-        held, size, own = [], HEADER, None
+        held, size, own, last = [], HEADER, None, None
         for batch in batches:
             out = []
-            for g, kind, body in zip(*[batch.column(c).to_pylist() for c in (group, "kind", "body")], strict=True):
+            for g, cid, kind, body in zip(*[batch.column(c).to_pylist() for c in (group, "cid", "kind", "body")], strict=True):
+                if (g, cid) == last:
+                    continue
+                last = g, cid
                 if held and (g != own or size + MIN_MEMBER + len(body) > target or len(held) == 0xFFFF):
                     out.append((own, build(held)))
                     held, size = [], HEADER

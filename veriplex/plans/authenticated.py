@@ -304,12 +304,16 @@ def parity_repair(spark, sf_dir):
 
 @query(f"WITH {D_SQL}, v AS (SELECT DISTINCT text, size FROM d WHERE size > 1024) SELECT count(*) AS value_blocks, CAST(sum(size) AS BIGINT) AS value_bytes, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS extra FROM v")
 def pack_roundtrip(spark, sf_dir):
-    """Blocks packed by carriers and unpacked: the values that come back, and blocks lost or added."""
-    blocks = document_tree(spark, sf_dir).blocks().persist()
-    got = unpack(pack_blocks(blocks.withColumn("carrier", F.ascii(F.substring(F.hex("cid"), 1, 1))), "carrier", 64 * 1024)).persist()
-    a, b = blocks.select("cid", F.col("kind").cast("int"), "body"), got.select("cid", "kind", "body")
-    values = got.where(F.col("kind") == 0).agg(F.count("*").alias("value_blocks"), F.sum(F.octet_length("body")).cast("long").alias("value_bytes"))
-    return values.select("*", F.lit(a.exceptAll(b).count()).cast("long").alias("lost"), F.lit(b.exceptAll(a).count()).cast("long").alias("extra"))
+    """Blocks packed by carriers and unpacked: the values that come back, and blocks lost or added. They are compared by digests of their bodies."""
+    blocks = document_tree(spark, sf_dir).blocks(once=False)
+    got = unpack(pack_blocks(blocks.withColumn("carrier", F.conv(F.substring(F.hex("cid"), 1, 2), 16, 10).cast("int")), "carrier", 64 * 1024))
+    brief = lambda df: df.select("cid", F.col("kind").cast("int"), F.octet_length("body").cast("long").alias("size"), F.sha2("body", 256).alias("digest"))
+    a, b = brief(blocks).dropDuplicates(["cid"]).withColumn("n", F.lit(1)), brief(got).withColumn("n", F.lit(-1))
+    own = a.unionByName(b).groupBy("cid", "kind", "size", "digest").agg(F.sum("n").alias("n"), F.sum((F.col("n") < 0).cast("long")).alias("back"))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    value = F.when(F.col("kind") == 0, F.col("back")).otherwise(0)
+    return own.agg(total(value).alias("value_blocks"), F.sum(F.when(F.col("kind") == 0, F.col("back") * F.col("size"))).cast("long").alias("value_bytes"),
+                   total(F.greatest("n", F.lit(0))).alias("lost"), total(F.greatest(-F.col("n"), F.lit(0))).alias("extra"))
 
 
 @query(f"SELECT count(*) AS entries, CAST(coalesce(sum({_VALUE_BYTES}), 0) AS BIGINT) AS bytes, true AS within_bound FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 1100")
