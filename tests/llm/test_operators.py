@@ -547,6 +547,21 @@ def test_hot_anchors_stage_less_than_the_text(spark, tmp_path, words):
     assert staged < sum(len(text) for _, text in rows)
 
 
+@pytest.mark.parametrize("words", [False, True])
+def test_hot_stretches_are_joined_once_a_pack(spark, monkeypatch, words):
+    passage = " ".join(prose(i, 40) for i in range(1000, 1012))
+    rows = [(i, f"{passage[:3000 + i]} end{i}") for i in range(150)]
+    joined, attach = [], windows.attach
+    monkeypatch.setattr(windows, "attach", lambda rows, *a: (attach(rows, *a), joined.append(rows.count()))[0])
+    dedup, units = (automaton.substring_dedup, word_units) if words else (suffixes.suffix_dedup, byte_units)
+    monkeypatch.setattr(windows, "SLOT", 50)
+    got = dedup(spark.createDataFrame(rows, "doc_id long, text string"), hot=2).collect()
+    want = repeats([(i, text, None) for i, text in rows], units, 50)
+    assert Counter((g.doc_id, g.n_words if words else g.n_bytes, g.n_removed, g.kept_sha256) for g in got) == Counter({(d, n, x, h): k for (d, n, x, _, h), k in want.items()})
+    stretches = sum(len(windows.Texts([text.encode()], words).stretches(50, automaton.GRAM if words else suffixes.GRAM)["hash"]) for _, text in rows)
+    assert 0 < sum(joined) < stretches / 3
+
+
 def test_packs_of_many_buckets_stay_small(spark):
     rows = spark.createDataFrame([(i, prose(i, 150)) for i in range(600)], "doc_id long, text string")
     batch = pa.Table.from_pandas(windows.keyed(rows).toPandas(), preserve_index=False).combine_chunks().to_batches()

@@ -13,7 +13,8 @@ side, are a stretch.
 Tasks hold one bucket of anchors, or a part of the documents' texts, packed in arrays; buckets are as many as the
 session has shuffle partitions. Nothing is collected by the driver, and no list of candidates is cut. An anchor with
 over HOT stretches would bring too much together: its stretches go as 128-bit digests through an aggregate that combines before
-its shuffle, the windows of different stretches through another, and both through joins that spread hot digests. An anchor in over HEAVY of the documents
+its shuffle. The windows of different stretches go packed, each once a chunk of stretches, to the slot of their digest, which
+tells the chunk of smaller documents; a join that spreads hot digests tells each pack of stretches once what goes of them. An anchor in over HEAVY of the documents
 that a task looks at together is hot at once: one row tells its bucket, the others go straight back to their documents,
 so no bucket gathers what stands in a large share of all documents.
 
@@ -30,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,8 @@ FLUSH, FLUSH_BYTES = 1 << 19, 1 << 23
 HOT = 20_000
 #: Documents among FLUSH anchors from which an anchor is hot without a count, and the stretches that its row then claims.
 HEAVY, CLAIM = 512, 1 << 30
+#: Windows of different hot stretches that are compared at a time, about.
+SLOT = 1 << 22
 LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -201,6 +205,9 @@ ANCHORS = _OWN | {"hash": np.uint64, "stretches": np.int32}
 SHARED = _OWN | {"hash": np.uint64, "hot": np.uint8}
 OFTEN = _OWN | {"first": np.int64, "windows": np.uint8, "sizes": np.int32, "bytes": np.uint8}
 STRETCHES = _OWN | {"hash": np.uint64, "first": np.int64, "windows": np.uint8, "sizes": np.int32, "bytes": np.uint8}
+#: Of different hot stretches: two hashes, smallest document, stretches and packs that hold them, lengths, bytes; of windows, the first three.
+CHUNKS = {"one": np.uint64, "two": np.uint64, "least": np.int64, "n": np.int64, "packs": np.int64, "sizes": np.int32, "bytes": np.uint8}
+ASKS = {"one": np.uint64, "two": np.uint64, "least": np.int64}
 TEXTS = {"ids": np.int64, "keys": np.int64, "sizes": np.int64, "bytes": np.uint8}
 SPANS = _OWN | {"lo": np.int64, "hi": np.int64}
 
@@ -407,74 +414,205 @@ def _digest(one: np.ndarray, two: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(one), [None, pa.py_buffer(both)]).cast(pa.binary())
 
 
-def _hot_packs(batches) -> Iterator[tuple[dict[str, np.ndarray], pa.Array, np.ndarray]]:
-    """(arrays, content digests, where each text begins) of packed hot stretches."""
+def _pairs(digests: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The two hashes of each digest."""
+    both = np.frombuffer(b"".join(digests.to_pylist()), np.uint64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def _least(one: np.ndarray, two: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of hashes: (number of each, a place of each number, smallest value of each number)."""
+    order = np.lexsort((two, one))
+    a, b = one[order], two[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    number, heads = np.empty(len(order), np.int64), np.flatnonzero(new)
+    number[order] = np.cumsum(new) - 1
+    return number, order[heads], np.minimum.reduceat(values[order], heads)
+
+
+def _hot_pack(packed: bytes) -> tuple[dict[str, np.ndarray], pa.Array]:
+    """(arrays, content digests) of packed hot stretches."""
+    got = _joined([_unpack(packed, OFTEN)])
+    sizes = got["sizes"].astype(np.int64)
+    return got, _digest(contents(got["bytes"], sizes), contents(got["bytes"], sizes, 77))
+
+
+def _hot_digests(batches):
+    """Each digest of a pack once."""
+    for batch in batches:
+        for pack, packed in zip(batch.column("pack").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+            digests = _hot_pack(packed)[1].unique()
+            yield pa.record_batch([digests, pa.array(np.full(len(digests), pack, np.int64))], ["digest", "pack"])
+
+
+def _hot_contents(batches):
     for batch in batches:
         for packed in batch.column("packed").to_pylist():
-            got = _joined([_unpack(packed, OFTEN)])
+            got, digest = _hot_pack(packed)
             sizes = got["sizes"].astype(np.int64)
-            yield got, _digest(contents(got["bytes"], sizes), contents(got["bytes"], sizes, 77)), np.cumsum(sizes) - sizes
+            at = np.cumsum(sizes) - sizes
+            seen = digest.dictionary_encode()
+            number = seen.indices.to_numpy()
+            order = np.argsort(number, kind="stable")
+            head = np.flatnonzero(np.concatenate([[True], number[order][1:] != number[order][:-1]]))
+            own = order[head]
+            raw = got["bytes"].tobytes()
+            texts = [raw[lo:lo + n] for lo, n in zip(at[own].tolist(), sizes[own].tolist(), strict=True)]
+            least = np.minimum.reduceat(got["ids"][got["doc"]][order], head)
+            yield pa.record_batch([seen.dictionary.take(pa.array(number[own])), pa.array(least), pa.array(np.diff(np.append(head, len(order)))), pa.array(texts, pa.binary())], ["digest", "least", "n", "text"])
+
+
+def _hot_chunks(words: bool, window: int):
+    """Different hot stretches, some FLUSH_BYTES of them in a row, with the number of their windows."""
+    def run(batches):
+        task, made, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def flush():
+            texts = [t for x in held for t in x.column("text").to_pylist()]
+            one, two = (np.concatenate(x) for x in zip(*[_pairs(x.column("digest")) for x in held], strict=True))
+            arrays = {"one": one, "two": two} | {c: np.concatenate([x.column(c).to_numpy() for x in held]) for c in ("least", "n", "packs")}
+            arrays |= {"sizes": np.array([len(t) for t in texts], np.int32), "bytes": np.frombuffer(b"".join(texts), np.uint8)}
+            n = sum(len(t.split()) if words else len(t) for t in texts) - len(texts) * (window - 1)
+            yield pa.record_batch([pa.array([task + (made << 20)]), pa.array([n]), pa.array([_pack(arrays)], pa.binary())], ["chunk", "windows", "packed"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.column("text").nbytes
+                if size >= FLUSH_BYTES:
+                    yield from flush()
+                    made, held, size = made + 1, [], 0
+        if held:
+            yield from flush()
+    return run
 
 
-def _hot_rows(batches):
-    for got, digest, _ in _hot_packs(batches):
-        yield pa.record_batch([digest, pa.array(got["ids"][got["doc"]]), pa.array(got["keys"][got["doc"]]), pa.array(got["first"]), pa.array(got["windows"].astype(np.int32))], ["digest", "doc_id", "key", "first", "windows"])
+def _chunk_windows(got: dict[str, np.ndarray], words: bool, window: int) -> tuple[np.ndarray, ...]:
+    """Of the windows of a chunk's stretches: two hashes, number of the stretch, place in it."""
+    ends, raw, out, at = np.cumsum(got["sizes"]).tolist(), got["bytes"].tobytes(), [], 0
+    bodies = [raw[end - n:end] for n, end in zip(got["sizes"].tolist(), ends, strict=True)]
+    for part in _parts(bodies):
+        texts = Texts(bodies[part], words)
+        n = texts.sizes - window + 1
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        start = np.repeat(texts.ends - texts.sizes, n) + place
+        out.append((range_hashes(texts.units, start, start + window), range_hashes(mixed(texts.units + np.uint64(77)), start, start + window), np.repeat(np.arange(at, at + len(n)), n), place.astype(np.int32)))
+        at += len(n)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _hot_contents(batches):
-    for got, digest, at in _hot_packs(batches):
-        seen = digest.dictionary_encode()
-        number = seen.indices.to_numpy()
-        order = np.argsort(number, kind="stable")
-        head = np.flatnonzero(np.concatenate([[True], number[order][1:] != number[order][:-1]]))
-        own = order[head]
-        raw = got["bytes"].tobytes()
-        texts = [raw[lo:lo + n] for lo, n in zip(at[own].tolist(), got["sizes"][own].tolist(), strict=True)]
-        least = np.minimum.reduceat(got["ids"][got["doc"]][order], head)
-        yield pa.record_batch([seen.dictionary.take(pa.array(number[own])), pa.array(least), pa.array(np.diff(np.append(head, len(order)))), pa.array(texts, pa.binary())], ["digest", "least", "n", "text"])
-
-
-def _hot_windows(words: bool, window: int):
+def _hot_asks(words: bool, window: int, slots: int):
+    """The windows of each chunk, each once with its smallest document there, by slot."""
+    def run(batches):
+        for batch in batches:
+            for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                got = _unpack(packed, CHUNKS)
+                one, two, of, _ = _chunk_windows(got, words, window)
+                _, own, least = _least(one, two, got["least"][of])
+                one, two = one[own], two[own]
+                slot = (one % np.uint64(slots)).astype(np.int64)
+                by = np.argsort(slot, kind="stable")
+                edges = np.append(np.flatnonzero(np.concatenate([[True], slot[by][1:] != slot[by][:-1]])), len(by))
+                parts = [by[lo:hi] for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+                yield pa.record_batch([pa.array([int(slot[x[0]]) for x in parts], pa.int32()), pa.array([chunk] * len(parts), pa.int64()),
+                                       pa.array([_pack({"one": one[x], "two": two[x], "least": least[x]}) for x in parts], pa.binary())], ["slot", "chunk", "packed"])
+    return run
+
+
+def _hot_replies(batches):
+    """Rows sorted by slot -> to each chunk the windows that have a smaller document elsewhere."""
+    def settled(chunks, asks):
+        one, two, least = (np.concatenate([x[k] for x in asks]) for k in ASKS)
+        number, _, first = _least(one, two, least)
+        ends = np.cumsum([len(x["one"]) for x in asks])
+        told = [np.flatnonzero(first[number[end - len(x["one"]):end]] < x["least"]) + end - len(x["one"]) for x, end in zip(asks, ends.tolist(), strict=True)]
+        some = [i for i, x in enumerate(told) if len(x)]
+        if some:
+            yield pa.record_batch([pa.array([chunks[i] for i in some], pa.int64()), pa.array([_pack({"one": one[x], "two": two[x], "least": first[number[x]]}) for x in (told[i] for i in some)], pa.binary())], ["chunk", "packed"])
+
+    number, chunks, asks = None, [], []
+    for batch in batches:
+        for slot, chunk, packed in zip(*[batch.column(c).to_pylist() for c in ("slot", "chunk", "packed")], strict=True):
+            if slot != number and asks:
+                yield from settled(chunks, asks)
+                chunks, asks = [], []
+            number = slot
+            chunks.append(chunk)
+            asks.append(_unpack(packed, ASKS))
+    if asks:
+        yield from settled(chunks, asks)
+
+
+def _hot_known(words: bool, window: int):
+    """Rows sorted by chunk, replies first -> the stretches that lose something: smallest document, places of windows that start in a smaller one."""
     def run(batches):
+        told = []
         for batch in batches:
-            bodies = batch.column("text").to_pylist()
-            for part in _parts(bodies):
-                texts = Texts(bodies[part], words)
-                n = texts.sizes - window + 1
-                base = texts.ends - texts.sizes
-                place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                start = np.repeat(base, n) + place
-                of = pa.array(np.repeat(np.arange(part.start, part.stop), n))
-                two = range_hashes(mixed(texts.units + np.uint64(77)), start, start + window)
-                yield pa.record_batch([_digest(range_hashes(texts.units, start, start + window), two), batch.column("digest").take(of), batch.column("least").take(of), pa.array(place.astype(np.int32))], ["window", "digest", "least", "place"])
+            for texts, packed in zip(batch.column("texts").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                if not texts:
+                    told.append(_unpack(packed, ASKS))
+                    continue
+                got = _unpack(packed, CHUNKS)
+                one, two, of, place = _chunk_windows(got, words, window)
+                least = got["least"][of]
+                number, _, first = _least(*(np.concatenate([x, *[t[k] for t in told]]) for x, k in ((one, "one"), (two, "two"), (least, "least"))))
+                told = []
+                gone = first[number[:len(of)]] < least
+                counts = np.bincount(of[gone], minlength=len(got["n"]))
+                places = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(place[gone]))
+                own = pa.record_batch([_digest(got["one"], got["two"]), pa.array(got["least"]), pa.array(got["packs"]), places], ["digest", "least", "packs", "places"])
+                yield own.filter(pa.array((got["n"] > 1) | (counts > 0)))
     return run
 
 
-def _packed_spans(buckets: int):
+def _hot_places(window: int, buckets: int):
+    """Rows sorted by pack, what is known of its stretches first -> its spans, by bucket of their documents."""
     def run(batches):
+        known = {}
         for batch in batches:
-            if batch.num_rows:
-                ids, keys, lo, hi = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "key", "lo", "hi"))
-                yield from _dealt(home(ids, keys, buckets), ids, keys, np.arange(len(ids)), lo=lo, hi=hi)
+            for texts, digest, least, at, packed in zip(*[batch.column(c).to_pylist() for c in ("texts", "digest", "least", "places", "packed")], strict=True):
+                if not texts:
+                    known[digest] = least, at
+                    continue
+                got, digests = _hot_pack(packed)
+                seen = digests.dictionary_encode()
+                answers = [known.get(d, (LAST, [])) for d in seen.dictionary.to_pylist()]
+                known = {}
+                of, doc, first = seen.indices.to_numpy(), got["doc"], got["first"]
+                whole = got["ids"][doc] > np.array([x for x, _ in answers], np.int64)[of]
+                counts = np.array([len(x) for _, x in answers], np.int64)
+                flat, begin = np.array([p for _, x in answers for p in x], np.int64), np.cumsum(counts) - counts
+                rest = np.flatnonzero(~whole & (counts[of] > 0))
+                n = counts[of[rest]]
+                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                single = np.repeat(first[rest], n) + flat[np.repeat(begin[of[rest]], n) + inner]
+                lo = np.concatenate([first[whole], single])
+                hi = np.concatenate([first[whole] + got["windows"][whole].astype(np.int64) + window - 1, single + window])
+                doc = np.concatenate([doc[whole], np.repeat(doc[rest], n)])
+                if len(lo):
+                    yield from _dealt(home(got["ids"], got["keys"], buckets)[doc], got["ids"], got["keys"], doc, lo=lo, hi=hi)
     return run
 
 
-def hot_spans(packed: DataFrame, words: bool, window: int, buckets: int) -> DataFrame:
-    """Spans of the stretches of anchors that stand too often. Equal stretches are one, of their smallest document; only the
-    windows of different ones are compared. A row past its stretch's smallest document goes whole."""
-    found = packed.mapInArrow(_hot_contents, "digest binary, least long, n long, text binary")
-    distinct = stage(found.groupBy("digest").agg(F.min("least").alias("least"), F.sum("n").alias("n"), F.min("text").alias("text")), "hot-stretches")
-    windows = distinct.select("digest", "least", "text").mapInArrow(_hot_windows(words, window), "window binary, digest binary, least long, place int")
-    met = stage(windows.groupBy("window").agg(F.min("least").alias("before"), F.max("least").alias("after"), F.count("*").alias("n")).where("before < after").drop("after"), "hot-windows")
-    lower = attach(windows, met, "window", "n", F.struct("digest", "place")).where("before < least")
-    lower = lower.groupBy("digest").agg(F.collect_set("place").alias("places"))  # at most the windows of a stretch
-    known = stage(distinct.select("digest", "least", "n").join(lower, "digest", "left").where("n > 1 or places is not null"), "hot-least")
-    rows = packed.mapInArrow(_hot_rows, "digest binary, doc_id long, key long, first long, windows int")
-    gone = attach(rows, known, "digest", "n", F.struct("key", "first")).where("doc_id > least or places is not null")
-    span = lambda at, n: F.struct((F.col("first") + at).alias("lo"), (F.col("first") + at + n + window - 1).alias("hi"))
-    spans = F.when(F.col("doc_id") > F.col("least"), F.array(span(F.lit(0), F.col("windows")))).otherwise(F.transform("places", lambda p: span(p, F.lit(1))))
-    gone = gone.select("doc_id", "key", F.explode(spans).alias("s")).select("doc_id", "key", "s.lo", "s.hi")
-    return stage(gone.mapInArrow(_packed_spans(buckets), PACKED), "hot-spans")
+def hot_spans(often: DataFrame, words: bool, window: int, buckets: int) -> DataFrame:
+    """Spans of the stretches (pack, packed) of anchors that stand too often. Equal stretches are one, of their smallest document;
+    only the windows of different ones are compared: a chunk of stretches asks the slot of each of its windows for a smaller document.
+    A row past its stretch's smallest document goes whole. What is known of a stretch goes to each pack once."""
+    found = often.mapInArrow(_hot_contents, "digest binary, least long, n long, text binary")
+    distinct = found.groupBy("digest").agg(F.min("least").alias("least"), F.sum("n").alias("n"), F.count("*").alias("packs"), F.min("text").alias("text"))
+    chunks = stage(distinct.mapInArrow(_hot_chunks(words, window), "chunk long, windows long, packed binary"), "hot-stretches")
+    slots = buckets * max(1, -(-(chunks.agg(F.sum("windows")).first()[0] or 0) // (buckets * SLOT)))
+    asks = chunks.select("chunk", "packed").mapInArrow(_hot_asks(words, window, slots), "slot int, chunk long, packed binary")
+    asks = asks.repartitionById(buckets, F.pmod("slot", F.lit(buckets)).cast("int")).sortWithinPartitions("slot")
+    met = asks.mapInArrow(_hot_replies, "chunk long, packed binary").select("chunk", F.lit(0).alias("texts"), "packed").union(chunks.select("chunk", F.lit(1).alias("texts"), "packed"))
+    met = met.repartitionById(buckets, F.pmod("chunk", F.lit(buckets)).cast("int")).sortWithinPartitions("chunk", "texts")
+    known = stage(met.mapInArrow(_hot_known(words, window), "digest binary, least long, packs long, places array<int>"), "hot-known")
+    rows = often.mapInArrow(_hot_digests, "digest binary, pack long")
+    told = attach(rows, known, "digest", "packs", F.col("pack")).where("least is not null").select("pack", F.lit(0).alias("texts"), "digest", "least", "places", F.lit(None).cast("binary").alias("packed"))
+    null = lambda c: F.lit(None).cast(told.schema[c].dataType).alias(c)
+    met = told.union(often.select("pack", F.lit(1).alias("texts"), null("digest"), null("least"), null("places"), "packed"))
+    met = met.repartitionById(buckets, F.pmod("pack", F.lit(buckets)).cast("int")).sortWithinPartitions("pack", "texts")
+    return stage(met.mapInArrow(_hot_places(window, buckets), PACKED), "hot-spans")
 
 
 #: (bytes of stretches, their lengths, windows of each, smallest document of each, anchor of each) -> smallest document of
@@ -533,9 +671,12 @@ def span_rows(got: dict[str, np.ndarray], number: np.ndarray, begin: np.ndarray,
 
 def _spans(index: Index, window: int, buckets: int):
     def run(batches):
+        packs = 0
         for passed, rows in _by_bucket(batches, STRETCHES):
-            if passed is not None:
-                yield passed
+            if passed is not None:  # numbered: no two have one number, and a bucket comes to one task
+                numbers = passed.column("bucket").to_numpy() + buckets * np.arange(packs, packs + passed.num_rows)
+                packs += passed.num_rows
+                yield pa.record_batch([pa.array(numbers.astype(np.int32)), passed.column("packed"), passed.column("hot")], passed.schema.names)
                 continue
             got = _joined(rows)
             rows.clear()
@@ -646,7 +787,7 @@ def _without_repeats(docs: DataFrame, words: bool, window: int, gram: int, index
 
     del stretches
     release(spark)
-    often = spans.where("hot").select("packed")
+    often = spans.where("hot").select(F.col("bucket").cast("long").alias("pack"), "packed")
     spans = spans.where("not hot").select("bucket", "packed")
     if not often.isEmpty():
         spans = spans.union(hot_spans(often, words, window, buckets))
