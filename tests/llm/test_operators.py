@@ -204,6 +204,29 @@ def test_op4_repeats_ties_and_long_vectors(spark, monkeypatch, blocks):
         topk.top_k(far, far, 1).collect()
 
 
+def test_op4_copies_and_many_partitions(spark, monkeypatch):
+    """Neither copies nor partitions multiply what is paired: k + 1 rows a vector, k results a query and part, PARTS parts and the first file."""
+    staged: dict[str, list] = {}
+    monkeypatch.setattr(topk, "stage", lambda df, name, f=topk.stage: staged.setdefault(name, []).append(f(df, name)) or staged[name][-1])
+    monkeypatch.setattr(topk, "PARTS", 4, raising=False)
+    draw = np.random.default_rng(5)
+    some = draw.normal(0, 1, (70, 9)).tolist()
+    rows = [(i, some[i % 10] if i < 400 else some[10 + i % 60]) for i in range(460)] + [(0, some[0]), (3, some[3])]
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n, own in ((40, rows), (usual, []), (usual, rows[:1]), (usual, rows[49:52])):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            staged.clear()
+            df = topk.quantised(spark.createDataFrame(own, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+            got = topk.top_k(df, df.where("id % 50 = 0"), 5).collect()
+            assert Counter((g.query_id, g.rank, g.vec_id, g.score) for g in got) == brute_top_k(own, 50, 5)
+            if own is rows:
+                assert staged["vectors"][0].count() <= 10 * 6 + 60 + 2
+                assert sum(x.count() for x in staged["found"]) <= 11 * 5 * 5
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+
+
 def naive_pack(pieces, capacity):
     bins, out = [], []
     for n, source, cluster in pieces:

@@ -1,38 +1,52 @@
 """Operator 4, exact top-k inner products over norm-sorted, rotated vectors.
 
-The Gram matrix of all vectors (dimension squared sums, added up by Spark) gives the SVD rotation. Vectors are dealt by
-ranges of descending norm into blocks; each block holds integers, the first HEAD rotated coordinates and the norm of
-the rest. The queries first meet the block of the longest candidates, and take their k-th score from there as a floor
-to all tasks; then they meet every other block, longest first. A block is skipped when the product of norms, a pair is
-dropped when partial sum plus product of residual norms (Cauchy-Schwarz), is below the query's k-th score so far;
-survivors are scored as integers. Each task keeps k results a query of its group of GROUP blocks, and a window picks
-the k best of those.
+Of equal vectors only those of the k + 1 smallest ids are candidates: as ties go to the smaller id, no others are among the
+k best of any query. The Gram matrix of the candidates (dimension squared sums, added up by Spark) gives the SVD rotation.
+Vectors are dealt by ranges of descending norm into blocks of whole numbers, which lie in files of the shared folder, and so do the queries.
+A task is a part of the candidates, consecutive files, against a group of queries; it reads both from the shared folder,
+so that nothing is copied for each pair of them. Parts go in three waves: the first file alone, then the longest parts,
+then the others; from what the waves before have found each query has its k-th result as a floor. A block is skipped
+when the product of norms is below the floors. A pair is dropped when the partial sum over the first HEAD rotated
+coordinates plus the product of residual norms (Cauchy-Schwarz) is below its query's floor; survivors are scored as
+whole numbers. Where a probe shows that few pairs of a block would be dropped, the block is scored whole. Each task keeps
+k results a query, which raise its floor from block to block, and a window picks the k best of those.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part; empty vectors do, with a
 score of 0 to each other; vectors meet only vectors of their own dimension; rows with a null id take no part; every row
 is a query or candidate of its own, so a query row that is repeated has its result repeated, and rows of one id with
 other vectors have results of their own; a row never meets rows of its id; equal scores go to the smaller id; extra
 columns are ignored; an empty table gives no rows. Products are exact: vectors too long for doubles are scored in whole
-numbers of any size. A component or score beyond 64 bits raises an error. The driver holds the square of each dimension.
+numbers of any size. A component or score beyond 64 bits raises an error. The driver holds the square of each dimension
+and the names and sizes of the files, a few numbers for each block of queries.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.dataset as ds
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, stage, table
+from .common import filesystem, new_folder, partitions, stage, table
 
 SCALE = 256
 CANDIDATES = 4096
 QUERIES = 256
 HEAD = 16
-#: Blocks of queries whose results a task holds at a time.
-GROUP = 1024
-#: Above what rounding can add to a bound, as a share of the product of norms.
-SLACK = 1e-9
+#: Blocks of queries that a task holds at a time.
+GROUP = 256
+#: Components of the queries that a task holds at a time, if they are in more than one block.
+NUMBERS = 1 << 24
+#: Parts that the candidates of one dimension are cut into at most; a query so has k times as many results before the last step at most.
+PARTS = 64
+#: Candidates whose scores against a block of queries are made at a time: they stay in the processor's cache.
+TILE = 1024
+#: Above what rounding to floats can add to a bound, as a share of the product of norms.
+SLACK = 1e-5
 
 
 def quantised(rows: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
@@ -43,17 +57,46 @@ def quantised(rows: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) ->
     return out.select("id", "v", F.size("v").alias("dim"), F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
 
 
-def _matrix(batch: pa.RecordBatch) -> np.ndarray:
-    column = batch.column("v")
-    return np.asarray(column.flatten()).reshape(len(column), len(column.flatten()) // max(1, len(column)))
+#: The kinds that whole numbers are held in, by the bytes of each.
+KINDS = {1: np.int8, 2: np.int16, 4: np.int32, 8: np.int64}
+ROWS = "id long, dim int, norm double, v binary"
 
 
-def _gram(batches):
-    sums: dict[int, np.ndarray] = {}
+def _narrow(batches):
+    """quantised() rows with their numbers as bytes, each row in the least kind that holds it: equal vectors are equal bytes."""
     for batch in batches:
         dims = batch.column("dim").to_numpy(zero_copy_only=False)
         for dim in np.unique(dims).tolist():
-            m = _matrix(batch.filter(pa.array(dims == dim)))
+            rows = batch.filter(pa.array(dims == dim))
+            m = np.asarray(rows.column("v").flatten()).reshape(len(rows), dim)
+            ids, top, norm = rows.column("id").to_numpy(zero_copy_only=False), np.abs(m).max(axis=1, initial=0), np.sqrt((m * m).sum(axis=1))
+            if top.max(initial=0) >= 2.0**63:
+                raise OverflowError("a component does not fit 64 bits")
+            kinds = np.select([top <= np.iinfo(KINDS[x]).max for x in (1, 2, 4)], (1, 2, 4), 8)
+            for size in np.unique(kinds).tolist():
+                own = np.flatnonzero(kinds == size)
+                ends = np.arange(len(own) + 1, dtype=np.int32) * (dim * size)
+                v = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends), pa.py_buffer(m[own].astype(KINDS[size]).tobytes())])
+                yield pa.record_batch([pa.array(ids[own]), pa.array(np.full(len(own), dim, np.int32)), pa.array(norm[own]), v], ["id", "dim", "norm", "v"])
+
+
+def _matrices(batch: pa.RecordBatch):
+    """(dimension, ids, vectors as doubles) of the rows of a batch, in their order but for rows of other dimensions and kinds."""
+    dims, values = batch.column("dim").to_numpy(zero_copy_only=False), batch.column("v").to_pylist()
+    ids, sizes = batch.column("id").to_numpy(zero_copy_only=False), np.array([len(x) for x in values], np.int64)
+    for dim in np.unique(dims).tolist():
+        own = np.flatnonzero(dims == dim)
+        m = np.zeros((len(own), dim))
+        for size in np.unique(sizes[own]).tolist() if dim else ():
+            at = np.flatnonzero(sizes[own] == size)
+            m[at] = np.frombuffer(b"".join(values[i] for i in own[at].tolist()), KINDS[size // dim]).reshape(len(at), dim)
+        yield dim, ids[own], m
+
+
+def _gram(batches):
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for dim, _, m in _matrices(batch):
             sums[dim] = sums.get(dim, 0) + m.T @ m
     for dim, m in sums.items():
         i, j = np.divmod(np.arange(dim * dim), dim)
@@ -61,8 +104,8 @@ def _gram(batches):
 
 
 def rotations(rows: DataFrame) -> dict[int, np.ndarray]:
-    """Per dimension the right singular vectors of all rows, largest first, as columns."""
-    sums = rows.select("v", "dim").mapInArrow(_gram, "dim int, i int, j int, s double").groupBy("dim", "i", "j").agg(F.sum("s").alias("s")).toPandas()
+    """Per dimension the right singular vectors of the rows, largest first, as columns."""
+    sums = rows.select("id", "v", "dim").mapInArrow(_gram, "dim int, i int, j int, s double").groupBy("dim", "i", "j").agg(F.sum("s").alias("s")).toPandas()
     out = {}
     for dim, part in sums.groupby("dim"):
         m = np.zeros((dim, dim))
@@ -71,43 +114,56 @@ def rotations(rows: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
-def _pack(turn: dict[int, np.ndarray], most: int):
-    """Sorted rows -> blocks of one dimension: ids, whole numbers, rotated head, residual norms, norms."""
-    def block(ids, v, dim):
-        m = np.stack(v)
-        r = m @ turn.get(dim, np.zeros((dim, dim)))
-        head = r[:, :HEAD]
-        rest = np.sqrt((r[:, HEAD:] ** 2).sum(axis=1))
-        norms = np.sqrt((m * m).sum(axis=1))
-        if np.abs(m).max(initial=0) >= 2.0**63:
-            raise OverflowError("a component does not fit 64 bits")
-        return pa.record_batch([pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([norms.max()]), *[pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in
-                               (np.array(ids, np.int64), m.astype(np.int64 if np.abs(m).max(initial=0) >= 2.0**31 else np.int32), head, rest, norms)]], ["dim", "n", "longest", "ids", "v", "head", "rest", "norm"])
+def _pack(most: int):
+    """Sorted rows -> blocks of one dimension: number in the partition, ids, and whole numbers in the least kind that holds them."""
+    def block(no, ids, v, dim):
+        ids, v = np.concatenate(ids), np.concatenate(v)
+        kind = next(k for k in KINDS.values() if np.abs(v).max(initial=0) <= np.iinfo(k).max)
+        longest = np.sqrt((v * v).sum(axis=1)).max()
+        return pa.record_batch([pa.array([x], t) for x, t in zip((dim, no, len(ids), longest, ids.tobytes(), v.astype(kind).tobytes()), (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.binary()), strict=True)], ["dim", "no", "n", "longest", "ids", "v"])
 
     def run(batches):
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[int, tuple[list, list, int]] = {}
+        made = 0
         for batch in batches:
-            for i, v, dim in zip(*[batch.column(c).to_pylist() for c in ("id", "v", "dim")], strict=True):
-                ids, vs = held.setdefault(dim, ([], []))
-                ids.append(i)
-                vs.append(np.array(v, float))
-                if len(ids) == most:
-                    yield block(ids, vs, dim)
-                    del held[dim]
-        for dim, (ids, vs) in held.items():
-            yield block(ids, vs, dim)
+            for dim, own_ids, own_v in _matrices(batch):
+                at = 0
+                while at < len(own_ids):
+                    ids, vs, n = held.pop(dim, ([], [], 0))
+                    cut = slice(at, at + most - n)
+                    ids.append(own_ids[cut].copy())
+                    vs.append(own_v[cut].copy())
+                    at, n = cut.stop, n + len(ids[-1])
+                    if n == most:
+                        yield block(made, ids, vs, dim)
+                        made += 1
+                    else:
+                        held[dim] = ids, vs, n
+        for dim, (ids, vs, _) in held.items():
+            yield block(made, ids, vs, dim)
+            made += 1
     return run
 
 
-BLOCK = "dim int, n int, longest double, ids binary, v binary, head binary, rest binary, norm binary"
+BLOCK = "dim int, no int, n int, longest double, ids binary, v binary"
 
 
-def _open(batch: pa.RecordBatch, row: int, at: str) -> tuple:
-    """(ids, whole numbers, heads, residual norms, norms) of a block, mapped where they stand."""
-    n, dim = batch.column(f"{at}n")[row].as_py(), batch.column("dim")[row].as_py()
-    take = lambda c, kind: np.frombuffer(x, kind) if len(x := batch.column(f"{at}{c}")[row].as_buffer()) else np.zeros(0, kind)
-    wide = len(batch.column(f"{at}v")[row].as_buffer()) == 8 * n * dim
-    return take("ids", np.int64), take("v", np.int64 if wide else np.int32).reshape(n, dim), take("head", float).reshape(n, min(dim, HEAD)), take("rest", float), take("norm", float)
+def _blocks(folder: str, names: list[str], dim: int):
+    """(file, number, ids, whole numbers) of the blocks of one dimension, file by file."""
+    fs, path = filesystem(folder)
+    for name in names:
+        with fs.open_input_file(f"{path}/{name}") as f, pq.ParquetFile(f, pre_buffer=False) as file:
+            for batch in file.iter_batches(1, columns=["dim", "no", "n", "ids", "v"], use_threads=False):
+                for at in np.flatnonzero(batch.column("dim").to_numpy() == dim).tolist():
+                    n, (ids, v) = batch.column("n")[at].as_py(), (batch.column(c)[at].as_py() for c in ("ids", "v"))
+                    yield name, batch.column("no")[at].as_py(), np.frombuffer(ids, np.int64), np.frombuffer(v, KINDS[len(v) // (n * dim)]).reshape(n, dim) if dim else np.zeros((n, 0), np.int8)
+
+
+def _turned(v: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rotated heads, residual norms, norms."""
+    m = v.astype(float)
+    r = m @ turn
+    return r[:, :HEAD], np.sqrt((r[:, HEAD:] ** 2).sum(axis=1)), np.sqrt((m * m).sum(axis=1))
 
 
 def exact_scores(q: np.ndarray, v: np.ndarray, rows: np.ndarray, cols: np.ndarray, small: bool) -> np.ndarray:
@@ -131,77 +187,165 @@ def _best(rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.n
     return order[np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own)))) < k]
 
 
-def _score(k: int):
+class _Results:
+    """The k best of each query of a group, and its floor: what a result must be above to count, a smaller id being above."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.n, self.scores, self.ids = k, np.zeros(n, np.int64), np.zeros((n, k), np.int64), np.zeros((n, k), np.int64)
+        self.floor, self.floor_id = np.full(n, -np.inf), np.zeros(n, np.int64)
+
+    def above(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Beyond 2**52 equal doubles need not be equal scores."""
+        floor = self.floor[rows]
+        return (scores > floor) | (scores == floor) & ((ids < self.floor_id[rows]) | (np.abs(floor) >= 2.0**52))
+
+    def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        hit, at = np.unique(rows, return_inverse=True)
+        had, rank = np.nonzero(np.arange(self.k) < self.n[hit][:, None])
+        rows, scores, ids = (np.concatenate(x) for x in ((had, at), (self.scores[hit[had], rank], scores), (self.ids[hit[had], rank], ids)))
+        own = _best(rows, scores, ids, self.k)
+        rows, scores, ids = rows[own], scores[own], ids[own]
+        self.n[hit] = n = np.bincount(rows, minlength=len(hit))
+        rank = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+        self.scores[hit[rows], rank], self.ids[hit[rows], rank] = scores, ids
+        full = hit[n == self.k]
+        self.floor[full], self.floor_id[full] = self.scores[full, -1], self.ids[full, -1]
+
+
+def _meet(ids: np.ndarray, v: np.ndarray, c_turned: tuple, q_ids: np.ndarray, q: dict[type, np.ndarray], q_turned: tuple, most: int, best: _Results) -> None:
+    """Adds the results of a block of candidates; ``q``: the whole numbers of the queries, by kind."""
+    (head, rest, norm), (q_head, q_rest, q_norm) = c_turned, q_turned
+    top = norm.max()
+    live = np.flatnonzero(q_norm * top * (1 + SLACK) + 1e-6 >= best.floor)
+    if not len(live):
+        return
+    reach = float(q_norm.max()) * float(top)
+    # Whole numbers whose partial sums are all below 2**24 (2**53) are added up exactly in floats (doubles).
+    exact, rough = np.float32 if reach < 2.0**24 else float if reach < 2.0**52 else None, np.float32 if reach < 2.0**52 else float
+    c_bound = np.ascontiguousarray(np.column_stack((head, rest, np.full(len(ids), SLACK * top), np.full(len(ids), 1e-6))).T.astype(rough))
+    bound = lambda at, c: np.column_stack((q_head[at], q_rest[at], q_norm[at], np.ones(len(at)))).astype(rough) @ c_bound[:, c] >= best.floor[at].astype(rough)[:, None]
+    whole = exact is not None and bound(live[:: -(-len(live) // 32)], slice(None)).mean() > 0.25
+    if whole:
+        if exact not in q:
+            q[exact] = q[np.int64].astype(exact)
+        columns = np.ascontiguousarray(v.T.astype(exact))
+        room = np.empty(most * TILE, exact)
+    twice = np.unique(ids, return_counts=True)[1].max()  # rows of a query's own id at most
+    found = []
+    for lo in range(0, len(live), most):
+        at = live[lo : lo + most]
+        for left in range(0, len(ids), TILE):
+            c = slice(left, min(left + TILE, len(ids)))
+            if whole:
+                s = np.dot(q[exact][at], columns[:, c], out=room[: len(at) * (c.stop - left)].reshape(len(at), -1))
+                floor = best.floor[at].astype(exact)
+                if (new := np.flatnonzero(floor == -np.inf)).size and s.shape[1] > best.k + twice:
+                    floor[new] = np.partition(s[new], -best.k - twice, axis=1)[:, -best.k - twice]
+                some = np.flatnonzero(s.max(axis=1) >= floor)
+                rows, cols = np.nonzero(s[some] >= floor[some][:, None])
+                rows = some[rows]
+                scores = s[rows, cols].astype(np.int64)
+            else:
+                rows, cols = np.nonzero(bound(at, c))
+                scores = exact_scores(q[np.int64][at], v[c], rows, cols, exact is not None)
+            rows, cols = at[rows], cols + left
+            kept = (ids[cols] != q_ids[rows]) & best.above(rows, scores, ids[cols])
+            if kept.any():
+                found.append((rows[kept], scores[kept], ids[cols[kept]]))
+                if best.floor[at[0]] == -np.inf or sum(len(x[0]) for x in found) > 1 << 18:
+                    best.add(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                    found = []
+    if found:
+        best.add(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+
+def _score(k: int, most: int, turn: dict[int, np.ndarray], folders: tuple, tasks: list[tuple]):
+    """Numbers of tasks -> their results. A task: dimension, files of candidates, first query, sizes of the blocks of queries by (file, number)."""
+    blocks, asked, floors = folders
+
     def run(batches):
-        best: dict[int, tuple] = {}  # number of a block of queries -> its ids, floors, and results: places, scores, ids
-        for batch in batches:
-            for at in range(batch.num_rows):
-                q_ids, q, q_head, q_rest, q_norm = _open(batch, at, "q_")
-                ids, v, head, rest, norm = _open(batch, at, "")
-                no = batch.column("q_no")[at].as_py()
-                if no not in best:
-                    floor = np.full(len(q_ids), -np.inf)
-                    for x in batch.column("q_floor")[at].as_py() or ():
-                        floor[x["at"]] = x["score"]
-                    best[no] = q_ids.copy(), floor, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-                _, floor, places, scores, found = best[no]
-                live = np.flatnonzero(q_norm * norm.max() * (1 + SLACK) + 1e-6 >= floor)
-                if not len(live):
-                    continue
-                bound = q_head[live] @ head.T + q_rest[live][:, None] * rest[None, :] + SLACK * q_norm[live][:, None] * norm[None, :] + 1e-6
-                rows, cols = np.nonzero((bound >= floor[live][:, None]) & (ids[None, :] != q_ids[live][:, None]))
-                if not len(rows):
-                    continue
-                rows = live[rows]
-                s = exact_scores(q, v, rows, cols, float(q_norm.max()) * float(norm.max()) < 2.0**52)
-                kept = s >= floor[rows]
-                places, scores, found = (np.concatenate(x) for x in ((places, rows[kept]), (scores, s[kept]), (found, ids[cols[kept]])))
-                own = _best(places, scores, found, k)
-                places, scores, found = places[own], scores[own], found[own]
-                full = np.bincount(places, minlength=len(q_ids)) >= k
-                last = np.append(places[1:] != places[:-1], True) & full[places]
-                floor[places[last]] = np.maximum(floor[places[last]], scores[last])
-                best[no] = q_ids.copy(), floor, places, scores, found
-        for no, (q_ids, _, places, scores, found) in best.items():
-            if len(places):
-                yield pa.record_batch([pa.array(np.full(len(places), no)), pa.array(places), pa.array(q_ids[places]), pa.array(found), pa.array(scores)], ["q_no", "q_at", "query_id", "vec_id", "score"])
+        for no in (x for batch in batches for x in batch.column("id").to_pylist()):
+            dim, names, start, queries = tasks[no]
+            own = turn.get(dim, np.eye(dim))  # empty vectors have no Gram matrix
+            read = {(name, no): x for name, no, *x in _blocks(asked, sorted({name for name, _ in queries}), dim) if (name, no) in queries}
+            q_ids, v = np.concatenate([read[x][0] for x in queries]), np.concatenate([read[x][1] for x in queries])
+            del read
+            q, q_turned, best = {np.int64: v}, _turned(v, own), _Results(len(v), k)
+            if floors:
+                fs, path = filesystem(floors)
+                known = ds.dataset(path, filesystem=fs, format="parquet").to_table(filter=(ds.field("q") >= start) & (ds.field("q") < start + len(v)), use_threads=False)
+                at = known.column("q").to_numpy() - start
+                best.floor[at], best.floor_id[at] = known.column("score").to_numpy(), known.column("vec_id").to_numpy()
+            for _, _, ids, v in _blocks(blocks, names, dim):
+                _meet(ids, v, _turned(v, own), q_ids, q, q_turned, most, best)
+            at, rank = np.nonzero(np.arange(k) < best.n[:, None])
+            if len(at):
+                yield pa.record_batch([pa.array(start + at), pa.array(q_ids[at]), pa.array(best.ids[at, rank]), pa.array(best.scores[at, rank])], ["q", "query_id", "vec_id", "score"])
     return run
 
 
-def _met(blocks: DataFrame, asked: DataFrame, on: list[str], k: int) -> DataFrame:
-    """Results of the blocks of queries against the blocks of candidates that have equal columns ``on``."""
-    # Blocks come longest first, so a task soon has high scores to prune by.
-    ordered = blocks.repartition(max(partitions(blocks.sparkSession), 1), *on).sortWithinPartitions(*on, F.col("longest").desc())
-    return ordered.join(asked, on).mapInArrow(_score(k), "q_no long, q_at long, query_id long, vec_id long, score long")
+FOUND = "q long, query_id long, vec_id long, score long"
+
+
+def _written(rows: DataFrame, name: str, most: int) -> tuple[str, DataFrame]:
+    """Folder of the blocks of rows; what is in it, by file."""
+    at = new_folder(rows.sparkSession, name)
+    rows.mapInArrow(_pack(most), BLOCK).write.parquet(at)
+    return at, rows.sparkSession.read.schema(BLOCK).parquet(at).withColumn("file", F.col("_metadata.file_name"))
+
+
+def _waves(files: list[tuple[str, int]]) -> list[list[list[str]]]:
+    """(file, rows) by falling norm -> waves of parts of consecutive files: the first file, parts of an eighth of the rest if there are many, and others."""
+    (first, _), *files = files
+    each, parts, n = sum(n for _, n in files) / PARTS, [], 0
+    for name, rows in files:
+        if not parts or n + rows / 2 > each * len(parts):
+            parts.append([])
+        parts[-1].append(name)
+        n += rows
+    cut = len(parts) // 8 if len(parts) >= 16 else 0
+    return [[[first]], parts[:cut], parts[cut:]]
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Both sides as quantised(); (query_id, rank, vec_id, score) of the k best candidates of each query but itself."""
-    spark = candidates.sparkSession
-    candidates = stage(candidates, "vectors")
+    spark: SparkSession = candidates.sparkSession
+    candidates, queries = (x.select("id", "v", "dim").mapInArrow(_narrow, ROWS) for x in (candidates, queries))
+    # Of equal vectors only those of the k + 1 smallest ids can be among the k best of any query, one being its own; each task drops the others before they are shuffled.
+    copies = F.dense_rank().over(Window.partitionBy("dim", "v").orderBy("id"))
+    candidates = stage(candidates.withColumn("copy", copies).where(F.col("copy") <= k + 1).drop("copy"), "vectors")
     turn = rotations(candidates)
     n = partitions(spark)
     sized = F.col("norm").desc()
-    blocks = candidates.repartitionByRange(n, sized, "id").sortWithinPartitions(sized, "id").mapInArrow(_pack(turn, CANDIDATES), BLOCK)
-    blocks = stage(blocks.withColumns({"part": F.spark_partition_id(), "no": F.monotonically_increasing_id()}), "blocks")
-    asked = queries.repartition(n, "id").sortWithinPartitions("id").mapInArrow(_pack(turn, QUERIES), BLOCK)
-    asked = stage(asked.select("dim", *[F.col(c).alias(f"q_{c}") for c in asked.columns if c != "dim"], F.monotonically_increasing_id().alias("q_no")), "queries")
-    # First the longest block of each dimension, against the queries dealt to n groups.
-    lead = blocks.groupBy("dim").agg(F.max(F.struct("longest", "no")).alias("m")).select(F.col("dim").alias("lead_dim"), F.col("m.no").alias("lead_no"))
-    is_lead = (F.col("dim") == F.col("lead_dim")) & (F.col("no") == F.col("lead_no"))
-    salt = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    first = _met(blocks.join(lead, is_lead, "left_semi").withColumn("salt", salt(n)), asked.withColumns({"salt": F.pmod(F.xxhash64("q_no"), F.lit(n)).cast("int"), "q_floor": F.lit(None).cast("array<struct<at:long,score:long>>")}), ["dim", "salt"], k)
-    first = stage(first, "first")
-    floors = first.groupBy("q_no", "q_at").agg(F.min("score").alias("score"), F.count("*").alias("n")).where(F.col("n") == k)
-    floors = floors.groupBy("q_no").agg(F.collect_list(F.struct(F.col("q_at").alias("at"), "score")).alias("q_floor"))  # QUERIES at most
-    # Then the others: the stated queries go, in blocks, to each of the n parts of the candidates, groups of blocks apart.
-    asked = asked.join(floors, "q_no", "left")
-    groups = max(1, -(-asked.count() // GROUP))
-    asked = asked.withColumns({"part": salt(n), "salt": F.pmod(F.xxhash64("q_no"), F.lit(groups)).cast("int")})
-    rest = blocks.join(lead, is_lead, "left_anti").withColumn("salt", salt(groups))
-    found = first.unionByName(_met(rest, asked, ["part", "dim", "salt"], k))
-    place = F.row_number().over(Window.partitionBy("q_no", "q_at").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    blocks, there = _written(candidates.repartitionByRange(n, sized, "id").sortWithinPartitions(sized, "id"), "blocks", CANDIDATES)
+    asked, named = _written(queries.repartition(n, "id").sortWithinPartitions("id"), "queries", QUERIES)
+    files: dict[int, list] = {}
+    for x in there.groupBy("dim", "file").agg(F.sum("n").alias("n"), F.max("longest").alias("longest")).collect():
+        files.setdefault(x.dim, []).append((-x.longest, x.file, x.n))
+    # Groups of blocks of queries; queries are numbered as they stand in them.
+    groups: list[tuple[int, int, dict]] = []
+    start = 0
+    for x in sorted(named.select("dim", "file", "no", "n").collect()):
+        if not groups or groups[-1][0] != x.dim or len(groups[-1][2]) == GROUP or (start - groups[-1][1] + x.n) * x.dim > NUMBERS:
+            groups.append((x.dim, start, {}))
+        groups[-1][2][x.file, x.no] = x.n
+        start += x.n
+    waves = {dim: _waves([x[1:] for x in sorted(own)]) for dim, own in files.items()}
+    best = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
+    ranked = lambda found: reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best))
+    found, floors = [], None
+    for wave in range(3):
+        tasks = [(dim, part, at, own) for dim, at, own in groups if dim in waves for part in waves[dim][wave]]
+        if not tasks:
+            continue
+        if found:
+            floors = new_folder(spark, "floors")
+            ranked(found).where(F.col("rank") == k).select("q", "score", "vec_id").write.parquet(floors)
+        ran = spark.range(0, len(tasks), 1, len(tasks)).mapInArrow(_score(k, QUERIES, turn, (blocks, asked, floors), tasks), FOUND)
+        found.append(stage(ran, "found"))
+    if not found:
+        found = [spark.createDataFrame([], FOUND)]
+    return ranked(found).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op4_exact_top_k(spark, sf_dir: str) -> DataFrame:
