@@ -5,8 +5,9 @@ import random
 import pytest
 from conftest import dataset
 
+import veriplex.functions.blake3 as blake3_module
 from veriplex.functions.blake3 import blake3, blake3_many
-from veriplex.functions.gf256 import MUL, RsError, div
+from veriplex.functions.gf256 import MUL, RsError, coefficient, div, encode
 from veriplex.functions.keys import successor
 from veriplex.operators import boundary as B
 from veriplex.operators import pack as K
@@ -214,6 +215,60 @@ def test_packs():
         K.build([(0, b"x" * (1 << 20))])
 
 
+def test_packs_hash_members_together(monkeypatch):
+    called, ids = [], K.block_ids
+    monkeypatch.setattr(K, "block_ids", lambda blocks: (called.append(len(blocks)), ids(blocks))[1])
+    packs = [K.build([(0, b"%d %d" % (n, i)) for i in range(300)]) for n in range(4)]
+    called.clear()
+    apart = [K.members(data) for data in packs]
+    assert len(called) <= 4 * 10 and sum(called) == 1200  # not a call a member
+    called.clear()
+    assert K.members_of(packs) == sum(apart, []) and called == [1200]
+    # Of faults by lengths or kinds and faults by order the first stands, and little behind it is hashed.
+    rows = [data for _, data in sorted((block_id(1, b), b) for b in (b"a", b"b", b"c", b"d"))]
+    pack = lambda *members: K.MAGIC + len(members).to_bytes(2, "little") + b"".join(bytes([k]) + len(b).to_bytes(4, "little") + b for k, b in members)
+    early, late = pack((1, rows[1]), (1, rows[0]), (9, rows[2])), pack((1, rows[0]), (9, rows[1]), (1, rows[0]))
+    policy = K.Policy(packable=lambda k: k == 1)
+    for walk in (K.members, lambda data, policy: K.members_of([data], policy)):
+        for data, want in ((early, ("OutOfOrder", 1)), (late, ("KindNotPackable", 1)), (pack((1, rows[0]), (1, rows[0])), ("OutOfOrder", 1))):
+            with pytest.raises(K.PackError) as e:
+                walk(data, policy)
+            assert (e.value.kind, e.value.member) == want
+    called.clear()
+    with pytest.raises(K.PackError, match="OutOfOrder"):
+        K.members(pack(*[(1, b) for b in reversed(rows)] * 50))
+    assert sum(called) <= 4
+
+
+def test_hashes_and_parity_by_the_definition():
+    """Messages of mixed lengths in one call, over the seams of lanes and batches; parity byte by byte."""
+    random.seed(3)
+    sizes = [0, 1, 64, 65, 1024, 1025, 2048, 3073, 40_000, 262_145, *(random.randrange(6000) for _ in range(60))]
+    messages = [random.randbytes(n) for n in sizes]
+    assert blake3_many(messages) == [blake3(m) for m in messages]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(blake3_module, "LANES", 3)
+        m.setattr(blake3_module, "BATCH", 4096)
+        assert blake3_many(messages) == [blake3(m) for m in messages]
+    data = [random.randbytes(n) for n in (0, 5, 300, 17)]
+    width = range(300)
+    at = lambda s, i: s[i] if i < len(s) else 0
+    for r, got in enumerate(encode(data, 8)):
+        want = bytearray(300)
+        for i in width:
+            for c, s in enumerate(data):
+                want[i] ^= int(MUL[coefficient(r, c), at(s, i)])
+        assert got == bytes(want).rstrip(b"\0")
+
+
+def test_parity_of_nodes_is_hashed_together(monkeypatch):
+    called, ids = [], B.block_ids
+    nodes = [Node(0, [b"k%d%02d" % (n, i) for i in range(40)], [Value.of(b"%d" % i * 1100) for i in range(40)]) for n in range(5)]
+    apart = [B.parity_blocks(n, lambda i: b"%d" % i * 1100) for n in nodes]
+    monkeypatch.setattr(B, "block_ids", lambda blocks: (called.append(len(blocks)), ids(blocks))[1])
+    assert B.parity_of(nodes, [lambda i: b"%d" % i * 1100] * 5) == apart and called == [sum(map(len, apart))]
+
+
 def test_successor():
     assert successor(b"a\xff") == b"b" and successor(b"\xff") is None and successor(b"") is None
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import MAX_INLINE, MAX_KEY, MAX_VALUE
-from .boundary import SPLIT_DOMAIN, Chunker, key_hashes, parity_blocks, splits_after
+from .boundary import SPLIT_DOMAIN, Chunker, key_hashes, parity_blocks, parity_of, splits_after
 from .logical import check_edits
 from .node import EMPTY, EMPTY_ROOT, PARITY_KIND, RAW, TREE_NODE, Node, Value, block_ids, branch_cost, leaf_cost
 
@@ -114,14 +114,16 @@ def _encode(level: int):
         part, chunker = None, Chunker()
 
         def flush():
-            nodes = []
+            own = []
             for rows in ready:
                 node = Node(level, [r["key"] for r in rows])
                 if level:
                     node.children = [(r["cid"], r["entries"], r["bytes"]) for r in rows]
                 else:
                     node.values = [Value.of(r["body"], r["cid"]) for r in rows]
-                parity = parity_blocks(node, lambda i, rows=rows: rows[i]["body"])
+                own.append(node)
+            nodes = []
+            for node, parity in zip(own, parity_of(own, [lambda i, rows=rows: rows[i]["body"] for rows in ready]), strict=True):
                 node.parity = [c for c, _ in parity]
                 nodes.append((node, node.encode(), parity))
             ids = block_ids([(TREE_NODE, body) for _, body, _ in nodes])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -13,6 +13,8 @@ from .node import block_ids
 
 # Fixed values of the format.
 MAGIC, MAX_PACK, MIN_MEMBER, HEADER = b"PK01", 1024 * 1024, 5, 6
+#: Bytes of packs whose members a task hashes together, about.
+AT_ONCE = 1 << 23
 
 
 class PackError(Exception):
@@ -33,10 +35,11 @@ class Policy:
     well_formed: Callable[[int, bytes], bool] = lambda kind, body: True
 
 
-def build(members: list[tuple[int, bytes]]) -> bytes:
+def build(members: list[tuple[int, bytes]], ids: list[bytes] | None = None) -> bytes:
+    """The pack of the members (kind, body); ids: those of the members, if they have been hashed already."""
     if not members:
         raise PackError("Empty")
-    own = sorted(dict(zip(block_ids(members), members, strict=True)).items())
+    own = sorted(dict(zip(block_ids(members) if ids is None else ids, members, strict=True)).items())
     if len(own) > 0xFFFF:
         raise PackError("TooManyMembers")
     size = HEADER + sum(MIN_MEMBER + len(body) for _, (_, body) in own)
@@ -45,8 +48,8 @@ def build(members: list[tuple[int, bytes]]) -> bytes:
     return MAGIC + struct.pack("<H", len(own)) + b"".join(struct.pack("<BI", kind, len(body)) + body for _, (kind, body) in own)
 
 
-def members(data: bytes, policy: Policy = Policy()) -> list[tuple[int, bytes, bytes]]:
-    """(kind, body, id) of each member. Lengths and kinds are refused before anything is hashed."""
+def _scan(data: bytes, policy: Policy) -> tuple[list[tuple[int, bytes]], PackError | None]:
+    """(kind, body) of the members up to the first that lengths or kinds refuse, and that refusal. Nothing is hashed."""
     if len(data) < HEADER or len(data) > MAX_PACK or data[:4] != MAGIC:
         raise PackError("NotAPack")
     (count,) = struct.unpack_from("<H", data, 4)
@@ -54,32 +57,59 @@ def members(data: bytes, policy: Policy = Policy()) -> list[tuple[int, bytes, by
         raise PackError("Empty")
     if count * MIN_MEMBER > len(data) - HEADER:
         raise PackError("CountDoesNotFit")
-    out, at, last = [], HEADER, b""
+    out, at = [], HEADER
     for i in range(count):
         if at + MIN_MEMBER > len(data):
-            raise PackError("Truncated", i)
+            return out, PackError("Truncated", i)
         kind, size = struct.unpack_from("<BI", data, at)
         if not policy.packable(kind):
-            raise PackError("KindNotPackable", i)
+            return out, PackError("KindNotPackable", i)
         if size > policy.max_body(kind):
-            raise PackError("MemberTooLong", i)
+            return out, PackError("MemberTooLong", i)
         at += MIN_MEMBER
         if at + size > len(data):
-            raise PackError("Truncated", i)
-        body = data[at:at + size]
+            return out, PackError("Truncated", i)
+        out.append((kind, data[at:at + size]))
         at += size
-        cid = block_ids([(kind, body)])[0]
+    return out, None if at == len(data) else PackError("TrailingBytes")
+
+
+def _ids(found: list[tuple[int, bytes]]) -> Iterator[bytes]:
+    """The members' ids, hashed in runs of 1, 2, 4 and so on: a fault costs the hashing of twice what stands before it at most."""
+    at, n = 0, 1
+    while at < len(found):
+        yield from block_ids(found[at:at + n])
+        at, n = at + n, 2 * n
+
+
+def _checked(found: list[tuple[int, bytes]], fault: PackError | None, ids: Iterator[bytes], policy: Policy) -> list[tuple[int, bytes, bytes]]:
+    out, last = [], b""
+    for i, (kind, body) in enumerate(found):
+        cid = next(ids)
         if cid <= last:
             raise PackError("OutOfOrder", i)
         if not policy.well_formed(kind, body):
             raise PackError("MemberNotWellFormed", i)
         out.append((kind, body, cid))
         last = cid
-    if at != len(data):
-        raise PackError("TrailingBytes")
+    if fault is not None:
+        raise fault
     return out
 
 
+def members(data: bytes, policy: Policy = Policy()) -> list[tuple[int, bytes, bytes]]:
+    """(kind, body, id) of each member. What lengths and kinds refuse is not hashed; the first member at fault is named."""
+    found, fault = _scan(data, policy)
+    return _checked(found, fault, _ids(found), policy)
+
+
+def members_of(packs: list[bytes], policy: Policy = Policy()) -> list[tuple[int, bytes, bytes]]:
+    """The members of some packs, one pack after the other, all hashed together."""
+    scanned = [_scan(data, policy) for data in packs]
+    ids = iter(block_ids([m for found, _ in scanned for m in found]))
+    return [m for found, fault in scanned for m in _checked(found, fault, ids, policy)]
+
+
 def well_formed(data: bytes, policy: Policy = Policy()) -> bool:
     try:
         members(data, policy)
@@ -93,23 +123,25 @@ def pack_blocks(blocks: DataFrame, group: str, target: int = MAX_PACK) -> DataFr
     def run(batches):
         import pyarrow as pa
 
-        held, size, own, last = [], HEADER, None, None
+        held, ids, size, own, last = [], [], HEADER, None, None
         for batch in batches:
-            out = []
+            out, rows = [], []
             for g, cid, kind, body in zip(*[batch.column(c).to_pylist() for c in (group, "cid", "kind", "body")], strict=True):
-                if (g, cid) == last:
-                    continue
-                last = g, cid
+                if (g, cid) != last:
+                    last = g, cid
+                    rows.append((g, kind, body))
+            for (g, kind, body), cid in zip(rows, block_ids([(kind, body) for _, kind, body in rows]), strict=True):
                 if held and (g != own or size + MIN_MEMBER + len(body) > target or len(held) == 0xFFFF):
-                    out.append((own, build(held)))
-                    held, size = [], HEADER
+                    out.append((own, build(held, ids)))
+                    held, ids, size = [], [], HEADER
                 own = g
                 held.append((kind, body))
+                ids.append(cid)
                 size += MIN_MEMBER + len(body)
             if out:
                 yield pa.record_batch([pa.array([g for g, _ in out], batch.schema.field(group).type), pa.array([p for _, p in out], pa.binary())], [group, "pack"])
         if held:
-            yield pa.record_batch([pa.array([own], batch.schema.field(group).type), pa.array([build(held)], pa.binary())], [group, "pack"])
+            yield pa.record_batch([pa.array([own], batch.schema.field(group).type), pa.array([build(held, ids)], pa.binary())], [group, "pack"])
 
     kind = dict(blocks.dtypes)[group]
     return blocks.select(group, "cid", "kind", "body").repartition(group).sortWithinPartitions(group, "cid").mapInArrow(run, f"{group} {kind}, pack binary")
@@ -121,8 +153,13 @@ def unpack(packs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for data in batch.column("pack").to_pylist():
-                got = members(data)
-                yield pa.record_batch([pa.array([c for _, _, c in got]), pa.array([k for k, _, _ in got], pa.int32()), pa.array([b for _, b, _ in got])], ["cid", "kind", "body"])
+            packs, held, size = batch.column("pack"), [], 0
+            for i, data in enumerate(packs, 1):
+                held.append(data.as_py())
+                size += len(held[-1])
+                if size >= AT_ONCE or i == len(packs):
+                    got = members_of(held)
+                    yield pa.record_batch([pa.array([c for _, _, c in got], pa.binary()), pa.array([k for k, _, _ in got], pa.int32()), pa.array([b for _, b, _ in got], pa.binary())], ["cid", "kind", "body"])
+                    held, size = [], 0
 
     return packs.select("pack").mapInArrow(run, "cid binary, kind int, body binary").where(F.col("cid").isNotNull())
