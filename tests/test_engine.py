@@ -227,3 +227,39 @@ def test_pack_roundtrip_shuffles_no_body_for_the_comparison(spark):
     plan = QUERIES["pack_roundtrip"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Except" not in plan and "Deduplicate [cid" not in plan and "first(body" not in plan
     spark.catalog.clearCache()
+
+
+def test_a_tree_is_packed_where_its_blocks_are_made(spark, monkeypatch):
+    """Each block of the leaves once, whatever tasks make it; only entries and marks are shuffled."""
+    from veriplex.operators import build as T
+    from veriplex.operators.node import PARITY_KIND, RAW, parse
+    from veriplex.operators.pack import members, pack_tree, returned
+
+    # Runs of copies, so that tasks make equal values and equal groups, and so equal parity.
+    rows = [(b"k%05d" % i, (b"%d " % (i // 100 % 3 * 50 + i % 50)) * 400 if i % 7 else b"short") for i in range(1200)]
+    monkeypatch.setattr(T, "LEAST", 60)
+    tree = build(frame(spark, rows), per_part=60, slim=True)
+    root, want = build_local(rows)
+    above = {c for c, (kind, body) in want.items() if kind == 1 and parse(body).level} | {c for _, body in want.values() if body[:4] == b"PT01" and parse(body).level for c in parse(body).parity}
+    assert tree.root == root and len(tree.cut[1]) >= 3
+    packed = pack_tree(tree, lambda cid: cid[0] % 4, 20_000).persist()
+    packs = packed.where("pack is not null").collect()
+    got = [(c, k, b, r.carrier) for r in packs for k, b, c in members(bytes(r.pack))]
+    assert len(got) == len({c for c, *_ in got}) and {c: (k, b) for c, k, b, _ in got} == {c: x for c, x in want.items() if c not in above}
+    assert all(c[0] % 4 == g for c, _, _, g in got) and max(len(r.pack) for r in packs) <= 20_000
+    listed = packed.where("pack is null")
+    assert listed.count() > len(got) and {bytes(r.cid) for r in listed.select("cid").collect()} == {c for c, *_ in got}
+    back = returned(packed).where("back")
+    assert sorted((bytes(r.cid), r.size) for r in back.collect()) == sorted((c, len(b)) for c, _, b, _ in got)
+    assert {k for _, k, _, _ in got} == {RAW, 1, PARITY_KIND}
+    with pytest.raises(ValueError):
+        tree.blocks()
+    spark.catalog.clearCache()
+
+
+def test_pack_roundtrip_on_odd_tables(spark, tmp_path):
+    for name, texts in (("none", []), ("one", ["x" * 2000]), ("short", ["a", ""]), ("copies", ["y" * 5000] * 300 + ["z" * 1025] * 2)):
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / name / "documents.parquet"))
+        got, long = QUERIES["pack_roundtrip"](spark, str(tmp_path / name)).first(), {t for t in texts if t and len(t) > 1024}
+        assert (got.value_blocks, got.value_bytes, got.lost, got.extra) == (len(long), sum(map(len, long)) if long else None, 0, 0)
+    spark.catalog.clearCache()

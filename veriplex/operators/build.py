@@ -107,47 +107,52 @@ def true_starts(folds: list, more) -> list[bytes]:
     return out
 
 
-def _encode(level: int):
+def _whole(level: int, batches):
+    """Lists of nodes as (rows, node, body, id, parity), of batches sorted by part and key. What is hashed is hashed for a list at once."""
+    held: list[dict] = []
+    ready: list[list[dict]] = []
+    part, chunker = None, Chunker()
+
+    def flush():
+        own = []
+        for rows in ready:
+            node = Node(level, [r["key"] for r in rows])
+            if level:
+                node.children = [(r["cid"], r["entries"], r["bytes"]) for r in rows]
+            else:
+                node.values = [Value.of(r["body"], r["cid"]) for r in rows]
+            own.append(node)
+        parity = parity_of(own, [lambda i, rows=rows: rows[i]["body"] for rows in ready])
+        for node, coded in zip(own, parity, strict=True):
+            node.parity = [c for c, _ in coded]
+        bodies = [node.encode() for node in own]
+        return list(zip(ready, own, bodies, block_ids([(TREE_NODE, body) for body in bodies]), parity, strict=True))
+
+    for number, rows in _by_part(batches):
+        if number != part:
+            if held:
+                ready.append(held)
+            part, chunker, held = number, Chunker(), []
+        for r, h, cost in zip(rows, *_prepared(rows, level), strict=True):
+            if chunker.starts(h, cost) and held:
+                ready.append(held)
+                held = []
+                if len(ready) >= 64:
+                    yield flush()
+                    ready = []
+            held.append(r)
+    if held:
+        ready.append(held)
+    if ready:
+        yield flush()
+
+
+def _encode(level: int, bodies: bool = True):
     def run(batches):
-        held: list[tuple[dict, int]] = []
-        ready: list[list[dict]] = []
-        part, chunker = None, Chunker()
-
-        def flush():
-            own = []
-            for rows in ready:
-                node = Node(level, [r["key"] for r in rows])
-                if level:
-                    node.children = [(r["cid"], r["entries"], r["bytes"]) for r in rows]
-                else:
-                    node.values = [Value.of(r["body"], r["cid"]) for r in rows]
-                own.append(node)
-            nodes = []
-            for node, parity in zip(own, parity_of(own, [lambda i, rows=rows: rows[i]["body"] for rows in ready]), strict=True):
-                node.parity = [c for c, _ in parity]
-                nodes.append((node, node.encode(), parity))
-            ids = block_ids([(TREE_NODE, body) for _, body, _ in nodes])
-            cols = list(zip(*[(n.keys[0], body, cid, *n.agg, [{"cid": c, "body": b} for c, b in p]) for (n, body, p), cid in zip(nodes, ids, strict=True)], strict=True))
-            kinds = [pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.struct([("cid", pa.binary()), ("body", pa.binary())]))]
-            return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["key", "body", "cid", "entries", "bytes", "parity"])
-
-        for number, rows in _by_part(batches):
-            if number != part:
-                if held:
-                    ready.append(held)
-                part, chunker, held = number, Chunker(), []
-            for r, h, cost in zip(rows, *_prepared(rows, level), strict=True):
-                if chunker.starts(h, cost) and held:
-                    ready.append(held)
-                    held = []
-                held.append(r)
-            if len(ready) >= 64:
-                yield flush()
-                ready = []
-        if held:
-            ready.append(held)
-        if ready:
-            yield flush()
+        kinds = [pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.struct([("cid", pa.binary()), ("body", pa.binary())]))]
+        for own in _whole(level, batches):
+            cols = list(zip(*[(n.keys[0], body, cid, *n.agg, [{"cid": c, "body": b if bodies else None} for c, b in p]) for _, n, body, cid, p in own], strict=True))
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["key", "body", "cid", "entries", "bytes", "parity"])
     return run
 
 
@@ -163,8 +168,8 @@ def _referenced(batches):
         yield pa.record_batch([batch.column("key"), batch.column("body"), pa.array(cids, pa.binary()), zero, zero], ["key", "body", "cid", "entries", "bytes"])
 
 
-def level_nodes(rows: DataFrame, level: int, n: int, per_part: int = ROWS) -> DataFrame:
-    """The nodes over n sorted-by-key rows (ENTRY)."""
+def level_bounds(rows: DataFrame, level: int, n: int, per_part: int = ROWS) -> tuple[int, list[bytes]]:
+    """(partitions at most, keys that begin them) for n rows (ENTRY): each begins with a node."""
     spare = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // LEAST))
     parts = max(1, min(-(-n // per_part), SHARES * max(spare, -(-n // ROWS))), spare)
     bounds: list[bytes] = []
@@ -186,9 +191,22 @@ def level_nodes(rows: DataFrame, level: int, n: int, per_part: int = ROWS) -> Da
             return [r["key"] for r in found], hashes, costs, [i for i, (h, c) in enumerate(zip(hashes, costs, strict=True)) if chunker.starts(h, c)]
 
         bounds = true_starts(folds, more)[1:]
+    return parts, bounds
+
+
+def deal(rows: DataFrame, level: int, parts: int, bounds: list[bytes], marks: DataFrame | None = None) -> DataFrame:
+    """The rows (ENTRY) by partition, sorted by key. marks (key, cid) travel with them, each before the row of its key; ``mark`` tells them."""
     full = rows.withColumn("cost_body", F.when(F.octet_length("body") > MAX_INLINE, 32).cast("int") if not level else F.lit(None).cast("int"))
-    dealt = full.mapInArrow(_parts(bounds), f"{ENTRY}, cost_body int, part int").repartitionById(parts, "part").sortWithinPartitions("part", "key")
-    return dealt.mapInArrow(_encode(level), NODE)
+    columns, order = f"{ENTRY}, cost_body int", ["part", "key"]
+    if marks is not None:
+        columns, order = f"{columns}, mark boolean", [*order, F.desc("mark")]
+        full = full.withColumn("mark", F.lit(False)).unionByName(marks.withColumn("mark", F.lit(True)), allowMissingColumns=True)
+    return full.mapInArrow(_parts(bounds), f"{columns}, part int").repartitionById(parts, "part").sortWithinPartitions(*order)
+
+
+def level_nodes(rows: DataFrame, level: int, cut: tuple[int, list[bytes]], bodies: bool = True) -> DataFrame:
+    """The nodes over rows (ENTRY), by the level's bounds; with or without the bodies of their parity."""
+    return deal(rows, level, *cut).mapInArrow(_encode(level, bodies), NODE)
 
 
 @dataclass
@@ -200,6 +218,9 @@ class Tree:
     agg: tuple[int, int]
     levels: list[DataFrame] = field(repr=False)
     entries: DataFrame | None = field(repr=False, default=None)
+    #: The leaves' partitions and bounds; and whether the leaves' parity is there by id only.
+    cut: tuple[int, list[bytes]] | None = field(repr=False, default=None)
+    slim: bool = False
 
     def release(self) -> None:
         """Gives up what the build has kept; the tree stays usable and is then computed again where it is read."""
@@ -215,6 +236,8 @@ class Tree:
 
     def blocks(self, once: bool = True) -> DataFrame:
         """(cid, kind, body), each once; or as often as it is made, which spares a shuffle of all bodies."""
+        if self.slim:
+            raise ValueError("the leaves' parity has not been kept")
         nodes = self.nodes()
         out = nodes.select("cid", F.lit(TREE_NODE).alias("kind"), "body")
         parity = nodes.select(F.explode("parity").alias("p")).select("p.cid", F.lit(PARITY_KIND).alias("kind"), "p.body")
@@ -224,8 +247,9 @@ class Tree:
         return out.dropDuplicates(["cid"]) if once else out
 
 
-def build(entries: DataFrame, per_part: int = ROWS) -> Tree:
-    """The tree of entries (key, value), whose keys must be unique and at most MAX_KEY bytes."""
+def build(entries: DataFrame, per_part: int = ROWS, slim: bool = False) -> Tree:
+    """The tree of entries (key, value), whose keys must be unique and at most MAX_KEY bytes. slim: the bodies of the leaves'
+    parity, which can be several times the values, are not kept; pack_tree codes them again."""
     spark = entries.sparkSession
     # Kept, so that long values are hashed once, and the table is read once, however many passes follow.
     rows = entries.select("key", F.col("value").alias("body")).mapInArrow(_referenced, ENTRY).persist(StorageLevel.MEMORY_AND_DISK)
@@ -234,14 +258,16 @@ def build(entries: DataFrame, per_part: int = ROWS) -> Tree:
     if not n:
         empty = spark.createDataFrame([(b"", EMPTY, EMPTY_ROOT, 0, 0, [])], NODE)
         return Tree(EMPTY_ROOT, 1, (0, 0), [empty])
-    values, current = rows, rows
+    values, current, first = rows, rows, None
     while True:
-        nodes = level_nodes(current, level, n, per_part).persist()
+        cut = level_bounds(current, level, n, per_part)
+        first = first or cut
+        nodes = level_nodes(current, level, cut, bool(level) or not slim).persist()
         n = nodes.count()
         levels.append(nodes)
         if n == 1:
             top = nodes.select("cid", "entries", "bytes").first()
-            return Tree(bytes(top.cid), level + 1, (top.entries, top.bytes), levels, values)
+            return Tree(bytes(top.cid), level + 1, (top.entries, top.bytes), levels, values, first, slim)
         current, level = nodes.select("key", "body", "cid", "entries", "bytes"), level + 1
 
 

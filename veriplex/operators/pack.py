@@ -5,14 +5,17 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .node import block_ids
+from .build import Tree, _whole, deal
+from .node import PARITY_KIND, RAW, TREE_NODE, block_ids
 
 # Fixed values of the format.
 MAGIC, MAX_PACK, MIN_MEMBER, HEADER = b"PK01", 1024 * 1024, 5, 6
+PACKED = "carrier int, pack binary, cid binary, kind int, size long, digest binary"
 #: Bytes of packs whose members a task hashes together, about.
 AT_ONCE = 1 << 23
 
@@ -147,19 +150,106 @@ def pack_blocks(blocks: DataFrame, group: str, target: int = MAX_PACK) -> DataFr
     return blocks.select(group, "cid", "kind", "body").repartition(group).sortWithinPartitions(group, "cid").mapInArrow(run, f"{group} {kind}, pack binary")
 
 
+def _leaf_packs(carrier: Callable[[bytes], int], target: int):
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        marks: set[tuple[bytes, bytes]] = set()
+        held: dict[int, tuple[list, list]] = {}
+        sizes: dict[int, int] = {}
+
+        def rows():
+            for batch in batches:
+                marked = batch.filter(batch.column("mark"))
+                marks.update(zip(marked.column("key").to_pylist(), marked.column("cid").to_pylist(), strict=True))
+                yield batch.filter(pc.invert(batch.column("mark"))) if len(marked) else batch
+
+        def given(packs, listed):
+            cols = [[g for g, _ in packs] + [None] * len(listed), [p for _, p in packs] + [None] * len(listed)]
+            cols += [[None] * len(packs) + list(c) for c in (zip(*listed, strict=True) if listed else [()] * 4)]
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.binary())
+            return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [f.split()[0] for f in PACKED.split(", ")])
+
+        for own in _whole(0, rows()):
+            packs, listed = [], []
+            for entries, node, body, cid, parity in own:
+                key = node.keys[0]
+                blocks = [(key, cid, TREE_NODE, body), *((key, c, PARITY_KIND, b) for c, b in dict(parity).items())]
+                blocks += [(r["key"], r["cid"], RAW, r["body"]) for r in entries if r["cid"] is not None]
+                for at, c, kind, block in blocks:
+                    listed.append((c, kind, len(block), sha256(block).digest()))
+                    if (at, c) in marks:
+                        marks.discard((at, c))
+                        continue
+                    g = carrier(c)
+                    if g in held and (sizes[g] + MIN_MEMBER + len(block) > target or len(held[g][0]) == 0xFFFF):
+                        packs.append((g, build(*held.pop(g))))
+                    if g not in held:
+                        held[g], sizes[g] = ([], []), HEADER
+                    held[g][0].append((kind, block))
+                    held[g][1].append(c)
+                    sizes[g] += MIN_MEMBER + len(block)
+            yield given(packs, listed)
+        for g in sorted(held):
+            yield given([(g, build(*held[g]))], [])
+    return run
+
+
+def pack_tree(tree: Tree, carrier: Callable[[bytes], int], target: int = MAX_PACK) -> DataFrame:
+    """PACKED: the leaves of a tree, their parity and values in packs of at most ``target`` bytes, each of blocks that carrier(id) gives
+    one number; and a row without a pack for every block that was there to be packed, with its SHA-256. The blocks are made and packed
+    in the same task, so only the entries are shuffled. Of equal blocks that several tasks make, that with the smallest key is packed:
+    the others are found by their ids alone, and are marked for the tasks that make them."""
+    values = tree.entries.where("cid is not null").select("cid", "key")
+    ids = values.unionByName(tree.levels[0].select(F.explode("parity.cid").alias("cid"), "key"))
+    more = ids.groupBy("cid").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
+    marks = ids.join(more, "cid").where("key <> first").select("key", "cid").distinct()
+    return deal(tree.entries, 0, *tree.cut, marks).mapInArrow(_leaf_packs(carrier, target), PACKED)
+
+
+def returned(packed: DataFrame) -> DataFrame:
+    """(cid, kind, size, digest, back) of PACKED: every block listed, back false; and every member of the packs as it comes back, back true."""
+    def run(batches):
+        import pyarrow as pa
+
+        def out(cols, back):
+            kinds = (pa.binary(), pa.int32(), pa.int64(), pa.binary())
+            return pa.record_batch([*[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], pa.array([back] * len(cols[0]), pa.bool_())], ["cid", "kind", "size", "digest", "back"])
+
+        for batch in batches:
+            is_pack = batch.column("pack").is_valid()
+            listed = batch.filter(batch.column("pack").is_null())
+            if len(listed):
+                yield out([listed.column(c).to_pylist() for c in ("cid", "kind", "size", "digest")], False)
+            for packs in _some(batch.filter(is_pack).column("pack")):
+                got = members_of(packs)
+                yield out([[c for _, _, c in got], [k for k, _, _ in got], [len(b) for _, b, _ in got], [sha256(b).digest() for _, b, _ in got]], True)
+
+    return packed.mapInArrow(run, "cid binary, kind int, size long, digest binary, back boolean")
+
+
+def _some(column) -> Iterator[list[bytes]]:
+    """The packs of a column, about AT_ONCE bytes at a time."""
+    held, size = [], 0
+    for data in column:
+        held.append(data.as_py())
+        size += len(held[-1])
+        if size >= AT_ONCE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def unpack(packs: DataFrame) -> DataFrame:
     """(cid, kind, body) of every member of the packs."""
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            packs, held, size = batch.column("pack"), [], 0
-            for i, data in enumerate(packs, 1):
-                held.append(data.as_py())
-                size += len(held[-1])
-                if size >= AT_ONCE or i == len(packs):
-                    got = members_of(held)
-                    yield pa.record_batch([pa.array([c for _, _, c in got], pa.binary()), pa.array([k for k, _, _ in got], pa.int32()), pa.array([b for _, b, _ in got], pa.binary())], ["cid", "kind", "body"])
-                    held, size = [], 0
+            for packs in _some(batch.column("pack")):
+                got = members_of(packs)
+                yield pa.record_batch([pa.array([c for _, _, c in got], pa.binary()), pa.array([k for k, _, _ in got], pa.int32()), pa.array([b for _, b, _ in got], pa.binary())], ["cid", "kind", "body"])
 
     return packs.select("pack").mapInArrow(run, "cid binary, kind int, body binary").where(F.col("cid").isNotNull())

@@ -16,7 +16,7 @@ from ..operators.diff import diff_cold
 from ..operators.build import Tree, build
 from ..operators.logical import Bound, Range
 from ..operators.node import PARITY_KIND
-from ..operators.pack import pack_blocks, unpack
+from ..operators.pack import pack_blocks, pack_tree, returned, unpack
 from ..operators.reader import Reader, converge, range_page
 from ..sources.blocks import missing, overlay
 from .logical import _VALUE_BYTES
@@ -305,11 +305,16 @@ def parity_repair(spark, sf_dir):
 @query(f"WITH {D_SQL}, v AS (SELECT DISTINCT text, size FROM d WHERE size > 1024) SELECT count(*) AS value_blocks, CAST(sum(size) AS BIGINT) AS value_bytes, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS extra FROM v")
 def pack_roundtrip(spark, sf_dir):
     """Blocks packed by carriers and unpacked: the values that come back, and blocks lost or added. They are compared by digests of their bodies."""
-    blocks = document_tree(spark, sf_dir).blocks(once=False)
-    got = unpack(pack_blocks(blocks.withColumn("carrier", F.conv(F.substring(F.hex("cid"), 1, 2), 16, 10).cast("int")), "carrier", 64 * 1024))
-    brief = lambda df: df.select("cid", F.col("kind").cast("int"), F.octet_length("body").cast("long").alias("size"), F.sha2("body", 256).alias("digest"))
-    a, b = brief(blocks).dropDuplicates(["cid"]).withColumn("n", F.lit(1)), brief(got).withColumn("n", F.lit(-1))
-    own = a.unionByName(b).groupBy("cid", "kind", "size", "digest").agg(F.sum("n").alias("n"), F.sum((F.col("n") < 0).cast("long")).alias("back"))
+    tree = build(documents(spark, sf_dir).select("key", "value"), slim=True)
+    own = None if tree.entries is None else returned(pack_tree(tree, lambda cid: cid[0], 64 * 1024))
+    # What stands above the leaves is little, and is shuffled to its carriers; so is the one node of an empty tree.
+    if levels := tree.levels if own is None else tree.levels[1:]:
+        above = Tree(tree.root, tree.height, tree.agg, levels).blocks(once=False)
+        got = unpack(pack_blocks(above.withColumn("carrier", F.conv(F.substring(F.hex("cid"), 1, 2), 16, 10).cast("int")), "carrier", 64 * 1024))
+        for df, back in ((above, False), (got, True)):
+            brief = df.select("cid", F.col("kind").cast("int"), F.octet_length("body").cast("long").alias("size"), F.unhex(F.sha2("body", 256)).alias("digest"), F.lit(back).alias("back"))
+            own = brief if own is None else own.unionByName(brief)
+    own = own.groupBy("cid", "kind", "size", "digest").agg(F.max((~F.col("back")).cast("long")).alias("there"), F.sum(F.col("back").cast("long")).alias("back")).withColumn("n", F.expr("there - back"))
     total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
     value = F.when(F.col("kind") == 0, F.col("back")).otherwise(0)
     return own.agg(total(value).alias("value_blocks"), F.sum(F.when(F.col("kind") == 0, F.col("back") * F.col("size"))).cast("long").alias("value_bytes"),
