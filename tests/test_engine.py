@@ -233,7 +233,7 @@ def test_a_tree_is_packed_where_its_blocks_are_made(spark, monkeypatch):
     """Each block of the leaves once, whatever tasks make it; only entries and marks are shuffled."""
     from veriplex.operators import build as T
     from veriplex.operators.node import PARITY_KIND, RAW, parse
-    from veriplex.operators.pack import members, pack_tree, returned
+    from veriplex.operators.pack import members, pack_tree, returned, tree_returned
 
     # Runs of copies, so that tasks make equal values and equal groups, and so equal parity.
     rows = [(b"k%05d" % i, (b"%d " % (i // 100 % 3 * 50 + i % 50)) * 400 if i % 7 else b"short") for i in range(1200)]
@@ -249,6 +249,7 @@ def test_a_tree_is_packed_where_its_blocks_are_made(spark, monkeypatch):
     assert all(c[0] % 4 == g for c, _, _, g in got) and max(len(r.pack) for r in packs) <= 20_000
     listed = packed.where("pack is null")
     assert listed.count() > len(got) and {bytes(r.cid) for r in listed.select("cid").collect()} == {c for c, *_ in got}
+    assert returned(packed).exceptAll(tree_returned(tree, lambda cid: cid[0] % 4, 20_000)).isEmpty()
     back = returned(packed).where("back")
     assert sorted((bytes(r.cid), r.size) for r in back.collect()) == sorted((c, len(b)) for c, _, b, _ in got)
     assert {k for _, k, _, _ in got} == {RAW, 1, PARITY_KIND}

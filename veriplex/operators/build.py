@@ -23,6 +23,8 @@ from .node import EMPTY, EMPTY_ROOT, PARITY_KIND, RAW, TREE_NODE, Node, Value, b
 
 #: Entries of a partition at most, about; at least, while the session has partitions to spare; and entries at its head that the driver may replay at once.
 ROWS, LEAST, HEAD = 100_000, 5_000, 512
+#: Rows, nodes, and bytes of values that a task works on together, about.
+SLICE, NODES, BYTES = 1000, 64, 4 << 20
 #: Partitions at most for each that the rows or the session ask for: the driver gets HEAD entries of each, and each is a task.
 SHARES = 4
 ENTRY = "key binary, body binary, cid binary, entries long, bytes long"
@@ -44,9 +46,16 @@ def _parts(bounds: list[bytes]):
     return run
 
 
+def _slices(batches):
+    """Batches of at most SLICE rows: what a task makes of a batch's values is several times their size."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SLICE):
+            yield batch.slice(lo, SLICE)
+
+
 def _by_part(batches):
     """(part, its rows) of batches sorted by part, in pieces."""
-    for batch in batches:
+    for batch in _slices(batches):
         rows = batch.to_pylist()
         lo = 0
         for i in range(1, len(rows) + 1):
@@ -111,7 +120,7 @@ def _whole(level: int, batches):
     """Lists of nodes as (rows, node, body, id, parity), of batches sorted by part and key. What is hashed is hashed for a list at once."""
     held: list[dict] = []
     ready: list[list[dict]] = []
-    part, chunker = None, Chunker()
+    part, chunker, size = None, Chunker(), 0
 
     def flush():
         own = []
@@ -137,10 +146,11 @@ def _whole(level: int, batches):
             if chunker.starts(h, cost) and held:
                 ready.append(held)
                 held = []
-                if len(ready) >= 64:
+                if len(ready) >= NODES or size >= BYTES:
                     yield flush()
-                    ready = []
+                    ready, size = [], 0
             held.append(r)
+            size += len(r["body"])
     if held:
         ready.append(held)
     if ready:
@@ -158,7 +168,7 @@ def _encode(level: int, bodies: bool = True):
 
 def _referenced(batches):
     """Gives entries with referenced values their block ids."""
-    for batch in batches:
+    for batch in _slices(batches):
         bodies = batch.column("body").to_pylist()
         long = [i for i, b in enumerate(bodies) if len(b) > MAX_INLINE]
         cids = [None] * len(bodies)

@@ -16,8 +16,9 @@ from .node import PARITY_KIND, RAW, TREE_NODE, block_ids
 # Fixed values of the format.
 MAGIC, MAX_PACK, MIN_MEMBER, HEADER = b"PK01", 1024 * 1024, 5, 6
 PACKED = "carrier int, pack binary, cid binary, kind int, size long, digest binary"
+RETURNED = "cid binary, kind int, size long, digest binary, back boolean"
 #: Bytes of packs whose members a task hashes together, about.
-AT_ONCE = 1 << 23
+AT_ONCE = 1 << 22
 
 
 class PackError(Exception):
@@ -196,37 +197,47 @@ def _leaf_packs(carrier: Callable[[bytes], int], target: int):
     return run
 
 
+def _dealt(tree: Tree) -> DataFrame:
+    """The entries by leaf, and marks for the blocks that another task packs."""
+    values = tree.entries.where("cid is not null").select("cid", "key")
+    ids = values.unionByName(tree.levels[0].select(F.explode("parity.cid").alias("cid"), "key"))
+    more = ids.groupBy("cid").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return deal(tree.entries, 0, *tree.cut, ids.join(more, "cid").where("key <> first").select("key", "cid").distinct())
+
+
 def pack_tree(tree: Tree, carrier: Callable[[bytes], int], target: int = MAX_PACK) -> DataFrame:
     """PACKED: the leaves of a tree, their parity and values in packs of at most ``target`` bytes, each of blocks that carrier(id) gives
     one number; and a row without a pack for every block that was there to be packed, with its SHA-256. The blocks are made and packed
     in the same task, so only the entries are shuffled. Of equal blocks that several tasks make, that with the smallest key is packed:
     the others are found by their ids alone, and are marked for the tasks that make them."""
-    values = tree.entries.where("cid is not null").select("cid", "key")
-    ids = values.unionByName(tree.levels[0].select(F.explode("parity.cid").alias("cid"), "key"))
-    more = ids.groupBy("cid").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
-    marks = ids.join(more, "cid").where("key <> first").select("key", "cid").distinct()
-    return deal(tree.entries, 0, *tree.cut, marks).mapInArrow(_leaf_packs(carrier, target), PACKED)
+    return _dealt(tree).mapInArrow(_leaf_packs(carrier, target), PACKED)
 
 
-def returned(packed: DataFrame) -> DataFrame:
-    """(cid, kind, size, digest, back) of PACKED: every block listed, back false; and every member of the packs as it comes back, back true."""
-    def run(batches):
-        import pyarrow as pa
+def _returned(batches):
+    import pyarrow as pa
 
-        def out(cols, back):
-            kinds = (pa.binary(), pa.int32(), pa.int64(), pa.binary())
-            return pa.record_batch([*[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], pa.array([back] * len(cols[0]), pa.bool_())], ["cid", "kind", "size", "digest", "back"])
+    def out(cols, back):
+        kinds = (pa.binary(), pa.int32(), pa.int64(), pa.binary())
+        return pa.record_batch([*[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], pa.array([back] * len(cols[0]), pa.bool_())], ["cid", "kind", "size", "digest", "back"])
+
+    for batch in batches:
+        listed = batch.filter(batch.column("pack").is_null())
+        if len(listed):
+            yield out([listed.column(c).to_pylist() for c in ("cid", "kind", "size", "digest")], False)
+        for packs in _some(batch.column("pack").drop_null()):
+            got = members_of(packs)
+            yield out([[c for _, _, c in got], [k for k, _, _ in got], [len(b) for _, b, _ in got], [sha256(b).digest() for _, b, _ in got]], True)
+
+
+def returned(packed: DataFrame) -> DataFrame:
+    """RETURNED of PACKED: every block listed, back false; and every member of the packs as it comes back, back true."""
+    return packed.mapInArrow(_returned, RETURNED)
 
-        for batch in batches:
-            is_pack = batch.column("pack").is_valid()
-            listed = batch.filter(batch.column("pack").is_null())
-            if len(listed):
-                yield out([listed.column(c).to_pylist() for c in ("cid", "kind", "size", "digest")], False)
-            for packs in _some(batch.filter(is_pack).column("pack")):
-                got = members_of(packs)
-                yield out([[c for _, _, c in got], [k for k, _, _ in got], [len(b) for _, b, _ in got], [sha256(b).digest() for _, b, _ in got]], True)
 
-    return packed.mapInArrow(run, "cid binary, kind int, size long, digest binary, back boolean")
+def tree_returned(tree: Tree, carrier: Callable[[bytes], int], target: int = MAX_PACK) -> DataFrame:
+    """returned(pack_tree(...)), where the task that has made a pack reads it, so that packs travel nowhere."""
+    packs = _leaf_packs(carrier, target)
+    return _dealt(tree).mapInArrow(lambda batches: _returned(packs(batches)), RETURNED)
 
 
 def _some(column) -> Iterator[list[bytes]]:

@@ -16,7 +16,7 @@ from ..operators.diff import diff_cold
 from ..operators.build import Tree, build
 from ..operators.logical import Bound, Range
 from ..operators.node import PARITY_KIND
-from ..operators.pack import pack_blocks, pack_tree, returned, unpack
+from ..operators.pack import pack_blocks, tree_returned, unpack
 from ..operators.reader import Reader, converge, range_page
 from ..sources.blocks import missing, overlay
 from .logical import _VALUE_BYTES
@@ -306,7 +306,7 @@ def parity_repair(spark, sf_dir):
 def pack_roundtrip(spark, sf_dir):
     """Blocks packed by carriers and unpacked: the values that come back, and blocks lost or added. They are compared by digests of their bodies."""
     tree = build(documents(spark, sf_dir).select("key", "value"), slim=True)
-    own = None if tree.entries is None else returned(pack_tree(tree, lambda cid: cid[0], 64 * 1024))
+    own = None if tree.entries is None else tree_returned(tree, lambda cid: cid[0], 64 * 1024)
     # What stands above the leaves is little, and is shuffled to its carriers; so is the one node of an empty tree.
     if levels := tree.levels if own is None else tree.levels[1:]:
         above = Tree(tree.root, tree.height, tree.agg, levels).blocks(once=False)
