@@ -24,7 +24,7 @@ from .node import EMPTY, EMPTY_ROOT, PARITY_KIND, RAW, TREE_NODE, Node, Value, b
 #: Entries of a partition at most, about; at least, while the session has partitions to spare; and entries at its head that the driver may replay at once.
 ROWS, LEAST, HEAD = 100_000, 5_000, 512
 #: Rows, nodes, and bytes of values that a task works on together, about.
-SLICE, NODES, BYTES = 1000, 64, 4 << 20
+SLICE, NODES, BYTES = 1000, 64, 2 << 20
 #: Partitions at most for each that the rows or the session ask for: the driver gets HEAD entries of each, and each is a task.
 SHARES = 4
 ENTRY = "key binary, body binary, cid binary, entries long, bytes long"
@@ -39,11 +39,11 @@ def _prepared(rows: list[dict], level: int) -> tuple[list[int], list[int]]:
 
 
 def _parts(bounds: list[bytes]):
-    def run(batches):
-        for batch in batches:
-            part = [bisect_right(bounds, k) for k in batch.column("key").to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array(part, pa.int32())], [*batch.schema.names, "part"])
-    return run
+    """A column function of keys: the partition of each. Only keys go to Python."""
+    @F.arrow_udf("int")
+    def part(keys: pa.Array) -> pa.Array:
+        return pa.array([bisect_right(bounds, k) for k in keys.to_pylist()], pa.int32())
+    return part
 
 
 def _slices(batches):
@@ -190,7 +190,7 @@ def level_bounds(rows: DataFrame, level: int, n: int, per_part: int = ROWS) -> t
         bounds = sorted({keys[i * len(keys) // parts] for i in range(1, parts)})
         size = F.when(F.octet_length("body") > MAX_INLINE, 32).otherwise(F.octet_length("body")) if not level else F.lit(0)
         slim = rows.select("key", F.lit(b"").alias("body"), size.cast("int").alias("cost_body"))
-        dealt = slim.mapInArrow(_parts(bounds), "key binary, body binary, cost_body int, part int").repartitionById(parts, "part").sortWithinPartitions("part", "key")
+        dealt = slim.withColumn("part", _parts(bounds)("key")).repartitionById(parts, "part").sortWithinPartitions("part", "key")
         folds = sorted(dealt.mapInArrow(_fold(level), FOLD).collect(), key=lambda r: r["part"])  # HEAD entries a partition at most
 
         def more(part: int):
@@ -207,11 +207,11 @@ def level_bounds(rows: DataFrame, level: int, n: int, per_part: int = ROWS) -> t
 def deal(rows: DataFrame, level: int, parts: int, bounds: list[bytes], marks: DataFrame | None = None) -> DataFrame:
     """The rows (ENTRY) by partition, sorted by key. marks (key, cid) travel with them, each before the row of its key; ``mark`` tells them."""
     full = rows.withColumn("cost_body", F.when(F.octet_length("body") > MAX_INLINE, 32).cast("int") if not level else F.lit(None).cast("int"))
-    columns, order = f"{ENTRY}, cost_body int", ["part", "key"]
+    order = ["part", "key"]
     if marks is not None:
-        columns, order = f"{columns}, mark boolean", [*order, F.desc("mark")]
+        order = [*order, F.desc("mark")]
         full = full.withColumn("mark", F.lit(False)).unionByName(marks.withColumn("mark", F.lit(True)), allowMissingColumns=True)
-    return full.mapInArrow(_parts(bounds), f"{columns}, part int").repartitionById(parts, "part").sortWithinPartitions(*order)
+    return full.withColumn("part", _parts(bounds)("key")).repartitionById(parts, "part").sortWithinPartitions(*order)
 
 
 def level_nodes(rows: DataFrame, level: int, cut: tuple[int, list[bytes]], bodies: bool = True) -> DataFrame:
